@@ -32,9 +32,10 @@ def verdict(score: Column, threshold: int = rules.BLOCK_THRESHOLD) -> Column:
 
 def threat_summary(findings: Column) -> Column:
     """Findings per severity; all four keys always present."""
-    return F.struct(*[
-        F.size(F.filter(findings, lambda f, s=s: f["severity"] == s)).alias(s) for s in SEVERITIES
-    ])
+    def count_of(severity: str) -> Column:
+        return F.size(F.filter(findings, lambda f: f["severity"] == severity)).alias(severity)
+
+    return F.struct(*[count_of(severity) for severity in SEVERITIES])
 
 
 def findings_view(findings: Column) -> Column:
