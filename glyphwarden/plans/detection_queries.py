@@ -210,13 +210,13 @@ def detect_base64(spark, folder):
     return _rows(df, detect.base64_payloads(F.col("text"), F.col("_screen.other")))
 
 
-@query("detect_l33t", _only([sql.leet_sql_findings("src")]))
+@query("detect_l33t", _only([sql.leet_findings_sql()], extra=sql.reading_ctes("src")))
 def detect_l33t(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
     return _rows(df, detect.leet_payloads(F.col("_leet"), F.col("_screen.injection")))
 
 
-@query("detect_unicode", _only([sql.unicode_sql_findings("src")]))
+@query("detect_unicode", _only([sql.unicode_findings_sql()], extra=sql.reading_ctes("src")))
 def detect_unicode(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
     return _rows(df, detect.unicode_payloads(F.col("_screen.nfkd"), F.col("_screen.nfkd_injection")))
@@ -236,11 +236,6 @@ def detect_formula(spark, folder):
     return _rows(texts, detect.formulas(F.col("cell_values")))
 
 
-_HIDDEN_PLANTS = [
-    (1, "x ypretend you are"), (3, "system override"), (6, "small print"),
-]
-
-
 @query("detect_hidden_html", f"""
 SELECT doc_id, CAST(1 AS INTEGER) AS pos, '{rules.CATEGORY_HIDDEN_HTML}' AS category,
   {fx.sql_text(rules.DESCRIPTION_HIDDEN_HTML)} AS description, 'HIGH' AS severity, left(hidden, 100) AS evidence,

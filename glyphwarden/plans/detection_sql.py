@@ -122,14 +122,23 @@ def base64_sql() -> str:
     return f"{a} UNION ALL {b}"
 
 
-def leet_sql_findings(source: str, text: str = "text") -> str:
-    inner = f"(SELECT doc_id, {leet_sql(text)} AS leet, lower({text}) AS low FROM {source})"
-    return injection_sql(inner, "leet", LEET, rules.DERIVED_LEET, where="leet <> low")
+def reading_ctes(source: str, text: str = "text") -> dict[str, str]:
+    """CTEs with the substituted and the normalised reading where they differ."""
+    return {
+        "leet_src": f"SELECT * FROM (SELECT doc_id, {leet_sql(text)} AS leet, lower({text}) AS low FROM {source}) WHERE leet <> low",
+        "nfkd_src": (
+            f"SELECT * FROM (SELECT doc_id, {text} AS original, {nfkd_sql(text)} AS nfkd FROM {source} "
+            f"WHERE strlen({text}) > length({text})) WHERE nfkd <> original"
+        ),
+    }
+
+
+def leet_findings_sql() -> str:
+    return injection_sql("leet_src", "leet", LEET, rules.DERIVED_LEET)
 
 
-def unicode_sql_findings(source: str, text: str = "text") -> str:
-    inner = f"(SELECT doc_id, {text} AS original, {nfkd_sql(text)} AS nfkd FROM {source})"
-    return injection_sql(inner, "nfkd", UNICODE, rules.DERIVED_UNICODE, where="nfkd <> original")
+def unicode_findings_sql() -> str:
+    return injection_sql("nfkd_src", "nfkd", UNICODE, rules.DERIVED_UNICODE)
 
 
 def with_ctes(ctes: dict[str, str], body: str) -> str:
@@ -138,11 +147,11 @@ def with_ctes(ctes: dict[str, str], body: str) -> str:
 
 def scan_ctes(source_sql: str, *, anomalies: bool, extra: list[str] = (), paged: bool = False) -> dict[str, str]:
     """CTEs src -> found -> results for a whole scan of src(doc_id, text, ...)."""
-    ctes = {"src": source_sql, **base64_ctes("src")}
+    ctes = {"src": source_sql, **base64_ctes("src"), **reading_ctes("src")}
     page = PAGE_OF_START if paged else "1"
     families = [
         injection_sql("src", page=page), exfil_sql("src", page=page), invisible_sql("src"), *([anomaly_sql("src")] if anomalies else []), base64_sql(),
-        leet_sql_findings("src"), unicode_sql_findings("src"), *extra,
+        leet_findings_sql(), unicode_findings_sql(), *extra,
     ]
     ctes["found"] = "\nUNION ALL\n".join(f"SELECT {FINDING_COLUMNS} FROM ({family})" for family in families)
     ctes["results"] = results_sql("src", "found")

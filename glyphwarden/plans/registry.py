@@ -1,6 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-from glyphwarden.plans import detection_queries
+from glyphwarden.plans import detection_queries, history_queries  # noqa: F401 - registers on import
 
-QUERIES = {**detection_queries.QUERIES}
-ORACLES = {**detection_queries.ORACLES}
+QUERIES = detection_queries.QUERIES
+ORACLES = detection_queries.ORACLES
