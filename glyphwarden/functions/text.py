@@ -37,19 +37,23 @@ def has_leet(text: Column) -> Column:
     return text.rlike(r"[013456789@$!+]")
 
 
-def base64_text(run: Column) -> Column:
-    """Text of one Base64 run, or null where its padding makes it undecodable.
+def base64_text_sql(run: str) -> str:
+    """Text of one Base64 run (a SQL expression), or null where its padding makes it undecodable.
 
     With n alphabet characters and p pads a run decodes iff n % 4 = 0, or n % 4 = 2 and
     p = 2, or n % 4 = 3 and p >= 1. Bytes that are not UTF-8 are dropped.
     """
-    body = F.rtrim(run, F.lit("="))
-    pads = F.char_length(run) - F.char_length(body)
-    rest = F.char_length(body) % 4
-    decodable = (rest == 0) | ((rest == 2) & (pads == 2)) | ((rest == 3) & (pads >= 1))
-    padded = F.concat(body, F.repeat(F.lit("="), (4 - rest) % 4))
-    valid = F.make_valid_utf8(F.unbase64(padded).cast("string"))
-    return F.when(decodable, F.replace(valid, F.lit("�"), F.lit("")))
+    body = f"rtrim('=', {run})"
+    n, pads = f"char_length({body})", f"(char_length({run}) - char_length({body}))"
+    padded = f"concat({body}, repeat('=', (4 - {n} % 4) % 4))"
+    return (
+        f"CASE WHEN {n} % 4 = 0 OR ({n} % 4 = 2 AND {pads} = 2) OR ({n} % 4 = 3 AND {pads} >= 1) "
+        f"THEN replace(make_valid_utf8(cast(unbase64({padded}) as string)), '\\uFFFD', '') END"
+    )
+
+
+def base64_text(run: str) -> Column:
+    return F.expr(base64_text_sql(run))
 
 
 def escape_html(text: Column) -> Column:

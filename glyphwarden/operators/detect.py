@@ -1,15 +1,19 @@
 """Threat detectors: text columns to arrays of findings.
 
-Every detector is a Column expression that yields ``ARRAY<FINDING>`` inside the row,
-so that a document scan is one narrow stage: no shuffle, and the order of findings,
-which the score depends on, is the order of array concatenation. Exact matching runs
-only for the rules the screening pass has flagged (functions/screening.py).
+Every detector is an expression that yields ``ARRAY<FINDING>`` inside the row, so that a
+document scan is one narrow stage: no shuffle, and the order of findings, which the score
+depends on, is the order of array concatenation. Exact matching runs only for the rules
+the screening pass has flagged (functions/screening.py).
+
+The rule families are written as SQL expressions with literal patterns: Spark compiles a
+literal pattern once per task, and one expression text is far quicker to build than a few
+hundred Column calls. Parameters named ``text``, ``bits`` and the like are therefore SQL
+expressions, mostly column names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,195 +25,158 @@ FINDING_DDL = (
     "evidence:string,page:int,confidence:double>"
 )
 NO_FINDINGS = f"cast(array() as array<{FINDING_DDL}>)"
-_LEVEL_NAMES = {level: name for name, level in rules.SEVERITY_LEVEL.items()}
-ALL_RULES = (1 << 31) - 1
+_LEVELS = sorted(rules.SEVERITY_LEVEL, key=rules.SEVERITY_LEVEL.get)
+_LEVEL_ARRAY = "array(" + ", ".join(f"'{name}'" for name in _LEVELS) + ")"
+
+Derivation = tuple[str, float, float]
 
 
 def no_findings() -> Column:
     return F.expr(NO_FINDINGS)
 
 
-def severity_name(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(_LEVEL_NAMES[n]) for n in sorted(_LEVEL_NAMES)]), level)
-
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def finding(category, description, level: Column, evidence: Column, page: Column, confidence: float) -> Column:
-    return F.struct(
-        (category if isinstance(category, Column) else F.lit(category)).alias("category"),
-        (description if isinstance(description, Column) else F.lit(description)).alias("description"),
-        severity_name(level).alias("severity"),
-        level.cast("int").alias("severity_level"),
-        evidence.alias("evidence"),
-        page.cast("int").alias("page"),
-        F.lit(confidence).cast("double").alias("confidence"),
-    )
 
+def _strings(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(_quoted(v) for v in values) + ")"
 
-def _rule_family(
-    patterns: Sequence[str],
-    table: Sequence[tuple[str, str, str]],
-    hits_of: Callable[[str], Column],
-    bits: Column | None,
-    finding_of: Callable[[Column, Column, Column], Column],
-    prefix: str,
-    demote: int,
-) -> Column:
-    """Findings of all rules of a family, in rule order, then match order.
 
-    ``hits_of`` gives the hits of one literal pattern, ``finding_of`` turns (hit,
-    description, level) into a finding. Rules whose bit is not set are not run.
-    """
-    hits = []
-    for k, pattern in enumerate(patterns):
-        found = hits_of(pattern)
-        hits.append(found if bits is None else F.when(bits.bitwiseAND(F.lit(1 << k)) != 0, found))
-    descriptions = F.array(*[F.lit(prefix + description) for _, description, _ in table])
-    levels = F.array(*[F.lit(max(1, rules.SEVERITY_LEVEL[severity] - demote)) for _, _, severity in table])
-    per_rule = F.transform(
-        F.array(*hits),
-        lambda found, k: F.coalesce(
-            F.transform(found, lambda hit: finding_of(hit, F.get(descriptions, k), F.get(levels, k))), no_findings()
-        ),
+def _finding(category: str, description: str, level: str, evidence: str, page: str, confidence: float) -> str:
+    """A FINDING; all but the confidence are SQL expressions."""
+    return (
+        f"named_struct('category', {category}, 'description', {description}, "
+        f"'severity', element_at({_LEVEL_ARRAY}, {level}), 'severity_level', {level}, 'evidence', {evidence}, "
+        f"'page', cast({page} as int), 'confidence', {confidence!r}D)"
     )
-    family = F.flatten(per_rule)
-    return family if bits is None else F.when(bits != 0, family).otherwise(no_findings())
 
 
-def _all_matches(text: Column) -> Callable[[str], Column]:
-    return lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def finding(category: str, description: str, level: int, evidence: Column, page: Column, confidence: float) -> Column:
+    return F.struct(
+        F.lit(category).alias("category"), F.lit(description).alias("description"),
+        F.lit(_LEVELS[level - 1]).alias("severity"), F.lit(level).alias("severity_level"), evidence.alias("evidence"),
+        page.cast("int").alias("page"), F.lit(confidence).alias("confidence"),
+    )
+
 
+def matches(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, r'{pattern}', 0)"
 
-def _derived(confidence: float, derivation: tuple[str, float, float] | None) -> tuple[str, float]:
-    if derivation is None:
-        return "", confidence
-    prefix, taken_off, floor = derivation
-    return prefix, max(floor, confidence - taken_off)
 
+def match_offsets(text: str, pattern: str) -> str:
+    """ARRAY<STRUCT<match, start>> of all matches, with zero-based character offsets.
 
-def injection(
-    text: Column,
-    bits: Column | None = None,
-    derivation: tuple[str, float, float] | None = None,
-    demote: int = 0,
-    pages: "PageMap | None" = None,
-) -> Column:
-    """Prompt-injection rules; every non-overlapping match is a finding."""
-    prefix, confidence = _derived(rules.CONFIDENCE_INJECTION, derivation)
-    return _located_family(
-        text, rules.INJECTION_JAVA, rules.INJECTION_RULES, bits, rules.CATEGORY_INJECTION, confidence, prefix, demote, pages
+    The text between matches comes from splitting on the same pattern; offsets are the
+    running lengths of both.
+    """
+    found = matches(text, pattern)
+    pairs = f"zip_with({found}, slice(split({text}, r'{pattern}', -1), 1, size({found})), (m, gap) -> struct(m, gap))"
+    start = "a.pos + char_length(p.gap)"
+    return (
+        f"aggregate({pairs}, struct(0 as pos, cast(array() as array<struct<match:string,start:int>>) as found), "
+        f"(a, p) -> struct({start} + char_length(p.m) as pos, "
+        f"concat(a.found, array(struct(p.m as match, {start} as start))) as found), a -> a.found)"
     )
 
 
-def exfiltration(
-    text: Column,
-    bits: Column | None = None,
-    derivation: tuple[str, float, float] | None = None,
-    demote: int = 0,
-    pages: "PageMap | None" = None,
-) -> Column:
-    """Data-exfiltration rules; every non-overlapping match is a finding."""
-    prefix, confidence = _derived(rules.CONFIDENCE_EXFIL, derivation)
-    return _located_family(
-        text, rules.EXFIL_JAVA, rules.EXFIL_RULES, bits, rules.CATEGORY_EXFIL, confidence, prefix, demote, pages
+def page_ends(pages: str) -> str:
+    """Ascending ARRAY<STRUCT<page, stop>> of sorted ARRAY<STRUCT<page, text>>.
+
+    Each page occupies its length plus one character of the joined text.
+    """
+    stop = "a.pos + char_length(p.text) + 1"
+    return (
+        f"aggregate({pages}, struct(0 as pos, cast(array() as array<struct<page:int,stop:int>>) as ends), "
+        f"(a, p) -> struct({stop} as pos, concat(a.ends, array(struct(p.page as page, {stop} as stop))) as ends), "
+        "a -> a.ends)"
     )
 
 
-def _located_family(text, patterns, table, bits, category, confidence, prefix, demote, pages) -> Column:
-    if pages is None:
-        return _rule_family(
-            patterns, table, _all_matches(text), bits,
-            lambda hit, description, level: finding(category, description, level, hit, F.lit(1), confidence),
-            prefix, demote,
-        )
-    return _rule_family(
-        patterns, table, lambda pattern: match_offsets(text, pattern), bits,
-        lambda hit, description, level: finding(
-            category, description, level, hit["match"], pages.locate(hit["start"]), confidence
-        ),
-        prefix, demote,
-    )
+def page_of(ends: str, offset: str) -> str:
+    """Page of an offset; null past the last page."""
+    return f"get({ends}, size(filter({ends}, e -> e.stop <= {offset}))).page"
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT<match, start>> of all matches, with zero-based character offsets.
+def _family(
+    text: str, patterns: Sequence[str], table: Sequence[tuple[str, str, str]], category: str, confidence: float,
+    bits: str | None, derivation: Derivation | None, demote: int, ends: str | None,
+    prefix: str = "", evidence: str = "hit", page: str = "1",
+) -> str:
+    """Findings of all rules of a family, in rule order, then match order.
 
-    The text between matches comes from splitting on the same pattern; offsets are the
-    running lengths of both.
+    Rules whose bit is not set are not run; ``bits`` None runs all. With ``ends`` matches
+    are attributed to the page they start on.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start_state = F.expr("struct(0 as pos, cast(array() as array<struct<match:string,start:int>>) as found)")
-
-    def advance(state: Column, pair: Column) -> Column:
-        start = state["pos"] + F.char_length(pair["gap"])
-        return F.struct(
-            (start + F.char_length(pair["match"])).alias("pos"),
-            F.concat(state["found"], F.array(F.struct(pair["match"].alias("match"), start.alias("start")))).alias("found"),
-        )
-
-    pairs = F.zip_with(
-        matches,
-        F.slice(between, F.lit(1), F.size(matches)),
-        lambda match, gap: F.struct(match.alias("match"), gap.alias("gap")),
+    if derivation is not None:
+        prefix, taken_off, floor = derivation
+        confidence = max(floor, confidence - taken_off)
+    if ends is not None:
+        evidence, page = "hit.match", page_of(ends, "hit.start")
+    find = matches if ends is None else match_offsets
+    hits = [find(text, pattern) for pattern in patterns]
+    if bits is not None:
+        hits = [f"CASE WHEN {bits} & {1 << k} != 0 THEN {hit} END" for k, hit in enumerate(hits)]
+    descriptions = _strings([prefix + description for _, description, _ in table])
+    levels = [max(1, rules.SEVERITY_LEVEL[severity] - demote) for _, _, severity in table]
+    level = f"get(array({', '.join(map(str, levels))}), k)"
+    one = _finding(f"'{category}'", f"get({descriptions}, k)", level, evidence, page, confidence)
+    family = (
+        f"flatten(transform(array({', '.join(hits)}), "
+        f"(found, k) -> coalesce(transform(found, hit -> {one}), {NO_FINDINGS})))"
     )
-    return F.aggregate(pairs, start_state, advance, lambda state: state["found"])
-
+    return family if bits is None else f"CASE WHEN {bits} != 0 THEN {family} ELSE {NO_FINDINGS} END"
 
-class PageMap:
-    """Looks up the page of an offset in concatenated text.
 
-    ``ends`` is an ascending ARRAY<STRUCT<page, end>>: each page occupies its length plus
-    one character; an offset past the last end has no page.
-    """
+def injection_sql(
+    text: str, bits: str | None = None, derivation: Derivation | None = None, demote: int = 0, ends: str | None = None
+) -> str:
+    return _family(
+        text, rules.INJECTION_JAVA, rules.INJECTION_RULES, rules.CATEGORY_INJECTION, rules.CONFIDENCE_INJECTION,
+        bits, derivation, demote, ends,
+    )
 
-    def __init__(self, ends: Column):
-        self.ends = ends
 
-    def locate(self, offset: Column) -> Column:
-        return F.get(self.ends, F.size(F.filter(self.ends, lambda e: e["end"] <= offset)))["page"]
+def exfiltration_sql(
+    text: str, bits: str | None = None, derivation: Derivation | None = None, demote: int = 0, ends: str | None = None
+) -> str:
+    return _family(
+        text, rules.EXFIL_JAVA, rules.EXFIL_RULES, rules.CATEGORY_EXFIL, rules.CONFIDENCE_EXFIL,
+        bits, derivation, demote, ends,
+    )
 
 
-def page_ends(pages: Column) -> Column:
-    """Running ends of sorted ARRAY<STRUCT<page, text>>."""
-    start_state = F.expr("struct(0 as pos, cast(array() as array<struct<page:int,end:int>>) as ends)")
+def injection(text: str, bits: str | None = None, ends: str | None = None) -> Column:
+    """Prompt-injection rules; every non-overlapping match is a finding."""
+    return F.expr(injection_sql(text, bits, ends=ends))
 
-    def advance(state: Column, page: Column) -> Column:
-        end = state["pos"] + F.char_length(page["text"]) + 1
-        return F.struct(
-            end.alias("pos"),
-            F.concat(state["ends"], F.array(F.struct(page["page"].cast("int").alias("page"), end.alias("end")))).alias("ends"),
-        )
 
-    return F.aggregate(pages, start_state, advance, lambda state: state["ends"])
+def exfiltration(text: str, bits: str | None = None, ends: str | None = None) -> Column:
+    """Data-exfiltration rules; every non-overlapping match is a finding."""
+    return F.expr(exfiltration_sql(text, bits, ends=ends))
 
 
-def invisible(text: Column, other: Column | None = None) -> Column:
+def invisible(text: str, other: str | None = None) -> Column:
     """At most one finding: counts of invisible characters, graver the more there are."""
-    counts = F.array(*[
-        F.struct(
-            F.lit(f"{name} (U+{code:04X})").alias("label"),
-            (F.char_length(text) - F.char_length(F.replace(text, F.lit(chr(code)), F.lit("")))).alias("n"),
-        )
+    counts = ", ".join(
+        f"struct('{name} (U+{code:04X})' as label, "
+        f"char_length({text}) - char_length(replace({text}, '\\u{code:04X}', '')) as n)"
         for code, name in rules.INVISIBLE_CHARS
-    ])
-    found = F.filter(counts, lambda c: c["n"] > 0)
-
-    def describe(chars: Column) -> Column:
-        total = F.aggregate(chars, F.lit(0), lambda acc, c: acc + c["n"])
-        level = F.when(total > 50, 4).when(total > 10, 3).otherwise(2)
-        detail = F.array_join(F.transform(chars, lambda c: F.concat(c["label"], F.lit(": "), c["n"].cast("string"))), "; ")
-        description = F.concat(
-            F.lit("Detected "), total.cast("string"),
-            F.lit(" invisible Unicode character(s) — possible steganographic payload"),
-        )
-        return finding(
-            rules.CATEGORY_INVISIBLE, description, level, detail, F.lit(None), rules.CONFIDENCE_INVISIBLE
-        )
-
-    described = F.transform(F.filter(F.array(found), lambda chars: F.size(chars) > 0), describe)
+    )
+    total = "aggregate(chars, 0, (a, c) -> a + c.n)"
+    described = _finding(
+        f"'{rules.CATEGORY_INVISIBLE}'",
+        f"concat('Detected ', cast({total} as string), ' invisible Unicode character(s) — possible steganographic payload')",
+        f"CASE WHEN {total} > 50 THEN 4 WHEN {total} > 10 THEN 3 ELSE 2 END",
+        "array_join(transform(chars, c -> concat(c.label, ': ', cast(c.n as string))), '; ')",
+        "null", rules.CONFIDENCE_INVISIBLE,
+    )
+    found = (
+        f"transform(filter(array(filter(array({counts}), c -> c.n > 0)), chars -> size(chars) > 0), chars -> {described})"
+    )
     if other is None:
-        return described
-    return F.when(other.bitwiseAND(F.lit(screening.HAS_INVISIBLE)) != 0, described).otherwise(no_findings())
+        return F.expr(found)
+    return F.expr(f"CASE WHEN {other} & {screening.HAS_INVISIBLE} != 0 THEN {found} ELSE {NO_FINDINGS} END")
 
 
 _PUNCTUATION = ".!?,;:"
@@ -228,7 +195,7 @@ def anomalies(text: Column, page: Column | None = None) -> Column:
     found = F.transform(
         long_lines,
         lambda line: finding(
-            rules.CATEGORY_ANOMALY, rules.DESCRIPTION_ANOMALY, F.lit(2),
+            rules.CATEGORY_ANOMALY, rules.DESCRIPTION_ANOMALY, 2,
             F.concat(F.left(line, F.lit(120)), F.lit("...")), page, rules.CONFIDENCE_ANOMALY,
         ),
     )
@@ -239,88 +206,77 @@ def page_anomalies(pages: Column) -> Column:
     return F.flatten(F.transform(pages, lambda p: anomalies(p["text"], p["page"])))
 
 
-def base64_payloads(text: Column, other: Column | None = None) -> Column:
+def base64_payloads(text: str, other: str | None = None) -> Column:
     """Decodes long Base64 runs and applies injection and exfiltration rules to each text."""
-    runs = F.regexp_extract_all(text, F.lit(rules.BASE64_RUN), F.lit(0))
-    decoded = F.filter(F.transform(runs, text_functions.base64_text), lambda d: F.char_length(d) > 10)
-    found = F.flatten(F.transform(
-        decoded,
-        lambda d: F.concat(
-            injection(d, derivation=rules.DERIVED_BASE64, demote=1),
-            exfiltration(d, derivation=rules.DERIVED_BASE64, demote=1),
-        ),
-    ))
+    runs = matches(text, rules.BASE64_RUN)
+    payloads = f"filter(transform({runs}, run -> {text_functions.base64_text_sql('run')}), d -> char_length(d) > 10)"
+    on_payload = ", ".join(
+        family("payload", derivation=rules.DERIVED_BASE64, demote=1) for family in (injection_sql, exfiltration_sql)
+    )
+    found = f"flatten(transform({payloads}, payload -> concat({on_payload})))"
     if other is None:
-        return found
-    return F.when(other.bitwiseAND(F.lit(screening.HAS_BASE64)) != 0, found).otherwise(no_findings())
+        return F.expr(found)
+    return F.expr(f"CASE WHEN {other} & {screening.HAS_BASE64} != 0 THEN {found} ELSE {NO_FINDINGS} END")
 
 
-def leet_payloads(leet_text: Column, bits: Column) -> Column:
+def leet_payloads(leet_text: str, bits: str) -> Column:
     """Injection rules on the text with substitutions undone (null where none applies)."""
-    active = F.when(leet_text.isNotNull(), bits).otherwise(F.lit(0))
-    return injection(leet_text, active, rules.DERIVED_LEET)
+    active = f"CASE WHEN {leet_text} IS NOT NULL THEN {bits} ELSE 0 END"
+    return F.expr(injection_sql(leet_text, f"({active})", rules.DERIVED_LEET))
 
 
-def unicode_payloads(nfkd_text: Column, bits: Column) -> Column:
+def unicode_payloads(nfkd_text: str, bits: str) -> Column:
     """Injection rules on the NFKD form (null where it changes nothing)."""
-    return injection(nfkd_text, bits, rules.DERIVED_UNICODE)
+    return F.expr(injection_sql(nfkd_text, bits, rules.DERIVED_UNICODE))
 
 
-def metadata(fields: dict[str, Column]) -> Column:
+def metadata(fields: Sequence[str]) -> Column:
     """Per field the first injection rule that hits, else the first keyword contained."""
-    found = []
-    for name, value in fields.items():
-        evidence = F.concat(F.lit(f"{name}: "), F.left(value, F.lit(150)))
-        level = reduce(
-            lambda chain, rule: chain.when(value.rlike(rule[0]), F.lit(rules.SEVERITY_LEVEL[rule[1]])),
-            [(p, severity) for p, (_, _, severity) in zip(rules.INJECTION_JAVA, rules.INJECTION_RULES)],
-            F,
-        )
-        keyword = reduce(
-            lambda chain, word: chain.when(F.lower(value).contains(word), F.lit(word)), rules.METADATA_KEYWORDS, F
-        )
-        by_rule = F.transform(
-            F.filter(F.array(level), lambda hit: hit.isNotNull()),
-            lambda hit: finding(
-                rules.CATEGORY_METADATA, f"Injection payload in PDF '{name}' field", hit, evidence, F.lit(None),
-                rules.CONFIDENCE_METADATA,
-            ),
-        )
-        by_keyword = F.transform(
-            F.filter(F.array(keyword), lambda hit: hit.isNotNull()),
-            lambda hit: finding(
-                rules.CATEGORY_METADATA_KEYWORD,
-                F.concat(F.lit("Keyword '"), hit, F.lit(f"' in PDF '{name}' field")), F.lit(1), evidence, F.lit(None),
-                rules.CONFIDENCE_METADATA_KEYWORD,
-            ),
-        )
-        per_field = F.transform(
-            F.array(F.struct(by_rule.alias("by_rule"), by_keyword.alias("by_keyword"))),
-            lambda f: F.when(F.size(f["by_rule"]) > 0, f["by_rule"]).otherwise(f["by_keyword"]),
-        )
-        found.append(F.when(F.char_length(value) > 0, F.flatten(per_field)).otherwise(no_findings()))
-    return F.concat(*found)
-
-
-def properties(columns: Sequence[Column]) -> Column:
-    """Every injection match in the joined non-empty properties, at full confidence."""
-    joined = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in columns])
-    return _rule_family(
-        rules.INJECTION_JAVA, rules.INJECTION_RULES, _all_matches(joined), None,
-        lambda hit, description, level: finding(
-            rules.CATEGORY_METADATA, description, level, F.left(joined, F.lit(150)), F.lit(None), rules.CONFIDENCE_PROPERTY
-        ),
-        rules.DESCRIPTION_PROPERTY_PREFIX, 0,
+    return F.expr("concat(" + ", ".join(_metadata_field(name) for name in fields) + ")")
+
+
+def _metadata_field(name: str) -> str:
+    evidence = f"concat('{name}: ', left({name}, 150))"
+    level = "CASE " + " ".join(
+        f"WHEN {name} RLIKE r'{pattern}' THEN {rules.SEVERITY_LEVEL[severity]}"
+        for pattern, (_, _, severity) in zip(rules.INJECTION_JAVA, rules.INJECTION_RULES)
+    ) + " END"
+    keyword = "CASE " + " ".join(
+        f"WHEN contains(lower({name}), '{word}') THEN '{word}'" for word in rules.METADATA_KEYWORDS
+    ) + " END"
+    by_rule = _finding(
+        f"'{rules.CATEGORY_METADATA}'", _quoted(f"Injection payload in PDF '{name}' field"), "hit", evidence, "null",
+        rules.CONFIDENCE_METADATA,
+    )
+    by_keyword = _finding(
+        f"'{rules.CATEGORY_METADATA_KEYWORD}'",
+        f"concat({_quoted('Keyword ')}, {_quoted(chr(39))}, word, {_quoted(f"' in PDF '{name}' field")})", "1",
+        evidence, "null", rules.CONFIDENCE_METADATA_KEYWORD,
+    )
+    # The rule level is bound to ``hit`` so that it is evaluated once.
+    return (
+        f"CASE WHEN char_length({name}) > 0 THEN flatten(transform(array({level}), hit -> "
+        f"CASE WHEN hit IS NOT NULL THEN array({by_rule}) "
+        f"ELSE transform(array_compact(array({keyword})), word -> {by_keyword}) END)) ELSE {NO_FINDINGS} END"
     )
 
 
+def properties(columns: Sequence[str]) -> Column:
+    """Every injection match in the joined non-empty properties, at full confidence."""
+    joined = "concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in columns) + ")"
+    return F.expr(_family(
+        joined, rules.INJECTION_JAVA, rules.INJECTION_RULES, rules.CATEGORY_METADATA, rules.CONFIDENCE_PROPERTY,
+        None, None, 0, None, prefix=rules.DESCRIPTION_PROPERTY_PREFIX, evidence=f"left({joined}, 150)", page="null",
+    ))
+
+
 def formulas(values: Column) -> Column:
     """Cells (ARRAY<STRING>, in sheet order) that look like formulas."""
     suspicious = F.filter(values, lambda v: F.startswith(v, F.lit("=")) & (F.char_length(v) > 5))
     return F.transform(
         suspicious,
         lambda v: finding(
-            rules.CATEGORY_FORMULA, rules.DESCRIPTION_FORMULA, F.lit(2), F.left(v, F.lit(100)), F.lit(None),
+            rules.CATEGORY_FORMULA, rules.DESCRIPTION_FORMULA, 2, F.left(v, F.lit(100)), F.lit(None),
             rules.CONFIDENCE_FORMULA,
         ),
     )
@@ -331,18 +287,19 @@ def hidden_elements(hidden: Column) -> Column:
     return F.transform(
         hidden,
         lambda h: finding(
-            rules.CATEGORY_HIDDEN_HTML, rules.DESCRIPTION_HIDDEN_HTML, F.lit(3), F.left(h, F.lit(100)), F.lit(None),
+            rules.CATEGORY_HIDDEN_HTML, rules.DESCRIPTION_HIDDEN_HTML, 3, F.left(h, F.lit(100)), F.lit(None),
             rules.CONFIDENCE_HIDDEN_HTML,
         ),
     )
 
 
-def scripts(bodies: Column, injection_bits: Column, exfil_bits: Column) -> Column:
+def scripts(bodies: str, injection_bits: str, exfil_bits: str) -> Column:
     """Injection and exfiltration rules over each script body in turn."""
-    found = F.flatten(F.transform(
-        bodies, lambda body: F.concat(injection(body, injection_bits), exfiltration(body, exfil_bits))
-    ))
-    return F.when((injection_bits != 0) | (exfil_bits != 0), found).otherwise(no_findings())
+    found = (
+        f"flatten(transform({bodies}, body -> concat({injection_sql('body', injection_bits)}, "
+        f"{exfiltration_sql('body', exfil_bits)})))"
+    )
+    return F.expr(f"CASE WHEN {injection_bits} | {exfil_bits} != 0 THEN {found} ELSE {NO_FINDINGS} END")
 
 
 def screened(df: DataFrame, text: str = "text") -> DataFrame:
@@ -368,25 +325,23 @@ def with_findings(
     first: Sequence[Column] = (),
     after_invisible: Sequence[Column] = (),
     last: Sequence[Column] = (),
-    pages: PageMap | None = None,
+    ends: str | None = None,
 ) -> DataFrame:
     """Add ``findings``: all text detectors in reporting order.
 
     Format-specific detectors go before the text detectors (``first``), between the
     invisible-character count and the disguised payloads (``after_invisible``), or to
-    the end (``last``).
+    the end (``last``). ``ends`` names the page ends of a paged text.
     """
-    body = F.col(text)
-    s = F.col("_screen")
     families = [
         *first,
-        injection(body, s["injection"], pages=pages),
-        exfiltration(body, s["exfil"], pages=pages),
-        invisible(body, s["other"]),
+        injection(text, "_screen.injection", ends),
+        exfiltration(text, "_screen.exfil", ends),
+        invisible(text, "_screen.other"),
         *after_invisible,
-        base64_payloads(body, s["other"]),
-        leet_payloads(F.col("_leet"), s["injection"]),
-        unicode_payloads(s["nfkd"], s["nfkd_injection"]),
+        base64_payloads(text, "_screen.other"),
+        leet_payloads("_leet", "_screen.injection"),
+        unicode_payloads("_screen.nfkd", "_screen.nfkd_injection"),
         *last,
     ]
     return bound(screened(df, text), "findings", F.concat(*families)).drop("_screen", "_leet")

@@ -58,11 +58,11 @@ def scan_pages(
     texts = _measured(sources.paged_texts(pages))
     if metadata is not None:
         texts = texts.join(metadata.select("doc_id", *rules.METADATA_FIELDS), "doc_id", "left")
-    texts = texts.withColumn("_ends", detect.page_ends(F.col("pages")))
+    texts = texts.withColumn("_ends", F.expr(detect.page_ends("pages")))
     after = [detect.page_anomalies(F.col("pages"))]
     if metadata is not None:
-        after.insert(0, detect.metadata({name: F.col(name) for name in rules.METADATA_FIELDS}))
-    found = detect.with_findings(texts, after_invisible=after, pages=detect.PageMap(F.col("_ends")))
+        after.insert(0, detect.metadata(rules.METADATA_FIELDS))
+    found = detect.with_findings(texts, after_invisible=after, ends="_ends")
     found = found.drop("text", "pages", "_ends", *rules.METADATA_FIELDS)
     return _described(found, "pdf", F.col("total_pages"), True, threshold)
 
@@ -76,7 +76,7 @@ def scan_parts(
     if properties is not None:
         prefixed = [F.col(name).alias(f"_p_{name}") for name in rules.PROPERTY_FIELDS]
         texts = texts.join(properties.select("doc_id", *prefixed), "doc_id", "left")
-        last = [detect.properties([F.col(f"_p_{name}") for name in rules.PROPERTY_FIELDS])]
+        last = [detect.properties([f"_p_{name}" for name in rules.PROPERTY_FIELDS])]
     found = detect.with_findings(texts, after_invisible=[detect.anomalies(F.col("text"))], last=last)
     found = found.drop("text", *[f"_p_{name}" for name in rules.PROPERTY_FIELDS])
     return _described(found, "docx", F.lit(0), False, threshold)
@@ -96,7 +96,7 @@ def scan_html(pages: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataF
         texts,
         first=[
             detect.hidden_elements(F.col("hidden")),
-            detect.scripts(F.col("scripts"), F.col("script_injection"), F.col("script_exfil")),
+            detect.scripts("scripts", "script_injection", "script_exfil"),
         ],
     ).drop("text", "hidden", "scripts", "script_injection", "script_exfil")
     return _described(found, "html", F.lit(1), False, threshold)

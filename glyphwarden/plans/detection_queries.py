@@ -141,19 +141,19 @@ def reject_rows(spark, folder):
 @query("detect_injection", _only([sql.injection_sql("src")]))
 def detect_injection(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.injection(F.col("text"), F.col("_screen.injection")))
+    return _rows(df, detect.injection("text", "_screen.injection"))
 
 
 @query("detect_exfil", _only([sql.exfil_sql("src")]))
 def detect_exfil(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.exfiltration(F.col("text"), F.col("_screen.exfil")))
+    return _rows(df, detect.exfiltration("text", "_screen.exfil"))
 
 
 @query("detect_invisible", _only([sql.invisible_sql("src")]))
 def detect_invisible(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.invisible(F.col("text"), F.col("_screen.other")))
+    return _rows(df, detect.invisible("text", "_screen.other"))
 
 
 def _metadata_sql() -> str:
@@ -181,7 +181,7 @@ def _metadata_sql() -> str:
 @query("detect_metadata", _only([_metadata_sql()], extra={"meta": fx.DOCUMENT_METADATA_SQL}))
 def detect_metadata(spark, folder):
     df = fx.document_metadata(spark, folder)
-    return _rows(df, detect.metadata({name: F.col(name) for name in rules.METADATA_FIELDS}))
+    return _rows(df, detect.metadata(rules.METADATA_FIELDS))
 
 
 def _properties_sql(source: str) -> str:
@@ -196,7 +196,7 @@ def _properties_sql(source: str) -> str:
 @query("detect_properties", _only([_properties_sql("props")], extra={"props": fx.PROPERTIES_SQL}))
 def detect_properties(spark, folder):
     df = fx.properties(spark, folder)
-    return _rows(df, detect.properties([F.col(name) for name in rules.PROPERTY_FIELDS]))
+    return _rows(df, detect.properties(rules.PROPERTY_FIELDS))
 
 
 @query("detect_anomaly", _only([sql.anomaly_sql("src")]))
@@ -207,19 +207,19 @@ def detect_anomaly(spark, folder):
 @query("detect_base64", _only([sql.base64_sql()], extra=sql.base64_ctes("src")))
 def detect_base64(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.base64_payloads(F.col("text"), F.col("_screen.other")))
+    return _rows(df, detect.base64_payloads("text", "_screen.other"))
 
 
 @query("detect_l33t", _only([sql.leet_findings_sql()], extra=sql.reading_ctes("src")))
 def detect_l33t(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.leet_payloads(F.col("_leet"), F.col("_screen.injection")))
+    return _rows(df, detect.leet_payloads("_leet", "_screen.injection"))
 
 
 @query("detect_unicode", _only([sql.unicode_findings_sql()], extra=sql.reading_ctes("src")))
 def detect_unicode(spark, folder):
     df = detect.screened(fx.documents(spark, folder))
-    return _rows(df, detect.unicode_payloads(F.col("_screen.nfkd"), F.col("_screen.nfkd_injection")))
+    return _rows(df, detect.unicode_payloads("_screen.nfkd", "_screen.nfkd_injection"))
 
 
 _FORMULA_SQL = (
@@ -260,7 +260,7 @@ SELECT doc_id, bodies[i] AS body, i AS sub FROM (
 def detect_script(spark, folder):
     texts = sources.html_texts(fx.html_pages(spark, folder))
     return _rows(
-        texts, detect.scripts(F.col("scripts"), F.col("script_injection"), F.col("script_exfil"))
+        texts, detect.scripts("scripts", "script_injection", "script_exfil")
     )
 
 
@@ -275,11 +275,9 @@ GROUP BY doc_id"""
     [sql.injection_sql("src", page=sql.PAGE_OF_START), sql.exfil_sql("src", page=sql.PAGE_OF_START)], _PAGED_SRC_SQL))
 def locate_page(spark, folder):
     texts = detect.screened(sources.paged_texts(fx.pages(spark, folder)))
-    texts = texts.withColumn("_ends", detect.page_ends(F.col("pages")))
-    pages = detect.PageMap(F.col("_ends"))
+    texts = texts.withColumn("_ends", F.expr(detect.page_ends("pages")))
     return _rows(texts, F.concat(
-        detect.injection(F.col("text"), F.col("_screen.injection"), pages=pages),
-        detect.exfiltration(F.col("text"), F.col("_screen.exfil"), pages=pages),
+        detect.injection("text", "_screen.injection", "_ends"), detect.exfiltration("text", "_screen.exfil", "_ends")
     ))
 
 

@@ -17,12 +17,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
+# Fixed at session start: a scan is some thousand Column calls, and recording the call
+# site of each takes seconds.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(master: str | None = None, app_name: str = "glyphwarden", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -30,7 +34,8 @@ def build_session(master: str | None = None, app_name: str = "glyphwarden", **ex
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set what a session made elsewhere may lack; leaves cluster sizing alone."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from glyphwarden import rules
-from glyphwarden.operators import documents as scans
+from glyphwarden.functions import html
+from glyphwarden.operators import detect, score
 from glyphwarden.sources import routing
 
 RESULT_COLUMNS = [
@@ -19,36 +18,38 @@ RESULT_COLUMNS = [
 def scan_uploads(uploads: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFrame:
     """Scan uploads (doc_id, filename, text) by kind; unsupported ones become error rows.
 
-    ``text`` is the extracted content: one page, one paragraph or cell per line, markup,
-    or plain text.
+    ``text`` is the extracted content: one page, one paragraph or cell per line, markup, or
+    plain text. All kinds share one pass over the rows, without a shuffle: what differs
+    between kinds is which text is scanned and which extra detectors apply.
     """
     accepted, rejected = routing.split_rejects(routing.admit(uploads))
-    names = ["doc_id", "filename", "stored_format"]
-
-    def of_kind(kind: str) -> DataFrame:
-        return accepted.filter(F.col("kind") == kind)
-
-    def named(scanned: DataFrame, kind: str) -> DataFrame:
-        """Names back on results of kinds that were assembled from rows."""
-        plain = scanned.drop("filename")
-        return plain.join(of_kind(kind).select(*names), "doc_id")
-
-    lines = F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line")
-    paged = scans.scan_pages(of_kind("paged").select("doc_id", F.lit(1).alias("page"), "text"), threshold=threshold)
-    parts = scans.scan_parts(
-        of_kind("parts").select("doc_id", lines).select("doc_id", F.lit(0).alias("kind"), "ordinal", F.col("line").alias("text")),
-        threshold=threshold,
+    kind = F.col("kind")
+    markup = accepted.withColumn("_html", html.parse(F.when(kind == "html", F.col("text"))))
+    values = F.filter(F.split("text", "\n", -1), lambda v: ~v.isin("", "0", "False"))
+    prepared = markup.withColumn("_cells", F.when(kind == "cells", values)).withColumn(
+        "_body",
+        F.when(kind == "paged", F.concat("text", F.lit("\n")))
+        .when(kind == "cells", F.array_join("_cells", "\n"))
+        .when(kind == "html", F.col("_html.text"))
+        .otherwise(F.col("text")),
     )
-    cells = scans.scan_cells(
-        of_kind("cells").select("doc_id", lines).select(
-            "doc_id", F.lit("sheet").alias("sheet"), F.col("ordinal").alias("row"), F.lit(0).alias("col"),
-            F.col("line").alias("value")),
-        threshold=threshold,
+    found = detect.with_findings(
+        prepared.withColumn("text_length", F.char_length("_body")),
+        "_body",
+        first=[
+            F.when(kind == "cells", detect.formulas(F.col("_cells"))).otherwise(detect.no_findings()),
+            F.when(kind == "html", detect.hidden_elements(F.col("_html.hidden"))).otherwise(detect.no_findings()),
+            detect.scripts("_html.scripts", "_html.script_injection", "_html.script_exfil"),
+        ],
+        after_invisible=[
+            F.when(kind.isin("paged", "parts", "plain"), detect.anomalies(F.col("text"))).otherwise(detect.no_findings())
+        ],
+    )
+    results = score.scored(
+        found.withColumn("file_format", F.col("scan_format"))
+        .withColumn("total_pages", F.when(kind == "parts", 0).otherwise(1))
+        .withColumn("metadata_scanned", kind == "paged"),
+        threshold,
     )
-    html = scans.scan_html(of_kind("html").select(*names, F.col("text").alias("html")), threshold)
-    plain = scans.scan_plain(of_kind("plain").withColumn("file_format", F.col("stored_format")), threshold)
-
-    results = [named(paged, "paged"), named(parts, "parts"), named(cells, "cells"), html, plain]
-    answered = reduce(DataFrame.unionByName, [r.select(*RESULT_COLUMNS) for r in results])
     errors = rejected.select("doc_id", "filename", "error")
-    return answered.unionByName(errors, allowMissingColumns=True)
+    return results.select(*RESULT_COLUMNS).unionByName(errors, allowMissingColumns=True)
