@@ -32,15 +32,26 @@ def avg_risk(records: DataFrame) -> DataFrame:
 
 
 def category_counts(records: DataFrame) -> DataFrame:
-    """(user_id, category, n, first): first = where the user met the category first."""
-    findings = records.select("user_id", "id", F.posexplode("findings.category").alias("pos", "category"))
-    named = findings.withColumn("category", F.coalesce("category", F.lit("Unknown")))
-    return named.groupBy("user_id", "category").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    """(user_id, category, n, first_id, first_pos): where the user met the category first.
+
+    Findings are counted within their record before anything is shuffled.
+    """
+    categories = F.transform("findings", lambda f: F.coalesce(f["category"], F.lit("Unknown")))
+    listed = records.select("user_id", "id", categories.alias("categories"))
+    per_record = listed.select("user_id", "id", "categories", F.explode(F.array_distinct("categories")).alias("category"))
+    counted = per_record.select(
+        "user_id", "id", "category",
+        F.size(F.filter("categories", lambda c: c == F.col("category"))).alias("n"),
+        F.array_position("categories", F.col("category")).alias("pos"),
+    )
+    return counted.groupBy("user_id", "category").agg(
+        F.sum("n").alias("n"), F.min("id").alias("first_id"), F.min_by("pos", "id").alias("first_pos")
+    )
 
 
 def top_category(records: DataFrame) -> DataFrame:
     """Most frequent category per user; ties go to the one met first."""
-    best = F.min(F.struct((-F.col("n")).alias("rank"), "first", "category"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), "first_id", "first_pos", "category"))
     return category_counts(records).groupBy("user_id").agg(best.alias("best")).select(
         "user_id", F.col("best.category").alias("top_category"), (-F.col("best.rank")).alias("top_count")
     )
@@ -48,7 +59,7 @@ def top_category(records: DataFrame) -> DataFrame:
 
 def category_breakdown(records: DataFrame) -> DataFrame:
     """Counts per user and category, numbered in the order the categories were first met."""
-    order = Window.partitionBy("user_id").orderBy("first")  # at most one row per category
+    order = Window.partitionBy("user_id").orderBy("first_id", "first_pos")  # at most one row per category
     return category_counts(records).select(
         "user_id", "category", "n", F.row_number().over(order).alias("label_position")
     )

@@ -1,13 +1,17 @@
 """Running counters, badges and the leaderboard.
 
-A badge is earned at the scan that first meets its condition. Running totals per user
-would put a busy user's whole history into one window partition; here the history is cut
-into time slices. Totals of earlier slices are a prefix sum over one row per slice, and
-only the inside of a slice is ordered row by row (see ``running_counters``).
+A badge is earned at the scan that first meets its condition. No badge needs a user's
+whole history in one place: milestones look at the first N scans and the threat total at
+the first N scans with findings (Spark drops later rows before the shuffle), the others
+are plain aggregates. Full running totals cut the history into time slices: totals of
+earlier slices are a prefix sum over one row per slice, and only the inside of a slice is
+ordered row by row (see ``running_counters``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphwarden import rules
@@ -44,11 +48,18 @@ def _earlier_slices():
     return Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _moment() -> Column:
+    """(created_at, id) as one sortable number; unlike a struct it aggregates without sorting."""
+    return F.expr(
+        "cast(cast(unix_micros(cast(created_at as timestamp)) as decimal(19,0)) * 10000000000000000000BD "
+        "+ cast(id as decimal(19,0)) as decimal(38,0))"
+    )
+
+
 def first_formats(rows: DataFrame) -> DataFrame:
     """Per user the first scan of each format: at most one entry per format."""
-    first = rows.groupBy("user_id", "file_format").agg(F.min(F.struct("created_at", "id")).alias("first"))
-    entry = F.struct("first.created_at", "first.id", "file_format")
-    return first.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("format_firsts"))
+    first = rows.groupBy("user_id", "file_format").agg(F.min(_moment()).alias("moment"))
+    return first.groupBy("user_id").agg(F.collect_list(F.struct("moment", "file_format")).alias("format_firsts"))
 
 
 def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE, prior: DataFrame | None = None) -> DataFrame:
@@ -80,15 +91,14 @@ def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE, prior:
         F.row_number().over(_inside_slice()).alias("rank"),
         F.sum("n_findings").over(_inside_slice()).alias("threats"),
     )
-    here = F.struct("created_at", "id", "file_format")
-    return inside.join(before, ["user_id", "slice"]).select(
+    return inside.withColumn("moment", _moment()).join(before, ["user_id", "slice"]).select(
         "id", "user_id", "created_at", "n_findings", "critical", "clean",
         (F.col("scans") + F.col("rank")).alias("scan_count"),
         (F.col("threats_so_far") + F.col("threats")).alias("threat_count"),
-        (F.col("formats_so_far") + F.size(F.filter(
-            "new_formats", lambda f: F.struct(f["created_at"], f["id"]) <= F.struct("created_at", "id")
-        ))).alias("format_count"),
-        F.exists("new_formats", lambda f: f == here).alias("new_format"),
+        (F.col("formats_so_far") + F.size(F.filter("new_formats", lambda f: f["moment"] <= F.col("moment")))).alias(
+            "format_count"
+        ),
+        F.exists("new_formats", lambda f: f["moment"] == F.col("moment")).alias("new_format"),
     )
 
 
@@ -97,11 +107,19 @@ def _earned(rows: DataFrame, badge: Column | str) -> DataFrame:
     return rows.select("user_id", key.alias("badge_key"), F.col("created_at").alias("earned_at"))
 
 
+def _by_time():
+    return Window.partitionBy("user_id").orderBy("created_at", "id")
+
+
+def _reached(milestones: dict[str, int]) -> list[Column]:
+    return [F.when(F.col("scan_count") == n, F.lit(badge)) for badge, n in milestones.items()]
+
+
 def scan_milestones(records: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
-    reached = F.array_compact(F.array(*[
-        F.when(F.col("scan_count") == n, F.lit(badge)) for badge, n in milestones.items()
-    ]))
-    return _earned(running_counters(records).withColumn("badge", F.explode(reached)), F.col("badge"))
+    """Badges for the n-th scan; only a user's first max(n) scans are shuffled."""
+    ranked = records.select("user_id", "created_at", "id").withColumn("scan_count", F.row_number().over(_by_time()))
+    first = ranked.filter(F.col("scan_count") <= max(milestones.values()))
+    return _earned(first.withColumn("badge", F.explode(F.array_compact(F.array(*_reached(milestones))))), F.col("badge"))
 
 
 def _crosses_threats(total: int) -> Column:
@@ -113,11 +131,23 @@ def _crosses_formats(distinct: int) -> Column:
 
 
 def threat_hunter(records: DataFrame, total: int = rules.THREAT_HUNTER_TOTAL) -> DataFrame:
-    return _earned(running_counters(records).filter(_crosses_threats(total)), "threat_hunter")
+    """Cumulative threats: the total is reached within the first ``total`` scans with findings."""
+    rows = records.select("user_id", "created_at", "id", F.size("findings").alias("n_findings")).filter("n_findings > 0")
+    first = rows.withColumn("rank", F.row_number().over(_by_time())).filter(F.col("rank") <= total)
+    running = F.sum("n_findings").over(_by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _earned(first.withColumn("threat_count", running).filter(_crosses_threats(total)), "threat_hunter")
 
 
 def format_explorer(records: DataFrame, distinct: int = rules.FORMAT_EXPLORER_DISTINCT) -> DataFrame:
-    return _earned(running_counters(records).filter(_crosses_formats(distinct)), "format_explorer")
+    """The time the n-th distinct format was first used."""
+    first = records.groupBy("user_id", F.lower("file_format").alias("file_format")).agg(
+        F.min("created_at").alias("created_at")
+    )
+    order = Window.partitionBy("user_id").orderBy("created_at", "file_format")
+    return _earned(
+        first.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= distinct) & (F.col("n") == distinct)),
+        "format_explorer",
+    )
 
 
 def eagle_eye(records: DataFrame) -> DataFrame:
@@ -152,14 +182,13 @@ def clean_runs(records: DataFrame, slice_unit: str = DEFAULT_SLICE) -> DataFrame
 def clean_slate(records: DataFrame, length: int = rules.CLEAN_SLATE_RUN) -> DataFrame:
     """First time a user has ``length`` clean scans in a row."""
     fifth = clean_runs(records).filter(F.col("run_length") == length)
-    first = fifth.groupBy("user_id").agg(F.min(F.struct("created_at", "id")).alias("first"))
-    return _earned(first.select("user_id", F.col("first.created_at").alias("created_at")), "clean_slate")
+    return _earned(fifth.groupBy("user_id").agg(F.min("created_at").alias("created_at")), "clean_slate")
 
 
 def crossings(running: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
     """Milestones, threat total and format variety from one pass over running counters."""
     conditions = F.array_compact(F.array(
-        *[F.when(F.col("scan_count") == n, F.lit(badge)) for badge, n in milestones.items()],
+        *_reached(milestones),
         F.when(_crosses_threats(rules.THREAT_HUNTER_TOTAL), F.lit("threat_hunter")),
         F.when(_crosses_formats(rules.FORMAT_EXPLORER_DISTINCT), F.lit("format_explorer")),
     ))
@@ -168,7 +197,8 @@ def crossings(running: DataFrame, milestones: dict[str, int] = rules.SCAN_MILEST
 
 def scan_badges(records: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
     """All badges checked after a scan."""
-    return crossings(running_counters(records), milestones).unionByName(eagle_eye(records))
+    found = [scan_milestones(records, milestones), threat_hunter(records), eagle_eye(records), format_explorer(records)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def newly_awarded(candidates: DataFrame, existing: DataFrame) -> DataFrame:

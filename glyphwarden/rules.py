@@ -153,6 +153,7 @@ RISK_BUCKETS = ["0-19", "20-39", "40-59", "60-79", "80-100"]
 # White_Space characters plus the four ASCII separators U+001C..U+001F. Spelled
 # out because Java, RE2 and Python disagree about a bare \s.
 WHITESPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def explicit_whitespace(pattern: str) -> str:

@@ -12,7 +12,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     """A table whose rows are expensive to process, spread over all cores.
 
     A scan with fewer splits than cores (small files, one row group) is hash-partitioned
