@@ -79,7 +79,16 @@ def src_cells(spark, folder):
     return sources.cell_texts(fx.cells(spark, folder)).select("doc_id", "total_pages", "text")
 
 
-@query("src_html_text")
+def _html_text_sql() -> str:
+    """Page text of the fixture's markup: tags, comments, scripts and styles cut it into runs."""
+    bare = "regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)\\s*>', '<x>', 'gis')"
+    runs = f"array_to_string(list_filter(string_split_regex({bare}, '<[^>]*>'), lambda r: r <> ''), chr(10))"
+    for entity, char in [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]:
+        runs = f"replace({runs}, '{entity}', {fx.sql_text(char)})"
+    return f"SELECT doc_id, url, {runs} AS text, html FROM ({fx.HTML_PAGES_SQL})"
+
+
+@query("src_html_text", f"SELECT doc_id, url, text, CAST(length(text) AS INTEGER) AS text_length FROM ({_html_text_sql()})")
 def src_html_text(spark, folder):
     return sources.html_texts(fx.html_pages(spark, folder)).select(
         "doc_id", "url", "text", F.char_length("text").alias("text_length")
@@ -236,13 +245,16 @@ def detect_formula(spark, folder):
     return _rows(texts, detect.formulas(F.col("cell_values")))
 
 
-@query("detect_hidden_html", f"""
-SELECT doc_id, CAST(1 AS INTEGER) AS pos, '{rules.CATEGORY_HIDDEN_HTML}' AS category,
-  {fx.sql_text(rules.DESCRIPTION_HIDDEN_HTML)} AS description, 'HIGH' AS severity, left(hidden, 100) AS evidence,
+_HIDDEN_SQL = f"""
+SELECT doc_id, {sql.FIRST} AS fam, 0 AS sub, 0 AS rule, 1 AS k, '{rules.CATEGORY_HIDDEN_HTML}' AS category,
+  {fx.sql_text(rules.DESCRIPTION_HIDDEN_HTML)} AS description, 3 AS level, left(hidden, 100) AS evidence,
   CAST(NULL AS INTEGER) AS page, {sql.double(rules.CONFIDENCE_HIDDEN_HTML)} AS confidence
 FROM (SELECT doc_id, trim(regexp_extract(html,
         '(?is)<(?:div|span|p) style="(?:display\\s*:\\s*none|visibility\\s*:\\s*hidden|font-size\\s*:\\s*0)[^"]*">([^<]*)<', 1)) AS hidden
-      FROM ({fx.HTML_PAGES_SQL})) WHERE hidden <> ''""")
+      FROM ({fx.HTML_PAGES_SQL})) WHERE hidden <> ''"""
+
+
+@query("detect_hidden_html", _only([_HIDDEN_SQL]))
 def detect_hidden_html(spark, folder):
     texts = sources.html_texts(fx.html_pages(spark, folder))
     return _rows(texts, detect.hidden_elements(F.col("hidden")))
@@ -322,7 +334,18 @@ def scan_cells_doc(spark, folder):
     return _scored(scans.scan_cells(fx.cells(spark, folder)), "total_pages", "text_length")
 
 
-@query("scan_html_doc")
+def _script_families() -> list[str]:
+    return [
+        sql.injection_sql("scripts", "body", sql.FIRST, sub="sub * 2"),
+        sql.exfil_sql("scripts", "body", sql.FIRST, sub="sub * 2 + 1"),
+    ]
+
+
+@query("scan_html_doc", sql.with_ctes(
+    {"scripts": _SCRIPTS_SQL,
+     **sql.scan_ctes(_html_text_sql(), anomalies=False, extra=[_HIDDEN_SQL, *_script_families()])},
+    "SELECT r.*, CAST(1 AS INTEGER) AS total_pages, CAST(length(text) AS INTEGER) AS text_length "
+    "FROM results r JOIN src USING (doc_id)"))
 def scan_html_doc(spark, folder):
     return _scored(scans.scan_html(fx.html_pages(spark, folder)), "total_pages", "text_length")
 

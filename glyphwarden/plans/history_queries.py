@@ -119,7 +119,33 @@ def erase_records(spark, folder):
     )
 
 
-@query("export_scan_json")
+def _export_sql() -> str:
+    """Indented JSON spelled out: two blanks per level, ' : ' after keys, '[ ]' around lists."""
+    def member(key: str, value: str, indent: int, last: bool = False) -> str:
+        return f"'{' ' * indent}\"{key}\" : ', {value}, '{'' if last else ','}', chr(10)"
+
+    def text(value: str) -> str:
+        return f"concat('\"', {value}, '\"')"
+
+    item = "concat('{', chr(10), " + ", ".join([
+        member("category", text("x.category"), 4), member("description", text("concat('rule ', x.pos)"), 4),
+        member("severity", text("x.severity"), 4), member("evidence", text("x.evidence"), 4), member("page", "'1'", 4),
+        member("confidence", "CAST(100 - x.pos AS VARCHAR)", 4, last=True)]) + ", '  }')"
+    listing = f"coalesce(concat('[ ', array_to_string(list_transform(fs, lambda x: {item}), ', '), ' ]'), '[ ]')"
+    body = "concat('{', chr(10), " + ", ".join([
+        member("id", "CAST(id AS VARCHAR)", 2), member("filename", text("filename"), 2), member("file_format", text("file_format"), 2),
+        member("verdict", text("verdict"), 2), member("risk_score", "CAST(risk_score AS VARCHAR)", 2),
+        member("threat_count", "CAST(n_findings AS VARCHAR)", 2), member("created_at", text(_ISO), 2),
+        member("findings", listing, 2, last=True)]) + ", '}')"
+    return (
+        f"SELECT concat('scan_', CAST(id AS VARCHAR), '_', filename, '.json') AS export_name, "
+        f"CASE WHEN n_findings = 0 THEN replace({body}, '[  ]', '[ ]') ELSE {body} END AS payload "
+        f"FROM {RECORDS} r LEFT JOIN (SELECT id AS fid, list({{'pos': pos, 'category': category, 'severity': severity, "
+        f"'evidence': evidence}} ORDER BY pos) AS fs FROM {FINDINGS} GROUP BY id) f ON f.fid = r.id"
+    )
+
+
+@query("export_scan_json", _export_sql())
 def export_scan_json(spark, folder):
     return history.exported(_records(spark, folder))
 
