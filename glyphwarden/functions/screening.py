@@ -21,6 +21,7 @@ from glyphwarden import rules
 # Bits of ``other``.
 HAS_INVISIBLE = 1
 HAS_BASE64 = 2
+NFKD_CHANGES = 4
 
 SCREEN_TYPE = T.StructType([
     T.StructField("injection", T.IntegerType()),
@@ -71,6 +72,7 @@ def _screen(texts: pa.Array) -> pa.Array:
         other[wide_rows[_matches(wide, rules.INVISIBLE_CLASS)]] |= HAS_INVISIBLE
         normal = pc.utf8_normalize(wide, "NFKD")
         changed = pc.not_equal(normal, wide).to_numpy(zero_copy_only=False)
+        other[wide_rows[changed]] |= NFKD_CHANGES
         wide_rows, normal = wide_rows[changed], normal.take(pa.array(np.flatnonzero(changed)))
         bits = _rule_bits(normal, rules.INJECTION_SCREEN)
         nfkd_injection[wide_rows] = bits

@@ -156,13 +156,16 @@ def exfiltration(text: str, bits: str | None = None, ends: str | None = None) ->
     return F.expr(exfiltration_sql(text, bits, ends=ends))
 
 
-def invisible(text: str, other: str | None = None) -> Column:
-    """At most one finding: counts of invisible characters, graver the more there are."""
-    counts = ", ".join(
+def invisible_counts(text: str) -> str:
+    """ARRAY<STRUCT<label, n>> over all invisible characters, in table order."""
+    return "array(" + ", ".join(
         f"struct('{name} (U+{code:04X})' as label, "
         f"char_length({text}) - char_length(replace({text}, '\\u{code:04X}', '')) as n)"
         for code, name in rules.INVISIBLE_CHARS
-    )
+    ) + ")"
+
+
+def invisible_of_counts(counts: str) -> str:
     total = "aggregate(chars, 0, (a, c) -> a + c.n)"
     described = _finding(
         f"'{rules.CATEGORY_INVISIBLE}'",
@@ -171,9 +174,14 @@ def invisible(text: str, other: str | None = None) -> Column:
         "array_join(transform(chars, c -> concat(c.label, ': ', cast(c.n as string))), '; ')",
         "null", rules.CONFIDENCE_INVISIBLE,
     )
-    found = (
-        f"transform(filter(array(filter(array({counts}), c -> c.n > 0)), chars -> size(chars) > 0), chars -> {described})"
+    return (
+        f"transform(filter(array(filter({counts}, c -> c.n > 0)), chars -> size(chars) > 0), chars -> {described})"
     )
+
+
+def invisible(text: str, other: str | None = None) -> Column:
+    """At most one finding: counts of invisible characters, graver the more there are."""
+    found = invisible_of_counts(invisible_counts(text))
     if other is None:
         return F.expr(found)
     return F.expr(f"CASE WHEN {other} & {screening.HAS_INVISIBLE} != 0 THEN {found} ELSE {NO_FINDINGS} END")
@@ -282,6 +290,16 @@ def formulas(values: Column) -> Column:
     )
 
 
+def formula_cells(cells: DataFrame) -> DataFrame:
+    """The same on cell rows: a filter, without assembling workbooks."""
+    value = F.col("value")
+    suspicious = cells.filter(F.startswith(value, F.lit("=")) & (F.char_length(value) > 5))
+    found = finding(
+        rules.CATEGORY_FORMULA, rules.DESCRIPTION_FORMULA, 2, F.left(value, F.lit(100)), F.lit(None), rules.CONFIDENCE_FORMULA
+    )
+    return suspicious.select("doc_id", "sheet", "row", "col", found.alias("f")).select("doc_id", "sheet", "row", "col", "f.*")
+
+
 def hidden_elements(hidden: Column) -> Column:
     """Texts of elements hidden by their inline style (ARRAY<STRING>, document order)."""
     return F.transform(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphwarden import rules
-from glyphwarden.operators import detect, score
+from glyphwarden.operators import detect, large, score
 from glyphwarden.sources import documents as sources
 
 
@@ -100,3 +100,75 @@ def scan_html(pages: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataF
         ],
     ).drop("text", "hidden", "scripts", "script_injection", "script_exfil")
     return _described(found, "html", F.lit(1), False, threshold)
+
+
+# ---------------------------------------------------------------- documents of any size
+
+SUMMARY_COLUMNS = ["doc_id", "risk_score", "verdict", "threat_summary", "n_findings", "total_pages", "text_length"]
+
+
+def _summaries(scanned: DataFrame) -> DataFrame:
+    return scanned.withColumn("n_findings", F.size("findings")).select(*SUMMARY_COLUMNS)
+
+
+def _large_summaries(scan: large.LargeScan, totals: DataFrame, threshold: int) -> DataFrame:
+    """Results of block-wise scans for the documents of ``totals`` (doc_id, total_pages)."""
+    joined = totals.join(scan.documents, "doc_id", "left")
+    nothing = F.struct(*[F.lit(0).alias(s) for s in score.SEVERITIES])
+    return joined.select(
+        "doc_id", F.coalesce("risk_score", F.lit(0)).alias("risk_score"),
+        F.coalesce("verdict", score.verdict(F.lit(0), threshold)).alias("verdict"),
+        F.coalesce("threat_summary", nothing).alias("threat_summary"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        F.col("total_pages").cast("int").alias("total_pages"),
+        F.coalesce("text_length", F.lit(0)).alias("text_length"),
+    )
+
+
+def _combined(small: DataFrame, big: DataFrame | None) -> DataFrame:
+    return small if big is None else small.withColumn("text_length", F.col("text_length").cast("bigint")).unionByName(big)
+
+
+def summarize_pages(
+    pages: DataFrame, metadata: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
+    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
+) -> DataFrame:
+    """Score, verdict and counts of paged documents, however many pages one has."""
+    small, big = large.split_by_rows(pages, limit)
+    results = _summaries(scan_pages(small, metadata, threshold))
+    if big is None:
+        return results
+    found = None if metadata is None else metadata.select("doc_id", detect.metadata(rules.METADATA_FIELDS).alias("findings"))
+    scan = large.scan_rows(large.page_rows(big, slice_rows), paged=True, metadata=found, threshold=threshold)
+    totals = big.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
+    return _combined(results, _large_summaries(scan, totals, threshold))
+
+
+def summarize_parts(
+    parts: DataFrame, properties: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
+    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
+) -> DataFrame:
+    """Score, verdict and counts of paragraph documents, however many paragraphs one has."""
+    small, big = large.split_by_rows(parts, limit)
+    results = _summaries(scan_parts(small, properties, threshold))
+    if big is None:
+        return results
+    found = None if properties is None else properties.select(
+        "doc_id", detect.properties(rules.PROPERTY_FIELDS).alias("findings")
+    )
+    scan = large.scan_rows(large.part_rows(big, slice_rows), properties=found, threshold=threshold)
+    totals = big.groupBy("doc_id").agg(F.lit(0).alias("total_pages"))
+    return _combined(results, _large_summaries(scan, totals, threshold))
+
+
+def summarize_cells(
+    cells: DataFrame, threshold: int = rules.BLOCK_THRESHOLD,
+    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
+) -> DataFrame:
+    """Score, verdict and counts of workbooks, however many cells one has."""
+    small, big = large.split_by_rows(cells, limit)
+    results = _summaries(scan_cells(small, threshold))
+    if big is None:
+        return results
+    scan = large.scan_rows(large.cell_rows(big, slice_rows), anomalies=False, formulas=True, threshold=threshold)
+    totals = big.groupBy("doc_id").agg(F.count_distinct("sheet").alias("total_pages"))
+    return _combined(results, _large_summaries(scan, totals, threshold))

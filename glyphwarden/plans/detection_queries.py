@@ -95,14 +95,19 @@ def src_html_text(spark, folder):
     )
 
 
-_SCORED = "doc_id, risk_score, verdict, n1, n2, n3, n4, n_findings"
+
+
+def _long_length():
+    """Documents scanned in blocks may be longer than an int can count."""
+    return F.col("text_length").cast("bigint").alias("text_length")
 
 
 def _scored(df: DataFrame, *more: str) -> DataFrame:
     s = F.col("threat_summary")
+    total = F.col("n_findings") if "n_findings" in df.columns else F.size("findings").alias("n_findings")
     return df.select(
         "doc_id", "risk_score", "verdict", s["LOW"].alias("n1"), s["MEDIUM"].alias("n2"), s["HIGH"].alias("n3"),
-        s["CRITICAL"].alias("n4"), F.size("findings").alias("n_findings"), *more,
+        s["CRITICAL"].alias("n4"), total, *more,
     )
 
 
@@ -239,10 +244,13 @@ _FORMULA_SQL = (
 )
 
 
-@query("detect_formula", _only([_FORMULA_SQL], extra={"cells": fx.CELLS_SQL}))
+@query("detect_formula", f"""
+SELECT doc_id, sheet, row, col, '{rules.CATEGORY_FORMULA}' AS category, {fx.sql_text(rules.DESCRIPTION_FORMULA)} AS description,
+  'MEDIUM' AS severity, left(value, 100) AS evidence, {sql.double(rules.CONFIDENCE_FORMULA)} AS confidence
+FROM ({fx.CELLS_SQL}) WHERE starts_with(value, '=') AND length(value) > 5""")
 def detect_formula(spark, folder):
-    texts = sources.cell_texts(fx.cells(spark, folder))
-    return _rows(texts, detect.formulas(F.col("cell_values")))
+    found = detect.formula_cells(fx.cells(spark, folder))
+    return found.select("doc_id", "sheet", "row", "col", "category", "description", "severity", "evidence", "confidence")
 
 
 _HIDDEN_SQL = f"""
@@ -309,29 +317,28 @@ def _page_anomaly_sql() -> str:
     {"page_rows": fx.PAGES_SQL, "meta": fx.DOCUMENT_METADATA_SQL,
      **sql.scan_ctes(_PAGED_SRC_SQL, anomalies=False, paged=True, extra=[
          _page_anomaly_sql(), f"SELECT m.* FROM ({_metadata_sql()}) m WHERE doc_id IN (SELECT doc_id FROM src)"])},
-    "SELECT r.*, total_pages, CAST(length(text) AS INTEGER) AS text_length, TRUE AS metadata_scanned "
-    "FROM results r JOIN src USING (doc_id)"))
+    "SELECT r.*, total_pages, CAST(length(text) AS BIGINT) AS text_length FROM results r JOIN src USING (doc_id)"))
 def scan_pages_doc(spark, folder):
-    scanned = scans.scan_pages(fx.pages(spark, folder), fx.document_metadata(spark, folder))
-    return _scored(scanned, "total_pages", "text_length", "metadata_scanned")
+    scanned = scans.summarize_pages(fx.pages(spark, folder), fx.document_metadata(spark, folder))
+    return _scored(scanned, "total_pages", _long_length())
 
 
 @query("scan_parts_doc", sql.with_ctes(
     {"props": fx.PROPERTIES_SQL,
      **sql.scan_ctes(ORACLES["src_paragraph_parts"], anomalies=True, extra=[
          f"SELECT p.* FROM ({_properties_sql('props')}) p WHERE doc_id IN (SELECT doc_id FROM src)"])},
-    "SELECT r.*, CAST(0 AS INTEGER) AS total_pages, CAST(length(text) AS INTEGER) AS text_length "
+    "SELECT r.*, CAST(0 AS INTEGER) AS total_pages, CAST(length(text) AS BIGINT) AS text_length "
     "FROM results r JOIN src USING (doc_id)"))
 def scan_parts_doc(spark, folder):
-    scanned = scans.scan_parts(fx.parts(spark, folder), fx.properties(spark, folder))
-    return _scored(scanned, "total_pages", "text_length")
+    scanned = scans.summarize_parts(fx.parts(spark, folder), fx.properties(spark, folder))
+    return _scored(scanned, "total_pages", _long_length())
 
 
 @query("scan_cells_doc", sql.with_ctes(
     {"cells": fx.CELLS_SQL, **sql.scan_ctes(_CELL_TEXTS_SQL, anomalies=False, extra=[_FORMULA_SQL])},
-    "SELECT r.*, total_pages, CAST(length(text) AS INTEGER) AS text_length FROM results r JOIN src USING (doc_id)"))
+    "SELECT r.*, total_pages, CAST(length(text) AS BIGINT) AS text_length FROM results r JOIN src USING (doc_id)"))
 def scan_cells_doc(spark, folder):
-    return _scored(scans.scan_cells(fx.cells(spark, folder)), "total_pages", "text_length")
+    return _scored(scans.summarize_cells(fx.cells(spark, folder)), "total_pages", _long_length())
 
 
 def _script_families() -> list[str]:

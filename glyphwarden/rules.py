@@ -199,3 +199,45 @@ EXFIL_JAVA = [java_pattern(pattern, dotall=False) for pattern, _, _ in EXFIL_RUL
 INJECTION_SCREEN = [screen_pattern(pattern, leet=True) for pattern, _, _ in INJECTION_RULES]
 EXFIL_SCREEN = [screen_pattern(pattern, leet=False) for pattern, _, _ in EXFIL_RULES]
 INVISIBLE_CLASS = "[" + "".join(chr(code) for code, _ in INVISIBLE_CHARS) + "]"
+
+
+def _rule_words() -> tuple[list[str], list[str]]:
+    """(words a rule can start with, all words of all rules), optional endings both ways."""
+    starts, words = set(), set()
+    for pattern, _, _ in INJECTION_RULES + EXFIL_RULES:
+        plain = re.sub(r"\\[a-zA-Z]", " ", pattern)
+        found = re.findall(r"[A-Za-z]+\??", plain)
+        expanded = [w for word in found for w in ({word.rstrip("?"), word[:-2]} if word.endswith("?") else {word})]
+        words.update(w.lower() for w in expanded if w)
+        head = re.match(r"\(\?:([^)]*)\)|([A-Za-z]+)", pattern)
+        if head:
+            starts.update(alternative.split("\\s")[0].lower() for alternative in (head.group(1) or head.group(2)).split("|"))
+    # Rule X02 may break before its equals sign, behind a word that ends an address.
+    starts.update("email data token secret password key ssn credit".split())
+    return sorted(starts), sorted(words)
+
+
+def open_end_pattern() -> str:
+    """Java pattern: a text (stripped at its end) that a match may continue behind.
+
+    A match only crosses white space behind one of the rules' own words: a whole word,
+    or, for the first word of a rule, the end of one. The substituted reading counts too.
+    """
+    lookalikes = {"i": "ıİ", "s": "ſ", "k": "\u212a"}
+    for source, target in zip(LEET_FROM, LEET_TO):
+        lookalikes[target] = lookalikes.get(target, "") + source
+
+    def spelled(word: str) -> str:
+        return "".join(f"[{ch}{lookalikes[ch]}]" if ch in lookalikes else ch for ch in word)
+
+    starts, words = _rule_words()
+    return (
+        f"(?iu)(?:(?:\\A|[{WHITESPACE}])(?:{'|'.join(map(spelled, words))})|(?:{'|'.join(map(spelled, starts))})),?\\z"
+        "|[:=]\\z"
+    )
+
+
+OPEN_END = open_end_pattern()
+# The only run that may hide a line end is the one behind "now" (at most 80 characters).
+LOOSE_RUN_WORD = "(?iu)n[o0]w"
+LOOSE_RUN_LENGTH = 80
