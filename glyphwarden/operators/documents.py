@@ -35,7 +35,7 @@ def _described(
 
 
 def _measured(df: DataFrame) -> DataFrame:
-    return df.withColumn("text_length", F.char_length("text"))
+    return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_length", F.char_length("text"))
 
 
 def scan_text(df: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFrame:

@@ -216,14 +216,20 @@ def scan_rows(
 
 
 def page_rows(pages: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    ord_ = F.col("page").cast("bigint")
-    return pages.select("doc_id", ord_.alias("ord"), F.floor(ord_ / slice_rows).alias("slice"), "page", "text")
+    # The hash makes the order total should a page number occur twice.
+    text = F.coalesce("text", F.lit(""))
+    return pages.select(
+        "doc_id", F.struct("page", F.xxhash64(text).alias("tie")).alias("ord"),
+        F.floor(F.col("page") / slice_rows).alias("slice"), "page", text.alias("text"),
+    )
 
 
 def part_rows(parts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
     return parts.select(
-        "doc_id", F.struct("kind", "ordinal").alias("ord"),
-        F.struct("kind", F.floor(F.col("ordinal") / slice_rows).alias("part")).alias("slice"), F.lit(1).alias("page"), "text",
+        "doc_id", F.struct("kind", "ordinal", F.xxhash64(text).alias("tie")).alias("ord"),
+        F.struct("kind", F.floor(F.col("ordinal") / slice_rows).alias("part")).alias("slice"), F.lit(1).alias("page"),
+        text.alias("text"),
     )
 
 

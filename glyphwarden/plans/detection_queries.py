@@ -52,7 +52,7 @@ def src_plaintext(spark, folder):
 
 
 @query("src_paged_text", f"""
-SELECT doc_id, string_agg(concat(text, chr(10)), '' ORDER BY page) AS text, CAST(count(*) AS INTEGER) AS total_pages,
+SELECT doc_id, string_agg(concat(text, chr(10)), '' ORDER BY page, text) AS text, CAST(count(*) AS INTEGER) AS total_pages,
        CAST(sum(length(text) + 1) AS INTEGER) AS text_length
 FROM ({fx.PAGES_SQL}) GROUP BY doc_id""")
 def src_paged_text(spark, folder):
@@ -62,7 +62,7 @@ def src_paged_text(spark, folder):
 
 
 @query("src_paragraph_parts", f"""
-SELECT doc_id, string_agg(text, chr(10) ORDER BY kind, ordinal) AS text FROM ({fx.PARTS_SQL}) GROUP BY doc_id""")
+SELECT doc_id, string_agg(text, chr(10) ORDER BY kind, ordinal, text) AS text FROM ({fx.PARTS_SQL}) GROUP BY doc_id""")
 def src_paragraph_parts(spark, folder):
     return sources.part_texts(fx.parts(spark, folder))
 
@@ -285,9 +285,9 @@ def detect_script(spark, folder):
 
 
 _PAGED_SRC_SQL = f"""
-SELECT doc_id, string_agg(concat(text, chr(10)), '' ORDER BY page) AS text, CAST(count(*) AS INTEGER) AS total_pages,
-  list({{'page': page, 'stop': stop}} ORDER BY page) AS ends
-FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page) AS stop FROM ({fx.PAGES_SQL}))
+SELECT doc_id, string_agg(concat(text, chr(10)), '' ORDER BY page, text) AS text, CAST(count(*) AS INTEGER) AS total_pages,
+  list({{'page': page, 'stop': stop}} ORDER BY page, text) AS ends
+FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page, text ROWS UNBOUNDED PRECEDING) AS stop FROM ({fx.PAGES_SQL}))
 GROUP BY doc_id"""
 
 

@@ -31,14 +31,16 @@ def paged_texts(pages: DataFrame) -> DataFrame:
     Keeps ``pages`` (sorted ARRAY<STRUCT<page, text>>): matches may cross pages and are
     attributed to the page they start on.
     """
-    assembled = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    page = F.struct("page", F.coalesce("text", F.lit("")).alias("text"))
+    assembled = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     full = F.array_join(F.transform("pages", lambda p: F.concat(p["text"], F.lit("\n"))), "")
     return assembled.select("doc_id", "pages", full.alias("text"), F.size("pages").alias("total_pages"))
 
 
 def part_texts(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, kind, ordinal, text): paragraphs (kind 0), then table cells (kind 1)."""
-    ordered = F.sort_array(F.collect_list(F.struct("kind", "ordinal", "text")))
+    part = F.struct("kind", "ordinal", F.coalesce("text", F.lit("")).alias("text"))
+    ordered = F.sort_array(F.collect_list(part))
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
