@@ -21,7 +21,6 @@ from glyphwarden import rules
 # Bits of ``other``.
 HAS_INVISIBLE = 1
 HAS_BASE64 = 2
-NFKD_CHANGES = 4
 
 SCREEN_TYPE = T.StructType([
     T.StructField("injection", T.IntegerType()),
@@ -70,10 +69,12 @@ def _screen(texts: pa.Array) -> pa.Array:
     if len(wide_rows):
         wide = texts.take(pa.array(wide_rows))
         other[wide_rows[_matches(wide, rules.INVISIBLE_CLASS)]] |= HAS_INVISIBLE
+        # Normalisation is the dearest kernel: typographic quotes or other scripts do not need it.
+        worth = (injection[wide_rows] != 0) | _matches(wide, rules.decomposing_class())
+        wide_rows, wide = wide_rows[worth], wide.filter(pa.array(worth))
         normal = pc.utf8_normalize(wide, "NFKD")
         changed = pc.not_equal(normal, wide).to_numpy(zero_copy_only=False)
-        other[wide_rows[changed]] |= NFKD_CHANGES
-        wide_rows, normal = wide_rows[changed], normal.take(pa.array(np.flatnonzero(changed)))
+        wide_rows, normal = wide_rows[changed], normal.filter(pa.array(changed))
         bits = _rule_bits(normal, rules.INJECTION_SCREEN)
         nfkd_injection[wide_rows] = bits
         hit = np.zeros(len(texts), dtype=bool)

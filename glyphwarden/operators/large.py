@@ -105,9 +105,11 @@ def _scan_blocks(rows: DataFrame, paged: bool, anomalies: bool, formulas: bool)
     blocks = blocks.withColumn(
         "_leet", F.when(F.col("_screen.injection") != 0, text_functions.unleet(F.col("text")))
     )
-    changes = f"_screen.other & {screening.NFKD_CHANGES} != 0"
-    blocks = blocks.withColumn("_nfkd", F.expr(f"CASE WHEN {changes} THEN _screen.nfkd ELSE text END")).withColumn(
-        "_nfkd_bits", F.expr(f"CASE WHEN {changes} THEN _screen.nfkd_injection ELSE _screen.injection END")
+    # One block that normalisation changes switches the normalised reading on for all.
+    changes = F.col("_changes")
+    blocks = blocks.withColumn("_changes", screening.nfkd(F.col("text")) != F.col("text"))
+    blocks = blocks.withColumn("_nfkd", F.when(changes, F.col("_screen.nfkd")).otherwise(F.col("text"))).withColumn(
+        "_nfkd_bits", F.when(changes, F.col("_screen.nfkd_injection")).otherwise(F.col("_screen.injection"))
     )
     ends = "ends" if paged else None
     blocks = (
@@ -135,7 +137,7 @@ def _scan_blocks(rows: DataFrame, paged: bool, anomalies: bool, formulas: bool)
         "doc_id", "block",
         F.char_length("text").cast("bigint").alias("chars"),
         text_functions.has_leet(F.col("text")).alias("leet"),
-        F.expr(changes).alias("nfkd"),
+        changes.alias("nfkd"),
         F.expr(f"CASE WHEN _screen.other & {screening.HAS_INVISIBLE} != 0 THEN {detect.invisible_counts('text')} END").alias("counts"),
         F.expr(f"concat({', '.join(tagged)})").alias("tagged"),
     )

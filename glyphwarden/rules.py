@@ -9,6 +9,8 @@ their order are exactly these. The second part derives the engine dialects
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import cache
 
 # --------------------------------------------------------------------------
 # Fixed values: (pattern, description, severity), in reporting order.
@@ -153,6 +155,8 @@ RISK_BUCKETS = ["0-19", "20-39", "40-59", "60-79", "80-100"]
 # White_Space characters plus the four ASCII separators U+001C..U+001F. Spelled
 # out because Java, RE2 and Python disagree about a bare \s.
 WHITESPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Folded to "i" by the case-insensitive rules, but not by every engine.
+FOLDED = {"i": "ıİ"}
 WHITESPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
@@ -173,18 +177,14 @@ def re2_pattern(pattern: str) -> str:
     return explicit_whitespace(pattern)
 
 
-def screen_pattern(pattern: str, leet: bool) -> str:
+def screen_pattern(pattern: str, lookalikes: dict[str, str]) -> str:
     """A cheap RE2 pattern that hits at least every text the rule hits.
 
     Counted runs become plain runs and the word boundary is dropped, so the automaton
-    stays small. With ``leet`` every letter also accepts its substitutes, so that a
-    single look at the original text covers the substituted reading as well.
+    stays small. Every character also accepts its lookalikes, so that one look at the
+    original text covers the readings with characters exchanged as well.
     """
     body = re.sub(r"\.\{\d+,\d+\}", "(?s:.)*", pattern.replace(r"\b", ""))
-    lookalikes = {"i": "ıİ"}
-    if leet:
-        for source, target in zip(LEET_FROM, LEET_TO):
-            lookalikes[target] = lookalikes.get(target, "") + source
     parts = re.split(r"(\\.|\(\?[s]?[.:]?|\[[^\]]*\])", body)
     for position, part in enumerate(parts):
         if position % 2 == 0:
@@ -194,10 +194,35 @@ def screen_pattern(pattern: str, leet: bool) -> str:
     return "(?i)" + explicit_whitespace("".join(parts))
 
 
+def _leet_lookalikes() -> dict[str, str]:
+    lookalikes = dict(FOLDED)
+    for source, target in zip(LEET_FROM, LEET_TO):
+        lookalikes[target] = lookalikes.get(target, "") + source
+    return lookalikes
+
+
+@cache
+def decomposing_class() -> str:
+    """Class of the characters whose NFKD form brings in a letter, comma or space of ASCII.
+
+    A text without any of them, and without a hit as it stands, has no hit in its
+    normalised reading: whatever else normalisation does can only break a match up.
+    """
+    ranges: list[list[int]] = []
+    for code in range(128, 0x20000):  # no character beyond decomposes to ASCII
+        normal = unicodedata.normalize("NFKD", chr(code))
+        if normal != chr(code) and any(c.isascii() and (c.isalpha() or c.isspace() or c == ",") for c in normal):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in ranges) + "]"
+
+
 INJECTION_JAVA = [java_pattern(pattern, dotall=True) for pattern, _, _ in INJECTION_RULES]
 EXFIL_JAVA = [java_pattern(pattern, dotall=False) for pattern, _, _ in EXFIL_RULES]
-INJECTION_SCREEN = [screen_pattern(pattern, leet=True) for pattern, _, _ in INJECTION_RULES]
-EXFIL_SCREEN = [screen_pattern(pattern, leet=False) for pattern, _, _ in EXFIL_RULES]
+INJECTION_SCREEN = [screen_pattern(pattern, _leet_lookalikes()) for pattern, _, _ in INJECTION_RULES]
+EXFIL_SCREEN = [screen_pattern(pattern, FOLDED) for pattern, _, _ in EXFIL_RULES]
 INVISIBLE_CLASS = "[" + "".join(chr(code) for code, _ in INVISIBLE_CHARS) + "]"
 
 
@@ -223,9 +248,7 @@ def open_end_pattern() -> str:
     A match only crosses white space behind one of the rules' own words: a whole word,
     or, for the first word of a rule, the end of one. The substituted reading counts too.
     """
-    lookalikes = {"i": "ıİ", "s": "ſ", "k": "\u212a"}
-    for source, target in zip(LEET_FROM, LEET_TO):
-        lookalikes[target] = lookalikes.get(target, "") + source
+    lookalikes = _leet_lookalikes()
 
     def spelled(word: str) -> str:
         return "".join(f"[{ch}{lookalikes[ch]}]" if ch in lookalikes else ch for ch in word)
