@@ -21,6 +21,7 @@ from glyphwarden import rules
 # Bits of ``other``.
 HAS_INVISIBLE = 1
 HAS_BASE64 = 2
+HAS_LONG_LINE = 4
 
 SCREEN_TYPE = T.StructType([
     T.StructField("injection", T.IntegerType()),
@@ -62,6 +63,7 @@ def _screen(texts: pa.Array) -> pa.Array:
     injection = _rule_bits(texts, rules.INJECTION_SCREEN)
     exfil = _rule_bits(texts, rules.EXFIL_SCREEN)
     other = np.where(_matches(texts, rules.BASE64_RUN), HAS_BASE64, 0).astype(np.int32)
+    other[_matches(texts, rules.LONG_STRETCH)] |= HAS_LONG_LINE
     nfkd_injection = np.zeros(len(texts), dtype=np.int32)
     nfkd = pa.nulls(len(texts), pa.string())
 

@@ -187,18 +187,12 @@ def invisible(text: str, other: str | None = None) -> Column:
     return F.expr(f"CASE WHEN {other} & {screening.HAS_INVISIBLE} != 0 THEN {found} ELSE {NO_FINDINGS} END")
 
 
-_PUNCTUATION = ".!?,;:"
-# A stretch of more than 500 characters without a line end or punctuation. It may only
-# start behind one of those, which keeps the search linear.
-_LONG_STRETCH = rf"(?:\A|[\n{_PUNCTUATION}])[^\n{_PUNCTUATION}]{{501}}"
-
-
-def anomalies(text: Column, page: Column | None = None) -> Column:
+def anomalies(text: Column, page: Column | None = None, other: str | None = None) -> Column:
     """Lines of more than 500 characters (stripped) without any punctuation."""
     page = F.lit(1) if page is None else page
     stripped = F.transform(F.split(text, "\n", -1), text_functions.strip)
     long_lines = F.filter(
-        stripped, lambda line: (F.char_length(line) > 500) & ~line.rlike(f"[{_PUNCTUATION}]")
+        stripped, lambda line: (F.char_length(line) > 500) & ~line.rlike(f"[{rules.PUNCTUATION}]")
     )
     found = F.transform(
         long_lines,
@@ -207,11 +201,19 @@ def anomalies(text: Column, page: Column | None = None) -> Column:
             F.concat(F.left(line, F.lit(120)), F.lit("...")), page, rules.CONFIDENCE_ANOMALY,
         ),
     )
-    return F.when((F.char_length(text) > 500) & text.rlike(_LONG_STRETCH), found).otherwise(no_findings())
+    return F.when(_long_line(text, other), found).otherwise(no_findings())
+
+
+def _long_line(text: Column, other: str | None) -> Column:
+    if other is None:
+        return (F.char_length(text) > 500) & text.rlike(rules.LONG_STRETCH)
+    return F.expr(f"{other} & {screening.HAS_LONG_LINE} != 0")
 
 
-def page_anomalies(pages: Column) -> Column:
-    return F.flatten(F.transform(pages, lambda p: anomalies(p["text"], p["page"])))
+def page_anomalies(pages: Column, other: str) -> Column:
+    """The same per page; ``other`` is the screening of the joined text."""
+    found = F.flatten(F.transform(pages, lambda p: anomalies(p["text"], p["page"])))
+    return F.when(_long_line(pages, other), found).otherwise(no_findings())
 
 
 def base64_payloads(text: str, other: str | None = None) -> Column:

@@ -46,7 +46,7 @@ def scan_text(df: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFram
 
 def scan_plain(df: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFrame:
     """Plain-text files (doc_id, text[, filename, file_format])."""
-    found = detect.with_findings(_measured(df), after_invisible=[detect.anomalies(F.col("text"))]).drop("text")
+    found = detect.with_findings(_measured(df), after_invisible=[detect.anomalies(F.col("text"), other="_screen.other")]).drop("text")
     file_format = F.col("file_format") if "file_format" in df.columns else "txt"
     return _described(found, file_format, F.lit(1), False, threshold)
 
@@ -59,7 +59,7 @@ def scan_pages(
     if metadata is not None:
         texts = texts.join(metadata.select("doc_id", *rules.METADATA_FIELDS), "doc_id", "left")
     texts = texts.withColumn("_ends", F.expr(detect.page_ends("pages")))
-    after = [detect.page_anomalies(F.col("pages"))]
+    after = [detect.page_anomalies(F.col("pages"), "_screen.other")]
     if metadata is not None:
         after.insert(0, detect.metadata(rules.METADATA_FIELDS))
     found = detect.with_findings(texts, after_invisible=after, ends="_ends")
@@ -77,7 +77,7 @@ def scan_parts(
         prefixed = [F.col(name).alias(f"_p_{name}") for name in rules.PROPERTY_FIELDS]
         texts = texts.join(properties.select("doc_id", *prefixed), "doc_id", "left")
         last = [detect.properties([f"_p_{name}" for name in rules.PROPERTY_FIELDS])]
-    found = detect.with_findings(texts, after_invisible=[detect.anomalies(F.col("text"))], last=last)
+    found = detect.with_findings(texts, after_invisible=[detect.anomalies(F.col("text"), other="_screen.other")], last=last)
     found = found.drop("text", *[f"_p_{name}" for name in rules.PROPERTY_FIELDS])
     return _described(found, "docx", F.lit(0), False, threshold)
 

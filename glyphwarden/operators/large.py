@@ -126,9 +126,9 @@ def _scan_blocks(rows: DataFrame, paged: bool, anomalies: bool, formulas: bool)
     ]
     if anomalies:
         page = (lambda e: e["page"]) if paged else (lambda e: F.lit(1))
-        blocks = blocks.withColumn(
-            "_f_lines", F.flatten(F.transform("entries", lambda e: detect.anomalies(e["text"], page(e))))
-        )
+        lines = F.flatten(F.transform("entries", lambda e: detect.anomalies(e["text"], page(e))))
+        long_line = F.expr(f"_screen.other & {screening.HAS_LONG_LINE} != 0")
+        blocks = blocks.withColumn("_f_lines", F.when(long_line, lines).otherwise(detect.no_findings()))
         tagged.append(_tagged(ANOMALY, "_f_lines"))
     if formulas:
         blocks = blocks.withColumn("_f_formulas", detect.formulas(F.transform("entries", lambda e: e["text"])))

@@ -215,7 +215,8 @@ def detect_properties(spark, folder):
 
 @query("detect_anomaly", _only([sql.anomaly_sql("src")]))
 def detect_anomaly(spark, folder):
-    return _rows(fx.documents(spark, folder), detect.anomalies(F.col("text")))
+    df = detect.screened(fx.documents(spark, folder))
+    return _rows(df, detect.anomalies(F.col("text"), other="_screen.other"))
 
 
 @query("detect_base64", _only([sql.base64_sql()], extra=sql.base64_ctes("src")))

@@ -42,7 +42,7 @@ def scan_uploads(uploads: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) ->
             detect.scripts("_html.scripts", "_html.script_injection", "_html.script_exfil"),
         ],
         after_invisible=[
-            F.when(kind.isin("paged", "parts", "plain"), detect.anomalies(F.col("text"))).otherwise(detect.no_findings())
+            F.when(kind.isin("paged", "parts", "plain"), detect.anomalies(F.col("text"), other="_screen.other")).otherwise(detect.no_findings())
         ],
     )
     results = score.scored(
