@@ -256,11 +256,9 @@ def leaderboard(records: DataFrame, users: DataFrame, badges: DataFrame, size: i
         "user_id", "email", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("scan_count", "threat_count")]
     )
     top = everyone.orderBy(F.desc("scan_count"), "user_id").limit(size)
-    # From here on at most ``size`` rows.
+    # At most ``size`` rows: ranking them in one partition is fine.
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("scan_count"), "user_id")))
-    held = badges.join(F.broadcast(top.select("user_id")), "user_id", "left_semi").groupBy("user_id").agg(
-        F.count("*").alias("badge_count")
-    )
+    held = badges.groupBy("user_id").agg(F.count("*").alias("badge_count"))
     return ranked.join(held, "user_id", "left").select(
         "rank", "user_id", text_functions.mask_email(F.col("email")).alias("email_masked"), "scan_count", "threat_count",
         F.coalesce("badge_count", F.lit(0)).alias("badge_count"),
