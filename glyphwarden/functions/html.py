@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import numpy as np
@@ -82,8 +83,7 @@ class _PageParser(HTMLParser):
         self.run.append(data)
 
     def handle_entityref(self, name: str) -> None:
-        known = unescape(f"&{name};")
-        self.run.append(known if known != f"&{name};" else f"&{name}")
+        self.run.append(html5.get(f"{name};", f"&{name}"))
 
     def handle_charref(self, name: str) -> None:
         self.run.append(unescape(f"&#{name};"))

@@ -85,6 +85,8 @@ def _html_text_sql() -> str:
     runs = f"array_to_string(list_filter(string_split_regex({bare}, '<[^>]*>'), lambda r: r <> ''), chr(10))"
     for entity, char in [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]:
         runs = f"replace({runs}, '{entity}', {fx.sql_text(char)})"
+    # Cut-off titles end in an entity without its semicolon.
+    runs = f"regexp_replace({runs}, '&amp(\\n|$)', '&\\1', 'g')"
     return f"SELECT doc_id, url, {runs} AS text, html FROM ({fx.HTML_PAGES_SQL})"
 
 
