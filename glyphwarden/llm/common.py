@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphwarden.session import fresh_folder
@@ -26,11 +28,18 @@ def text_key(text: Column) -> Column:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: it is computed once and survives lost executors."""
-    spark = df.sparkSession
+    """Write a step to the shared folder and read it back: it is computed once and survives lost executors.
+
+    The shuffle files behind a stored step are not needed any more. Spark drops them when the
+    driver has collected its garbage, which may be long after; so that is asked for here.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def ranked(rows: DataFrame, group: str, bucket: str, order: list, rank: str, total: str) -> DataFrame:

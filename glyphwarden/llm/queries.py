@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import mixing, sharding
+from glyphwarden.llm import mixing, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
+_WORDS_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS gram FROM g),
+f AS (SELECT gram, min(doc_id) AS first FROM k GROUP BY gram),
+c AS (SELECT DISTINCT k.doc_id, i + j.j AS i FROM k JOIN f USING (gram), range(0, 13) AS j(j) WHERE doc_id > first),
+p AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM w),
+r AS (
+  SELECT p.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY p.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)"""
+
+
+@query("op4_substring_dedup", _WORDS_SQL)
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeated_words(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
