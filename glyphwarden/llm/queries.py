@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import mixing, sharding, substring_dedup, suffix_dedup
+from glyphwarden.llm import mixing, ngram_join, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -80,6 +80,28 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_rows(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_JACCARD_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (
+  WITH RECURSIVE reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.x, p.y FROM reach JOIN p ON p.x = reach.y)
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id FROM s JOIN r ON r.x = s.doc_id"""
+
+
+@query("op7_ngram_jaccard", _JACCARD_SQL)
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"), k=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 @query("op10_interleaved_shards")
 def op10_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, folder, "documents"))
