@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import mixing, ngram_join, sharding, substring_dedup, suffix_dedup
+from glyphwarden.llm import mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).select(
