@@ -45,8 +45,8 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def tokens(texts: Texts, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, bounds of the documents) of runs of letters and digits and runs of punctuation."""
+def token_spans(texts: Texts, data: np.ndarray) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
+    """(rolling hash, starts, ends, bounds of the documents) of runs of letters and digits and runs of punctuation."""
     kind = _KINDS[data]
     change = np.ones(len(data) + 1, bool)
     change[1:-1] = kind[1:] != kind[:-1]
@@ -55,13 +55,14 @@ def tokens(texts: Texts, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = places[:-1], places[1:]
     inside = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
     starts, ends = starts[inside], ends[inside]
-    return Rolling(texts.symbols(0, data), 0).spans(starts, ends), np.searchsorted(starts, texts.offsets)
+    return Rolling(texts.symbols(0, data), 0), starts, ends, np.searchsorted(starts, texts.offsets)
 
 
 def ngram_buckets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every token and of every pair of neighbouring tokens of a document."""
     texts = Texts(part.column("text"))
-    hashes, bounds = tokens(texts, texts.bytes)
+    rolling, starts, ends, bounds = token_spans(texts, texts.bytes)
+    hashes = rolling.spans(starts, ends)
     row = np.repeat(np.arange(texts.n), np.diff(bounds))
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if len(hashes) else hashes
     same = row[1:] == row[:-1]
@@ -72,6 +73,11 @@ def ngram_buckets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Whether bytes belong to words (letters, digits, everything beyond ASCII)."""
+    return _KINDS[data] == 1
+
+
 def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -86,7 +92,7 @@ def _per_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, minlength=n).astype(np.int64)
 
 
-def _repeats(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For hashes within rows: (is an equal one earlier, is an equal one anywhere else)."""
     order = np.lexsort((hashes, row))
     same = (row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
@@ -117,12 +123,12 @@ def base_counts(part: pa.RecordBatch) -> dict[str, np.ndarray]:
     line_ends = line_ends - ((line_ends > line_starts) & (data[line_ends - 1] == 10)) if len(line_starts) else line_ends
     holds = np.searchsorted(words.starts, line_ends) > np.searchsorted(words.starts, line_starts)
     line_starts, line_ends, owner = line_starts[holds], line_ends[holds], owner[holds]
-    again, _ = _repeats(owner, Rolling(texts.symbols(0), 0).spans(line_starts, line_ends))
+    again, _ = repeats(owner, Rolling(texts.symbols(0), 0).spans(line_starts, line_ends))
 
     grams = Rolling(words.hash, 0).windows(3)
     inside = words.document[: len(grams)] == words.document[2:]
     places = np.flatnonzero(inside)
-    _, twice = _repeats(words.document[places], grams[places])
+    _, twice = repeats(words.document[places], grams[places])
     covered = np.zeros(len(words.hash), bool)
     for step in range(3):
         covered[places[twice] + step] = True
