@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup
+from glyphwarden.llm import mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +31,20 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo the divisor: which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder(3) != 1)
+    return scores.select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents")).select(
