@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from glyphwarden.llm import decontamination, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -73,6 +73,11 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
