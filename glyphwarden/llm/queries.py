@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import decontamination, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from glyphwarden.llm import decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -128,6 +128,14 @@ def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return language_id.identified(table(spark, folder, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 @query("op10_interleaved_shards")
 def op10_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, folder, "documents"))
