@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from glyphwarden.llm import chat_format, decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -136,6 +136,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_chat_format")
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.repaired(table(spark, folder, "conversations"))
+
+
 @query("op10_interleaved_shards")
 def op10_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, folder, "documents"))
