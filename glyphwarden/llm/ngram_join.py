@@ -260,3 +260,23 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("first") < MAX_LONG, F.col("first")).alias("component_id"), "doc", "tkey",
     )
+
+
+def keep_first(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with the columns it came with: the least (doc_id, text) of the component.
+
+    Texts without words are linked with nothing and all stay.
+    """
+    found = store(near_duplicates(documents, k, percent), "near-duplicates")
+    linked = found.filter("n_shingles > 0")
+    # A component whose rows have no id is told apart by its least row alone.
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.col("tkey").cast("string")))
+    first = linked.groupBy(group.alias("group")).agg(F.min(F.struct("doc", "tkey")).alias("kept")).select("kept.doc", "kept.tkey")
+    rows = documents.select(
+        F.struct(*documents.columns).alias("_row"), document_key(F.col("doc_id")).alias("_doc"), text_key(F.col("text")).alias("_tkey")
+    )
+    chosen = rows.join(first.distinct(), (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left_semi")
+    blank = found.filter("n_shingles = 0").select("doc", "tkey").distinct()
+    empty = rows.join(blank, (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left_semi").select("_row.*")
+    # Repeated rows of one id and text are copies of each other.
+    return chosen.dropDuplicates(["_doc", "_tkey"]).select("_row.*").unionByName(empty)
