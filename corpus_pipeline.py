@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphwarden.llm import mixing, sharding
+from glyphwarden.llm import decontamination, mixing, ngram_join, quality, sharding
 from glyphwarden.session import fresh_folder
 
 
+def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; the trusted target are the documents labelled good."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more)."""
+    return ngram_join.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
     return mixing.mix_documents(docs)
@@ -18,9 +33,12 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES = [("mix sources", mix), ("shard", shard)]
+STAGES = [
+    ("quality rules", rate), ("near duplicates", dedupe), ("benchmark decontamination", decontaminate), ("source mix", mix),
+    ("shards", shard),
+]
 
-#: Two stages use learned or hashed scores that SQL cannot express; tests/llm compares with brute force.
+#: SQL cannot express the hashed scores of the first stage; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
