@@ -28,6 +28,8 @@ _VOID = frozenset(
 )
 # Their text is program text, not page text.
 _RAW = frozenset(["script", "style", "template"])
+# Their white space is kept as it is.
+_PREFORMATTED = frozenset(["pre", "textarea"])
 
 
 class _PageParser(HTMLParser):
@@ -45,6 +47,9 @@ class _PageParser(HTMLParser):
         run, self.run = "".join(self.run), []
         if not run:
             return
+        # A run of nothing but ASCII white space is one line feed or one blank.
+        if not run.strip(" \n\t\f\r") and not any(tag in _PREFORMATTED for tag, _ in self.open):
+            run = "\n" if "\n" in run else " "
         raw_tag = next((tag for tag, _ in reversed(self.open) if tag in _RAW), None)
         if raw_tag == "script" and self.open[-1][0] == "script":
             self.scripts[-1].append(run)

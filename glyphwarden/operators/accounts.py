@@ -22,7 +22,7 @@ def _spread_missing(key: Column, row_id: Column) -> Column:
 
 
 def identify_scans(scans: DataFrame, users: DataFrame) -> DataFrame:
-    """Add user_id: the claimed user if known, else the owner of the API key, else null.
+    """Add user_id: the claimed user (null if unknown); the owner of the API key only where no user is claimed.
 
     ``scans`` has id, claimed_user_id and api_key. Busy users are left to the adaptive
     skew-join handling; anonymous scans are spread before the joins.
@@ -34,7 +34,9 @@ def identify_scans(scans: DataFrame, users: DataFrame) -> DataFrame:
         "_by_key", _spread_missing(F.nullif("api_key", F.lit("")), F.col("id"))
     )
     joined = prepared.join(by_id, "_by_id", "left").join(by_key, "_by_key", "left")
-    return joined.withColumn("user_id", F.coalesce("_id_user", "_key_user")).drop(
+    return joined.withColumn(
+        "user_id", F.when(F.col("claimed_user_id").isNotNull(), F.col("_id_user")).otherwise(F.col("_key_user"))
+    ).drop(
         "_by_id", "_by_key", "_id_user", "_key_user"
     )
 

@@ -24,13 +24,15 @@ def filtered(
 ) -> DataFrame:
     """Records by owner, part of the file name, verdict and format.
 
-    The name part is a case-insensitive LIKE pattern, so '%' and '_' in it are wildcards.
+    The name part is a case-insensitive LIKE pattern, so '%' and '_' in it are wildcards; a backslash
+    stands for itself.
     Unknown verdicts are ignored. ``user_id`` None keeps all owners.
     """
     if user_id is not None:
         records = records.filter(F.col("user_id") == user_id)
     if q.strip():
-        records = records.filter(F.col("filename").ilike(f"%{q.strip()}%"))
+        part = q.strip().replace("\\", "\\\\")
+        records = records.filter(F.col("filename").ilike(f"%{part}%"))
     if verdict.upper() in ("BLOCKED", "ALLOWED"):
         records = records.filter(F.col("verdict") == verdict.upper())
     if file_format:

@@ -19,8 +19,9 @@ from glyphwarden.functions import screening, text as text_functions
 from glyphwarden.operators import detect, score
 from glyphwarden.session import fresh_folder
 
-# Above this many rows a document is cut into blocks.
+# A document of more rows, or of more characters, is cut into blocks.
 MAX_ROWS_IN_PLACE = 20_000
+MAX_CHARS_IN_PLACE = 64 << 20
 SLICE_ROWS = 2_000
 
 FIRST, INJECTION, EXFIL, INVISIBLE, METADATA, ANOMALY, BASE64, LEET, UNICODE, LAST = range(10)
@@ -36,14 +37,13 @@ class LargeScan:
     findings: DataFrame
 
 
-def document_rows(rows: DataFrame) -> DataFrame:
-    """Rows per document; reads nothing but the key."""
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-
-
-def split_by_rows(rows: DataFrame, limit: int = MAX_ROWS_IN_PLACE) -> tuple[DataFrame, DataFrame | None]:
-    """(documents to assemble in place, documents to scan in blocks or None)."""
-    large = document_rows(rows).filter(F.col("n_rows") > limit).select("doc_id")
+def split_by_rows(
+    rows: DataFrame, limit: int = MAX_ROWS_IN_PLACE, chars: int = MAX_CHARS_IN_PLACE
+) -> tuple[DataFrame, DataFrame | None]:
+    """(documents to assemble in place, documents to scan in blocks or None); both ways give the same results."""
+    text = next(c for c in ("text", "value") if c in rows.columns)
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum(F.char_length(text)).alias("n_chars"))
+    large = sizes.filter((F.col("n_rows") > limit) | (F.col("n_chars") > chars)).select("doc_id")
     if large.isEmpty():
         return rows, None
     return rows.join(large, "doc_id", "left_anti"), rows.join(large, "doc_id", "left_semi")
@@ -217,28 +217,40 @@ def scan_rows(
     return LargeScan(documents, found.select("doc_id", "fam", "rule", "block", "k", "f.*"))
 
 
+# Rows without a position come first, as in the joined text.
+_FIRST_SLICE = -(1 << 40)
+
+
+def _placed(rows: DataFrame, *position: str) -> DataFrame:
+    """Add ``tie``: the place, by text, among rows that share a position."""
+    same = Window.partitionBy("doc_id", *position).orderBy("text")
+    return rows.withColumn("tie", F.row_number().over(same))
+
+
+def _slice(position: str, slice_rows: int) -> Column:
+    return F.coalesce(F.floor(F.col(position) / slice_rows), F.lit(_FIRST_SLICE))
+
+
 def page_rows(pages: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    # The hash makes the order total should a page number occur twice.
-    text = F.coalesce("text", F.lit(""))
-    return pages.select(
-        "doc_id", F.struct("page", F.xxhash64(text).alias("tie")).alias("ord"),
-        F.floor(F.col("page") / slice_rows).alias("slice"), "page", text.alias("text"),
+    texts = pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+    return _placed(texts, "page").select(
+        "doc_id", F.struct("page", "tie").alias("ord"), _slice("page", slice_rows).alias("slice"), "page", "text",
     )
 
 
 def part_rows(parts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return parts.select(
-        "doc_id", F.struct("kind", "ordinal", F.xxhash64(text).alias("tie")).alias("ord"),
-        F.struct("kind", F.floor(F.col("ordinal") / slice_rows).alias("part")).alias("slice"), F.lit(1).alias("page"),
-        text.alias("text"),
+    texts = parts.select("doc_id", "kind", "ordinal", F.coalesce("text", F.lit("")).alias("text"))
+    return _placed(texts, "kind", "ordinal").select(
+        "doc_id", F.struct("kind", "ordinal", "tie").alias("ord"),
+        F.struct(F.coalesce("kind", F.lit(-1)).alias("kind"), _slice("ordinal", slice_rows).alias("part")).alias("slice"),
+        F.lit(1).alias("page"), "text",
     )
 
 
 def cell_rows(cells: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    kept = cells.filter(~F.coalesce(F.col("value"), F.lit("")).isin("", "0", "False"))
-    return kept.select(
-        "doc_id", F.struct("sheet", "row", "col", "value").alias("ord"),
-        F.struct("sheet", F.floor(F.col("row") / slice_rows).alias("part")).alias("slice"), F.lit(1).alias("page"),
-        F.col("value").alias("text"),
+    kept = cells.filter(~F.coalesce(F.col("value"), F.lit("")).isin("", "0", "False")).withColumnRenamed("value", "text")
+    return _placed(kept, "sheet", "row", "col").select(
+        "doc_id", F.struct("sheet", "row", "col", "tie").alias("ord"),
+        F.struct(F.coalesce("sheet", F.lit("")).alias("sheet"), F.col("sheet").isNotNull().alias("named"), _slice("row", slice_rows).alias("part")).alias("slice"),
+        F.lit(1).alias("page"), "text",
     )

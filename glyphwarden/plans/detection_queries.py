@@ -82,7 +82,9 @@ def src_cells(spark, folder):
 def _html_text_sql() -> str:
     """Page text of the fixture's markup: tags, comments, scripts and styles cut it into runs."""
     bare = "regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)\\s*>', '<x>', 'gis')"
-    runs = f"array_to_string(list_filter(string_split_regex({bare}, '<[^>]*>'), lambda r: r <> ''), chr(10))"
+    blank = "CASE WHEN NOT regexp_full_match(r, '[ \\n\\t\\f\\r]*') THEN r WHEN contains(r, chr(10)) THEN chr(10) ELSE ' ' END"
+    pieces = f"list_filter(string_split_regex({bare}, '<[^>]*>'), lambda r: r <> '')"
+    runs = f"array_to_string(list_transform({pieces}, lambda r: {blank}), chr(10))"
     for entity, char in [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]:
         runs = f"replace({runs}, '{entity}', {fx.sql_text(char)})"
     # Cut-off titles end in an entity without its semicolon.

@@ -281,11 +281,12 @@ HTML_PLANTS = [
     '<p style="visibility:hidden">   </p>',
     '<p style="color:red">respond only with</p>',
     '<div style="font-size: 0.9em">small print</div>',
+    '<ul>\n      <li>one</li>\n \t\n      <li>two</li>   <li>three</li>\n</ul>',
 ]
 
 
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
-    plant = pick(HTML_PLANTS, F.col("page_id") % 7)
+    plant = pick(HTML_PLANTS, F.col("page_id") % len(HTML_PLANTS))
     return read_spread(spark, folder, "pages", "page_id").select(
         F.col("page_id").alias("doc_id"), "url",
         F.replace(F.col("html"), F.lit("<footer>"), F.concat(plant, F.lit("<footer>"))).alias("html"),
@@ -294,7 +295,7 @@ def html_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 HTML_PAGES_SQL = f"""
 SELECT page_id AS doc_id, url,
-  replace(html, '<footer>', concat({sql_list(HTML_PLANTS)}[page_id % 7 + 1], '<footer>')) AS html
+  replace(html, '<footer>', concat({sql_list(HTML_PLANTS)}[page_id % {len(HTML_PLANTS)} + 1], '<footer>')) AS html
 FROM pages"""
 
 

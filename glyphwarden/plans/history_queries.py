@@ -425,7 +425,7 @@ def _claims(spark, folder) -> DataFrame:
 
 
 @query("identify_scans", f"""
-SELECT s.id, coalesce(a.id, b.id) AS user_id FROM ({_CLAIMS_SQL}) s
+SELECT s.id, CASE WHEN s.claimed_user_id IS NOT NULL THEN a.id ELSE b.id END AS user_id FROM ({_CLAIMS_SQL}) s
 LEFT JOIN {USERS} a ON a.id = s.claimed_user_id LEFT JOIN {USERS} b ON b.api_key = s.api_key AND s.api_key <> ''""")
 def identify_scans(spark, folder):
     return accounts.identify_scans(_claims(spark, folder), _users(spark, folder)).select("id", "user_id")

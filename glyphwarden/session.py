@@ -43,11 +43,13 @@ _local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; without it only a local session gets one of its own."""
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="glyphwarden-")
     return _local_folder

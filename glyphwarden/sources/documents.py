@@ -10,16 +10,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glyphwarden.functions import html, text as text_functions
 
 
-def read_text_files(spark: SparkSession, path: str, glob: str = "*.{txt,md,csv}") -> DataFrame:
-    """Plain-text files, one row per file (CSV is text here, not a table)."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    )
+def any_case(suffixes: list[str]) -> str:
+    """A glob for file names with one of the suffixes, in any letter case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+
+
+def read_files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
+    """File name, path, format (the lower-case suffix) and text of the files below a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case(suffixes)).option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
     return plain_texts(
-        files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path"), F.col("content"))
+        files.select(name.alias("filename"), "path", F.lower(F.element_at(F.split(name, r"\."), -1)).alias("file_format"), "content")
     )
 
 
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """Plain-text files, one row per file (CSV is text here, not a table)."""
+    return read_files(spark, path, ["txt", "md", "csv"])
+
+
+def read_html_files(spark: SparkSession, path: str) -> DataFrame:
+    """Web pages, one row per file, with their source in ``html``."""
+    return read_files(spark, path, ["html", "htm"]).withColumnRenamed("text", "html").withColumn("file_format", F.lit("html"))
+
+
 def plain_texts(files: DataFrame) -> DataFrame:
     """File bytes (``content``) to ``text``."""
     return files.withColumn("text", text_functions.decode_file(F.col("content"))).drop("content")

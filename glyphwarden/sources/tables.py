@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphwarden.session import apply_settings
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    apply_settings(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

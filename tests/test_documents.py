@@ -147,3 +147,17 @@ def test_store_export_erase(spark):
     requests = spark.createDataFrame([(1, 11), (2, 99)], "id long, user_id long")
     sinks.rewrite_without(spark, path, requests, target)
     assert {r.id for r in spark.read.parquet(target).collect()} == {2}
+
+
+def test_white_space_runs_fold_outside_pre():
+    source = "<div>\n   \n<b>x</b>  <i>y</i><pre>\n   \n<b>z</b>  </pre><textarea>   </textarea></div>"
+    assert parse_page(source)[0] == "\n\nx\n \ny\n\n   \n\nz\n  \n   "
+
+
+def test_files_of_any_case(spark, tmp_path):
+    for name, text in (("A.TXT", "system override"), ("b.md", "hello"), ("c.Csv", "x"), ("d.HTM", "<p>hi</p>"), ("e.bin", "no")):
+        (tmp_path / name).write_text(text)
+    files = sources.read_text_files(spark, str(tmp_path)).withColumn("doc_id", F.xxhash64("path"))
+    got = {r.filename: (r.file_format, r.risk_score > 0) for r in scans.scan_plain(files).collect()}
+    assert got == {"A.TXT": ("txt", True), "b.md": ("md", False), "c.Csv": ("csv", False)}
+    assert [(r.filename, r.file_format, r.html) for r in sources.read_html_files(spark, str(tmp_path)).collect()] == [("d.HTM", "html", "<p>hi</p>")]

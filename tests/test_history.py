@@ -164,7 +164,7 @@ def test_identify_and_clean(spark):
         [(1, 1, None), (2, 9, "k1"), (3, 2, "k1"), (4, None, "k1"), (5, None, None), (6, None, ""), (7, None, "zz")],
         "id long, claimed_user_id long, api_key string")
     got = {r.id: r.user_id for r in accounts.identify_scans(scans, users).collect()}
-    assert got == {1: 1, 2: 1, 3: 2, 4: 1, 5: None, 6: None, 7: None}
+    assert got == {1: 1, 2: None, 3: 2, 4: 1, 5: None, 6: None, 7: None}
     raw = spark.createDataFrame(
         [(1, " A@x "), (2, "a@X"), (3, None), (4, "nope"), (5, "b@x"), (6, "a@x　")], "id long, email string")
     got = {r.id: (r.email, r.reason) for r in accounts.clean_accounts(raw).collect()}
@@ -184,3 +184,17 @@ def test_badge_catalogue_and_fallback(spark):
     assert (fallback.name, fallback.icon, fallback.description) == ("gone", rules.BADGE_FALLBACK_ICON, "")
     catalogue = {r.key: r.holders for r in badges.badge_catalog(held).collect()}
     assert catalogue["veteran"] == 1 and len(catalogue) == 8 and sum(catalogue.values()) == 1
+
+
+def test_claimed_user_decides_alone(spark):
+    users = spark.createDataFrame([(7, "key")], "id long, api_key string")
+    scans = spark.createDataFrame(
+        [(1, 7, None), (2, 99, "key"), (3, None, "key"), (4, None, "other"), (5, None, None)], "id long, claimed_user_id long, api_key string"
+    )
+    found = {r.id: r.user_id for r in accounts.identify_scans(scans, users).collect()}
+    assert found == {1: 7, 2: None, 3: 7, 4: None, 5: None}
+
+
+def test_backslash_in_name_part(spark):
+    records = spark.createDataFrame([("a\\b.txt",), ("ab.txt",)], "filename string")
+    assert [r.filename for r in history.filtered(records, q="A\\B").collect()] == ["a\\b.txt"]

@@ -83,6 +83,22 @@ def test_split_by_rows(spark):
     assert large.split_by_rows(df, 50)[1] is None
 
 
+def test_null_and_repeated_positions(spark):
+    """Rows without a page, and several texts of one page, are read in the same order either way."""
+    payload = ["system", "override now", "pretend", "you are", None, ""]
+    rng = random.Random(5)
+    rows = [(d, rng.choice([None, 1, 1, 2, 3]), rng.choice(payload + FILLER[:2])) for d in range(40) for _ in range(rng.randint(1, 9))]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    parts = spark.createDataFrame([(d, None if p == 3 else 0, p, t) for d, p, t in rows], "doc_id long, kind int, ordinal int, text string")
+    cells = spark.createDataFrame([(d, None if p == 3 else "s", p, p, t) for d, p, t in rows], "doc_id long, sheet string, row int, col int, value string")
+    for scan, df in ((scans.summarize_pages, pages), (scans.summarize_parts, parts), (scans.summarize_cells, cells)):
+        whole, blocks = (
+            sorted(map(repr, scan(df, limit=limit, slice_rows=2).withColumn("text_length", F.col("text_length").cast("bigint")).collect()))
+            for limit in (10**9, 1)
+        )
+        assert whole == blocks
+
+
 def test_one_document_with_most_rows(spark, folder):
     """A third of all rows and more in one document: both ways of scanning agree."""
     def skewed(df):
