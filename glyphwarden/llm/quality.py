@@ -198,7 +198,8 @@ def judged(documents: DataFrame, labels: DataFrame, fence: float = FENCE) -> Dat
     spark = documents.sparkSession
     target = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
     raw_counts = _held(documents.select("text").mapInArrow(count_buckets, "bucket int, n long"))
-    target_text = documents.select("doc_id", "text").join(target, "doc_id", "left_semi").select("text")
+    # Labels grow with the corpus: always a merge join, however few there are.
+    target_text = documents.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left_semi").select("text")
     target_counts = _held(target_text.mapInArrow(count_buckets, "bucket int, n long"))
     model = spark.sparkContext.broadcast((target_counts, raw_counts))
     rows = documents.select("doc_id", text_key(F.col("text")).alias("tkey"), "text").mapInArrow(Score(model), Score.SCHEMA)
