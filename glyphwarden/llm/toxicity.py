@@ -1,9 +1,10 @@
 """Toxicity: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 Learning. Tokens (words, ASCII capitals lowered, each once a document) and the beginnings of longer
-words are hashed into 2**22 buckets and counted in toxic and in clean training documents. A
-token is read through the most specific of its features - the whole token, then ever shorter
-beginnings - that was seen ``EVIDENCE`` times. Its log-odds use a Dirichlet prior in
+words are hashed into 2**22 buckets and counted in toxic training documents, and those that
+toxic documents use in clean ones. A token is read through the most specific of its features
+- the whole token, then ever shorter beginnings - that toxic documents have and that was seen
+``EVIDENCE`` times. Its log-odds use a Dirichlet prior in
 proportion to the pooled counts, weighing ``PRIOR`` times the toxic tokens; a positive score is
 lowered by ``DOUBT`` standard errors, and what is not surely positive costs ``DRIFT``. So the
 scores of clean text sum to a falling walk.
@@ -78,25 +79,42 @@ def token_features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return features, bounds
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per bucket of toxic and clean documents of a task; bucket -1 has the tokens themselves."""
-    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
-    totals = np.zeros(2, np.int64)
-    for batch in batches:
-        for part in slices(batch):
-            features, bounds = token_features(part)
-            toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            for kind, rows in enumerate((toxic, ~toxic)):
-                seen = features[rows].ravel()
-                np.add.at(counts[kind], seen[seen >= 0], 1)
-                totals[kind] += int(rows.sum())
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(totals[:1]), pa.array(totals[1:])], names=["bucket", "t", "c"])
-    full = np.flatnonzero(counts.any(axis=0))
-    for begin in range(0, len(full), 1 << 16):
-        some = full[begin : begin + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), *[pa.array(c[some].astype(np.int64)) for c in counts]], names=["bucket", "t", "c"]
-        )
+class CountFeatures:
+    """Documents per bucket in a task, and the tokens themselves under bucket -1.
+
+    With ``used`` (packed bits) only buckets that it holds are counted.
+    """
+
+    SCHEMA = "bucket int, n long"
+
+    def __init__(self, used=None):
+        self.used = used
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int32)
+        used = None if self.used is None else np.unpackbits(self.used.value).astype(bool)
+        total = 0
+        for batch in batches:
+            for part in slices(batch):
+                features, _ = token_features(part)
+                total += int((features[:, 0] >= 0).sum())
+                seen = features.ravel()
+                seen = seen[seen >= 0]
+                np.add.at(counts, seen if used is None else seen[used[seen]], 1)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], names=["bucket", "n"])
+        for begin in range(0, len(full), 1 << 16):
+            some = full[begin : begin + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], names=["bucket", "n"])
+
+
+def count_features(texts: DataFrame, used=None) -> np.ndarray:
+    """Counts by bucket over all rows; the last place has the number of tokens."""
+    held = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
+    counts = texts.select("text").mapInArrow(CountFeatures(used), CountFeatures.SCHEMA).groupBy("bucket").agg(F.sum("n").alias("n"))
+    for batch in counts.toArrow().to_batches():
+        held[batch.column("bucket").to_numpy()] = batch.column("n").to_numpy()
+    return held
 
 
 class Model:
@@ -117,13 +135,18 @@ class Model:
         sure = odds - DOUBT * np.sqrt(1 / (toxic + expected) + 1 / (clean + expected))
         return np.where((toxic > 0) & (sure > 0), sure, -DRIFT)
 
+    def tabulate(self) -> Model:
+        """What scoring needs: scores by bucket (the last place is for no feature), without the counts."""
+        relied = np.append((self.toxic > 0) & (self.toxic + self.clean >= EVIDENCE), False)
+        places = np.flatnonzero(relied)
+        table = np.full(len(relied), -DRIFT, np.float32)
+        table[places] = self.odds(self.toxic[places].astype(float), self.clean[places].astype(float), self.totals)
+        light = Model(np.zeros(0, np.int32), np.zeros(0, np.int32), self.totals)
+        light.rate, light.log_k, light.curve, light.table = self.rate, self.log_k, self.curve, (table, relied)
+        return light
+
     def scores(self, features: np.ndarray) -> np.ndarray:
         """The score of each token."""
-        if self.table is None:
-            relied = self.toxic.astype(np.int64) + self.clean >= EVIDENCE
-            table = self.odds(self.toxic.astype(float), self.clean.astype(float), self.totals).astype(np.float32)
-            unknown = self.odds(np.zeros(1), np.zeros(1), self.totals)[0]
-            self.table = np.append(table, np.float32(unknown)), np.append(relied, False)
         table, relied = self.table
         out = np.full(len(features), table[-1], np.float32)
         for i in range(features.shape[1] - 1, -1, -1):
@@ -137,10 +160,10 @@ class Model:
         inverse = inverse.reshape(features.shape)
         toxic, clean = self.toxic[bucket].astype(float), self.clean[bucket].astype(float)
         totals = list(self.totals)
-        totals[0 if own_toxic else 1] -= len(features)
+        totals[0 if own_toxic else 1] -= int((features[:, 0] >= 0).sum())
         own_counts = toxic if own_toxic else clean
         own_counts[:] = np.maximum(own_counts - own, 0)
-        relied = (toxic + clean >= EVIDENCE) & (bucket >= 0)
+        relied = (toxic > 0) & (toxic + clean >= EVIDENCE) & (bucket >= 0)
         scores = self.odds(toxic, clean, tuple(totals))
         out = np.full(len(features), self.odds(np.zeros(1), np.zeros(1), tuple(totals))[0])
         for i in range(features.shape[1] - 1, -1, -1):
@@ -279,22 +302,17 @@ class Steps:
 def learn(training: DataFrame) -> Model | None:
     """Fit on stored rows (key: a hash, text, toxic: 0 or 1)."""
     spark = training.sparkSession
-    counts = training.select("text", "toxic").mapInArrow(count_features, "bucket int, t long, c long").groupBy("bucket").agg(
-        F.sum("t").alias("t"), F.sum("c").alias("c")
-    ).toArrow()
-    held = np.zeros((2, (1 << BUCKET_BITS) + 1), np.int64)  # the place of bucket -1 is the last
-    for batch in counts.to_batches():
-        bucket = batch.column("bucket").to_numpy()
-        held[0][bucket], held[1][bucket] = batch.column("t").to_numpy(), batch.column("c").to_numpy()
-    totals = (float(held[0][-1]), float(held[1][-1]))
+    toxic = count_features(training.filter("toxic = 1"))
+    used = spark.sparkContext.broadcast(np.packbits(toxic[:-1] > 0))
+    clean = count_features(training.filter("toxic = 0"), used)
+    totals = (float(toxic[-1]), float(clean[-1]))
     if not totals[0] or not totals[1]:
         return None
-    model = Model(held[0][:-1].astype(np.int32), held[1][:-1].astype(np.int32), totals)
+    model = Model(toxic[:-1].astype(np.int32), clean[:-1].astype(np.int32), totals)
     clean_scores = training.filter("toxic = 0").select("text").mapInArrow(
-        Steps(spark.sparkContext.broadcast(model)), "step long, n long"
+        Steps(spark.sparkContext.broadcast(model.tabulate())), "step long, n long"
     ).groupBy("step").agg(F.sum("n").alias("n")).toArrow()
     model.rate = _rate(clean_scores.column("step").to_numpy() / STEPS_PER_NAT, clean_scores.column("n").to_numpy().astype(float))
-    model.table = None
     features = store(
         training.mapInArrow(Scan(spark.sparkContext.broadcast(model), True).features, Scan.FEATURES), "toxic-features"
     )
@@ -303,7 +321,7 @@ def learn(training: DataFrame) -> Model | None:
     rows = features.orderBy("key", "toxic", "size", "best", "total").limit(FIT_ROWS).toArrow()
     best, total, size, toxic = (rows.column(c).to_numpy() for c in ("best", "total", "size", "toxic"))
     model.curve = fit_curve(_inputs(model, best, total, size), toxic.astype(float))
-    return model
+    return model.tabulate()
 
 
 def scored(documents: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
@@ -314,7 +332,7 @@ def scored(documents: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     spark = documents.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     training = store(
-        documents.select("doc_id", "text").join(known, "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic"), "toxic-training"
+        documents.select("doc_id", "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic"), "toxic-training"
     )
     model = learn(training)
     if model is None:
