@@ -247,8 +247,8 @@ def badge_catalog(badges: DataFrame) -> DataFrame:
     return counts.select("holders", known.alias("d")).filter(F.col("d").isNotNull()).select("d.*", "holders")
 
 
-def leaderboard(records: DataFrame, users: DataFrame, badges: DataFrame, size: int = 10) -> DataFrame:
-    """Top users by number of scans (ties by id), with masked address and badge count."""
+def top_users(records: DataFrame, users: DataFrame, size: int = 10) -> DataFrame:
+    """Users with most scans (ties by id): rank, user_id, email, scan_count, threat_count."""
     counters = records.groupBy("user_id").agg(
         F.count("*").alias("scan_count"), F.sum(F.size("findings")).alias("threat_count")
     )
@@ -257,9 +257,13 @@ def leaderboard(records: DataFrame, users: DataFrame, badges: DataFrame, size: i
     )
     top = everyone.orderBy(F.desc("scan_count"), "user_id").limit(size)
     # At most ``size`` rows: ranking them in one partition is fine.
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("scan_count"), "user_id")))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("scan_count"), "user_id")))
+
+
+def leaderboard(top: DataFrame, badges: DataFrame) -> DataFrame:
+    """Top users with masked address and badge count; ``badges`` need only hold those of the top users."""
     held = badges.groupBy("user_id").agg(F.count("*").alias("badge_count"))
-    return ranked.join(held, "user_id", "left").select(
+    return top.join(held, "user_id", "left").select(
         "rank", "user_id", text_functions.mask_email(F.col("email")).alias("email_masked"), "scan_count", "threat_count",
         F.coalesce("badge_count", F.lit(0)).alias("badge_count"),
     )

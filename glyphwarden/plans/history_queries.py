@@ -337,9 +337,9 @@ def _held(spark, folder) -> DataFrame:
     return badge("first_scan", "2023-12-31", "role <> 'analyst'").unionByName(badge("early_bird", "2023-12-30", "role = 'admin'"))
 
 
-def _candidates(spark, folder) -> DataFrame:
-    records = _records(spark, folder)
-    api = badges.first_event(read_table(spark, folder, "events"), "signup")
+def _candidates(spark, folder, only=lambda df: df) -> DataFrame:
+    records = only(_records(spark, folder))
+    api = badges.first_event(only(read_table(spark, folder, "events")), "signup")
     return badges.scan_badges(records, MILESTONES).unionByName(badges.clean_slate(records)).unionByName(api)
 
 
@@ -354,9 +354,10 @@ def badge_award_once(spark, folder):
     return badges.newly_awarded(_candidates(spark, folder), _held(spark, folder))
 
 
-def _all_badges(spark, folder) -> DataFrame:
-    held = _held(spark, folder)
-    return held.unionByName(badges.newly_awarded(_candidates(spark, folder), held))
+def _all_badges(spark, folder, only=lambda df: df) -> DataFrame:
+    """Badges held before and new ones, of the users that ``only`` leaves in each table."""
+    held = only(_held(spark, folder))
+    return held.unionByName(badges.newly_awarded(_candidates(spark, folder, only), held))
 
 
 _BADGES_SQL = f"{_HELD_SQL} UNION ALL {_NEW_SQL}"
@@ -390,7 +391,9 @@ SELECT CAST(row_number() OVER (ORDER BY scan_count DESC, user_id) AS INTEGER) AS
 FROM (SELECT u.id AS user_id, email, coalesce(scan_count, 0) AS scan_count, coalesce(threat_count, 0) AS threat_count
       FROM {USERS} u LEFT JOIN ({_COUNTERS_SQL}) c ON c.user_id = u.id ORDER BY scan_count DESC, u.id LIMIT 10) t""")
 def leaderboard(spark, folder):
-    return badges.leaderboard(_records(spark, folder), _users(spark, folder), _all_badges(spark, folder))
+    top = badges.top_users(_records(spark, folder), _users(spark, folder))
+    ids = top.select("user_id")
+    return badges.leaderboard(top, _all_badges(spark, folder, lambda df: df.join(ids, "user_id", "left_semi")))
 
 
 @query("mask_email", f"SELECT id, {_mask_sql('email')} AS email_masked FROM {USERS}")
