@@ -42,6 +42,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored step that nothing reads any more."""
+    spark = df.sparkSession
+    for place in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(rows: DataFrame, group: str, bucket: str, order: list, rank: str, total: str) -> DataFrame:
     """Add the rank (from 0) of each row within its group and the group's size, without gathering a group.
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -28,11 +29,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from glyphwarden.llm.common import document_key, store, text_key
+from glyphwarden.llm.common import discard, document_key, store, text_key
 from glyphwarden.llm.hashing import Rolling, Texts, Words, minimiser_spans, slices
 
 _SPANS = "doc long, tkey int, start int, n int, anchor long, content long"
-_WINDOWS = "doc long, tkey int, start int, anchor long, content long"
+_WINDOWS = "doc long, tkey int, start int, anchor long, contents array<long>"
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ class Windows:
     k: int
     #: Whether a window that recurs within one document counts (else only other documents do).
     inside: bool
+    #: The anchors are dealt with in so many rounds, one after the other: less disk at a time, the same result.
+    rounds: int = 1
 
     def symbols(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         if self.words:
@@ -51,18 +54,26 @@ class Windows:
             return words.hash, words.bounds
         return texts.symbols(0), texts.offsets
 
-    def spans(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_round(self, round_: int):
+        """The spans whose anchors fall into a round."""
+        return lambda batches: self.spans(batches, round_)
+
+    def spans(self, batches: Iterator[pa.RecordBatch], round_: int | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 symbols, bounds = self.symbols(Texts(part.column("text")))
                 starts, counts, anchors = minimiser_spans(symbols, bounds, self.window, self.k)
+                keys = Rolling(symbols, 1).spans(anchors, anchors + self.k) if len(starts) else np.zeros(0, np.uint64)
+                if round_ is not None:
+                    mine = keys % np.uint64(self.rounds) == round_
+                    starts, counts, keys = starts[mine], counts[mine], keys[mine]
                 if not len(starts):
                     continue
                 rows = np.searchsorted(bounds, starts, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc").take(pa.array(rows)), part.column("tkey").take(pa.array(rows)),
                     pa.array((starts - bounds[rows]).astype(np.int32)), pa.array(counts.astype(np.int32)),
-                    pa.array(Rolling(symbols, 1).spans(anchors, anchors + self.k).view(np.int64)),
+                    pa.array(keys.view(np.int64)),
                     pa.array(Rolling(symbols, 0).spans(starts, starts + counts - 1 + self.window).view(np.int64)),
                 ], names=["doc", "tkey", "start", "n", "anchor", "content"])
 
@@ -76,42 +87,67 @@ class Windows:
                 flat = listed.flatten()
                 start, n, anchor = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 which = np.repeat(np.arange(len(n)), n)
-                place = start[which].astype(np.int64) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                absolute = place + bounds[rows[which]]
+                place = start[which].astype(np.int64) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + bounds[rows[which]]
+                contents = Rolling(symbols, 0).spans(place, place + self.window).view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc").take(pa.array(rows[which])), part.column("tkey").take(pa.array(rows[which])),
-                    pa.array(place.astype(np.int32)), pa.array(anchor[which]),
-                    pa.array(Rolling(symbols, 0).spans(absolute, absolute + self.window).view(np.int64)),
-                ], names=["doc", "tkey", "start", "anchor", "content"])
+                    part.column("doc").take(pa.array(rows)), part.column("tkey").take(pa.array(rows)), pa.array(start),
+                    pa.array(anchor), pa.ListArray.from_arrays(pa.array(ends), pa.array(contents)),
+                ], names=["doc", "tkey", "start", "anchor", "contents"])
 
 
 def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(document_key(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("tkey"), "text")
 
 
-def _judged(found: DataFrame, by: Windows) -> DataFrame:
-    """Occurrences (doc, tkey, start, anchor, content, ...) with ``repeated`` and the count of the anchor's contents."""
-    order = F.struct("doc", "tkey", "start") if by.inside else F.struct("doc")
-    first = found.groupBy("anchor", "content").agg(F.min(order).alias("first"))
+def _judged(found: DataFrame, by: Windows, name: str) -> DataFrame:
+    """The occurrences (doc, tkey, start, n, anchor, content) that repeat or whose anchor has more contents.
+
+    ``repeated`` says whether an earlier holder has the same content, ``contents`` how many there are.
+    """
+    keys = ["anchor", "content"]
+    first = found.groupBy(*keys).agg(F.min("doc").alias("first"), F.count("*").alias("holders"))
     contents = first.groupBy("anchor").agg(F.count("*").alias("contents"))
-    known = first.join(contents, "anchor")
-    return found.join(known, ["anchor", "content"]).withColumn("repeated", order > F.col("first"))
+    known = first.join(contents, "anchor").filter("holders > 1 OR contents > 1")
+    rows = store(found.join(known, keys), name)
+    marked = rows.withColumn("repeated", F.expr("doc > first"))
+    if not by.inside:
+        return marked.drop("first", "holders")
+    # Holders within the first document are ordered by place.
+    same = rows.filter("doc = first AND holders > 1")
+    places = same.groupBy(*keys).agg(F.min(F.struct("tkey", "start")).alias("place"))
+    ordered = same.join(places, keys).withColumn("repeated", F.struct("tkey", "start") > F.col("place")).drop("place")
+    return marked.filter("doc > first OR holders = 1").unionByName(ordered).drop("first", "holders")
 
 
 def repeated_windows(documents: DataFrame, by: Windows) -> DataFrame:
-    """The runs of repeated windows (doc, tkey, start, n); other holders of the first's windows are untouched."""
+    """The runs of repeated windows (doc, tkey, start, n)."""
     text = keyed(documents)
     recurring = store(
         text.mapInArrow(by.spans, _SPANS).groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors"
     )
-    live = store(text.mapInArrow(by.spans, _SPANS).join(recurring, "anchor"), "spans")
-    judged = store(_judged(live, by).filter("repeated or contents > 1").select("doc", "tkey", "start", "n", "anchor", "repeated"), "judged")
-    undecided = judged.filter("not repeated").groupBy("doc", "tkey").agg(
+    judged = []
+    for round_ in range(by.rounds):
+        live = store(text.mapInArrow(by.of_round(round_), _SPANS).join(recurring, "anchor"), "spans")
+        judged.append(_judged(live, by, "judged"))
+        discard(live)
+    judged = reduce(DataFrame.unionByName, judged)
+    undecided = judged.filter("contents > 1 AND NOT repeated").groupBy("doc", "tkey").agg(
         F.collect_list(F.struct("start", "n", "anchor")).alias("spans")
     )
     windows = store(text.join(undecided, ["doc", "tkey"]).mapInArrow(by.expanded, _WINDOWS), "windows")
-    single = _judged(windows, by).filter("repeated").select("doc", "tkey", "start", F.lit(1).alias("n"))
-    return judged.filter("repeated").select("doc", "tkey", "start", "n").unionByName(single)
+    single = windows.select("doc", "tkey", "anchor", "start", F.posexplode("contents").alias("_place", "content")).select(
+        "doc", "tkey", (F.col("start") + F.col("_place")).alias("start"), F.lit(1).alias("n"), "anchor", "content"
+    )
+    again = store(single.groupBy("content").count().filter("count > 1").select("content"), "contents")
+    decided = judged
+    for round_ in range(by.rounds):
+        mine = single.filter(F.pmod("content", F.lit(by.rounds)) == round_)
+        open_ = store(mine.join(again, "content"), "open-windows")
+        decided = decided.unionByName(_judged(open_, by, "judged-windows"))
+        discard(open_)
+    discard(windows)
+    return decided.filter("repeated").select("doc", "tkey", "start", "n")
 
 
 @dataclass(frozen=True)

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 from glyphwarden.llm.repeats import Windows, without_repeats
 
 DEPTH = 100
-ANCHOR = 40
+ANCHOR = 48
+#: Passes over the texts that share out the anchors: the more, the less disk at a time.
+ROUNDS = 2
 
 
 def remove_repeated_bytes(documents: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, runs (removed [start, end)), kept_sha256 and, if asked for, the kept bytes."""
-    done = without_repeats(documents, Windows(False, depth, min(anchor, depth), True), with_text)
+    done = without_repeats(documents, Windows(False, depth, min(anchor, depth), True, ROUNDS), with_text)
     return done.select(
         "doc_id", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), "runs", "kept_sha256",
         *(["kept"] if with_text else []),
