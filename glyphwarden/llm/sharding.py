@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphwarden.llm.common import ranked, store
+from glyphwarden.llm.common import discard, ranked, store
 
 #: Leading hexadecimal digits of the shuffle hash that make a bucket, and cells of the
 #: fractional order. They change the size of the tasks, never the result.
@@ -32,7 +32,7 @@ def source_key(source: Column) -> Column:
 
 
 def interleaved(rows: DataFrame, shards: int) -> DataFrame:
-    """Add shard and slot to stored rows that have ``_source``, ``_shuffle`` (hash) and ``_tie`` (struct)."""
+    """Add shard and slot to stored rows (used up here) that have ``_source``, ``_shuffle`` (hash) and ``_tie`` (struct)."""
     by_source = ranked(
         rows.withColumn("_bucket", F.substring("_shuffle", 1, BUCKET_DIGITS)), "_source", "_bucket",
         ["_shuffle", "_tie"], "_rank", "_of",
@@ -43,6 +43,7 @@ def interleaved(rows: DataFrame, shards: int) -> DataFrame:
         .withColumn("_all", F.lit(0)).drop("_bucket", "_rank", "_of"),
         "interleaved",
     )
+    discard(rows)
     ordered = ranked(placed, "_all", "_cell", ["_fraction", "_source", "_shuffle", "_tie"], "_place", "_rows")
     shard = F.expr(f"_place * {shards} div _rows")
     # The first place of a shard: the least p with p * shards >= shard * rows.
