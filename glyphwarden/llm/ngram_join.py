@@ -8,9 +8,10 @@ shingles, group pairs are filtered by size and position, and what passes is expa
 members, filtered by 512-bit parity maps (a lower bound of the symmetric difference) and
 verified on the whole sets.
 
-Large groups of near copies are not paired off. First each class is checked against the
-leader of its group, and each group against the first group of the same size under the same
-shingle: a number of pairs linear in the postings. After that only pairs from different
+Large groups of near copies are not paired off. First each class meets the leader of its
+group, and each group the first group of the same size under the same shingle; of these pairs,
+linear in the postings, the one whose parity maps differ least is checked for each class. In
+``NEAREST_ROUNDS`` more rounds each class meets the nearest one in another component. After that only pairs from different
 components so far are left to be checked, so no link between components is lost and no
 pairs are made within one.
 
@@ -28,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphwarden.llm.common import MAX_LONG, document_key, store, text_key
+from glyphwarden.llm.common import MAX_LONG, discard, document_key, store, text_key
 from glyphwarden.llm.components import components
 from glyphwarden.llm.hashing import Rolling, Texts, Words, lower_ascii, mix, slices
 
 BUCKET_BITS = 18
+#: Rounds in which each class still apart from a likely partner meets the nearest one, before all that is left is checked.
+NEAREST_ROUNDS = 2
 _MAPS = 8
 _MAP_COLUMNS = [f"m{i}" for i in range(_MAPS)]
 
@@ -138,6 +141,36 @@ class WholeSets(Describe):
                 yield pa.RecordBatch.from_arrays([part.column("cls"), tokens], names=["cls", "tokens"])
 
 
+class Likely:
+    """Passes on the rows whose (doc, tkey) may be listed, by a bitmap of 2**23 bits.
+
+    It only spares most of the texts a shuffle; the join behind it decides.
+    """
+
+    BITS = 23
+
+    def __init__(self, places: DataFrame):
+        slots = places.select("doc", "tkey").mapInArrow(self._listed, "slot int").distinct().toArrow().column("slot").to_numpy()
+        held = np.zeros(1 << self.BITS, bool)
+        held[slots] = True
+        self.held = places.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    @classmethod
+    def _slots(cls, batch: pa.RecordBatch) -> np.ndarray:
+        doc = batch.column("doc").to_numpy().view(np.uint64)
+        return (mix(mix(doc) + batch.column("tkey").to_numpy().astype(np.uint64)) >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    @classmethod
+    def _listed(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls._slots(batch)).astype(np.int32))], names=["slot"])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(self.held.value).astype(bool)
+        for batch in batches:
+            yield batch.select(["doc", "tkey", "text"]).filter(pa.array(held[self._slots(batch)]))
+
+
 class GroupedPrefixJoin:
     """The links of a table of texts at one similarity, as components of classes."""
 
@@ -173,26 +206,38 @@ class GroupedPrefixJoin:
         most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
         return self.enough(most, na, nb)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of classes that reach the similarity: parity maps first, then whole sets."""
+    def mapped(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) of classes that their parity maps leave, with both sizes and the difference."""
         def side(name: str, prefix: str) -> DataFrame:
             return self.classes.select(F.col("cls").alias(name), *[F.col(c).alias(prefix + c) for c in ("n", *_MAP_COLUMNS)])
 
         differ = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _MAP_COLUMNS), F.lit(0))
-        near = store(
-            pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            .join(side("u", "a"), "u").join(side("v", "b"), "v")
-            .filter(self.enough(F.floor((F.col("an") + F.col("bn") - differ) / 2), F.col("an"), F.col("bn")))
-            .select("u", "v", "an", "bn"),
-            "near",
+        return (
+            pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("differ", differ)
+            .filter(self.enough(F.floor((F.col("an") + F.col("bn") - F.col("differ")) / 2), F.col("an"), F.col("bn")))
+            .select("u", "v", "an", "bn", "differ")
         )
+
+    def verified(self, near: DataFrame, nearest: bool = False) -> DataFrame:
+        """The pairs (u, v, an, bn, differ) whose whole sets reach the similarity.
+
+        ``nearest``: check only the pair of each u that differs least; the others are left to
+        a later round, which looks at all that are still apart then.
+        """
+        if nearest:
+            near = near.groupBy("u").agg(F.min(F.struct("differ", "v", "an", "bn")).alias("p")).select("u", "p.v", "p.an", "p.bn")
+        near = store(near.select("u", "v", "an", "bn"), "near")
         asked = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
-        places = self.classes.join(asked, "cls", "left_semi").select("cls", "rep.doc", "rep.tkey")
-        sets = store(self.text.join(places, ["doc", "tkey"]).mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
+        places = store(self.classes.join(asked, "cls", "left_semi").select("cls", "rep.doc", "rep.tkey"), "asked")
+        likely = self.text.mapInArrow(Likely(places), "doc long, tkey int, text string")
+        sets = store(likely.join(places, ["doc", "tkey"]).mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
         left = sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a"))
         right = sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b"))
         overlap = F.size(F.array_intersect("a", "b"))
-        return near.join(left, "u").join(right, "v").filter(self.enough(overlap, F.col("an"), F.col("bn"))).select("u", "v")
+        found = near.join(left, "u").join(right, "v").filter(self.enough(overlap, F.col("an"), F.col("bn"))).select("u", "v")
+        found = store(found, "verified")
+        discard(sets)
+        return found
 
     def near_leaders(self, postings: DataFrame) -> DataFrame:
         """A number of class pairs linear in the postings, which join most of each component."""
@@ -213,30 +258,47 @@ class GroupedPrefixJoin:
 
     def still_apart(self, postings: DataFrame, stars: DataFrame) -> DataFrame:
         """Class pairs that the filters leave and that are in different components so far."""
-        rooted = self.classes.select("cls", "grp", "n").join(stars.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "cls", "grp", "n", F.coalesce("root", "cls").alias("root")
+        rooted = self.classes.drop("rep").join(stars.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+            "root", F.coalesce("root", "cls")
         )
         rooted = store(rooted, "rooted")
-        spread = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        spread = rooted.groupBy("grp").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"), *[F.first(c).alias(c) for c in _MAP_COLUMNS]
+        )
         placed = postings.join(spread, "grp")
         mixed = placed.groupBy("token").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high").select("token")
         open_ = store(placed.join(mixed, "token"), "open")
         a, b = open_.alias("a"), open_.alias("b")
         apart = ~((F.col("a.low") == F.col("b.high")) & (F.col("b.low") == F.col("a.high")) & (F.col("a.low") == F.col("a.high")))
-        groups = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp")) & apart & self.possible("a", "b")).select(
-            F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
+        # A group of one class has that class's parity map: most pairs go before they are made.
+        differ = sum((F.bit_count(F.col("a." + c).bitwiseXOR(F.col("b." + c))) for c in _MAP_COLUMNS), F.lit(0))
+        alike = ~F.col("a.single") | ~F.col("b.single") | self.enough(F.floor((F.col("a.n") + F.col("b.n") - differ) / 2), F.col("a.n"), F.col("b.n"))
+        same_token = (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp"))
+        groups = a.join(b, same_token & apart & self.possible("a", "b") & alike).select(
+            F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"), differ.alias("differ")
+        ).distinct()
+        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(0).alias("differ"))
+        left = rooted.select(F.col("grp").alias("ga"), F.col("cls").alias("u"), F.col("root").alias("ru"), F.col("n").alias("an"))
+        right = rooted.select(F.col("grp").alias("gb"), F.col("cls").alias("v"), F.col("root").alias("rv"), F.col("n").alias("bn"))
+        pairs = groups.unionByName(within).join(left, "ga").join(right, ["gb"]).filter("ru <> rv")
+        low = F.col("u") < F.col("v")
+        return pairs.select(
+            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(low, F.col("an")).otherwise(F.col("bn")).alias("an"),
+            F.when(low, F.col("bn")).otherwise(F.col("an")).alias("bn"), "differ",
         ).distinct()
-        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-        left = rooted.select(F.col("grp").alias("ga"), F.col("cls").alias("u"), F.col("root").alias("ru"))
-        right = rooted.select(F.col("grp").alias("gb"), F.col("cls").alias("v"), F.col("root").alias("rv"))
-        return groups.unionByName(within).join(left, "ga").join(right, ["gb"]).filter("ru <> rv").select("u", "v")
 
     def roots(self) -> DataFrame:
         """(node, root) of classes that are linked to a lesser one."""
         postings = self.postings()
-        stars = components(self.verified(self.near_leaders(postings)))
-        rest = self.verified(self.still_apart(postings, stars))
-        return components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
+        stars = components(self.verified(self.mapped(self.near_leaders(postings)), nearest=True))
+        for _ in range(NEAREST_ROUNDS):
+            found = self.verified(self.still_apart(postings, stars), nearest=True)
+            stars = components(_as_links(stars).unionByName(found))
+        return components(_as_links(stars).unionByName(self.verified(self.still_apart(postings, stars))))
+
+
+def _as_links(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
