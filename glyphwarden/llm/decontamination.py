@@ -4,6 +4,7 @@ An item of ``size`` words is looked for in every window of as many words of ever
 (words: letters and digits, lower case; a window is compared by its bag of 5-word shingles,
 one shingle for shorter items). A document is contaminated by an item if the weighted Jaccard
 similarity of a window and the item, sum of least over sum of greatest counts, is 0.8 or more.
+A document of fewer words than the item is one window as a whole.
 
 1. A window so similar to an item shares at least 0.8 of its shingles with items of that size.
    Two bitmaps of 2**22 bits (shingles; shingles with the size of their item), whose size does
@@ -140,18 +141,21 @@ class Windows:
             opens = np.flatnonzero(near & (new_row | ~np.concatenate(([False], near[:-1]))))
             closes = np.flatnonzero(near & np.concatenate((new_row[1:] | ~near[1:], [True]))) + 1
             for begin, end in zip(opens.tolist(), closes.tolist()):
-                found += self._stretch(table[1], mine, k, shingles[begin:end], int(row[begin]), begin - int(bounds[row[begin]]))
+                first, last = int(bounds[row[begin]]), int(bounds[row[begin] + 1]) - k + 1
+                found += self._stretch(table[1], mine, k, shingles[begin:end], int(row[begin]), begin - first, (begin, end) == (first, last))
         return found
 
     @staticmethod
-    def _stretch(table: np.ndarray, sizes: list, k: int, shingles: np.ndarray, row: int, place: int) -> Iterator[tuple]:
+    def _stretch(table: np.ndarray, sizes: list, k: int, shingles: np.ndarray, row: int, place: int, whole: bool) -> Iterator[tuple]:
         sums = None
         for size in sizes:
-            n = size - k + 1
-            if n > len(shingles):
+            asked = size - k + 1
+            # A text shorter than the item is one window. If it is similar, all of it is near hits: it is one stretch.
+            n = min(asked, len(shingles)) if whole else asked
+            if n > len(shingles) or 100 * n < PERCENT * asked:
                 continue
             hits = np.concatenate(([0], np.cumsum(table[(sized(shingles, size) & _LOW).astype(np.int64)])))
-            starts = np.flatnonzero(100 * (hits[n:] - hits[:-n]) >= PERCENT * n)
+            starts = np.flatnonzero(100 * (hits[n:] - hits[:-n]) >= PERCENT * asked)
             if not len(starts):
                 continue
             if sums is None:
@@ -163,14 +167,18 @@ class Windows:
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted Jaccard similarity of each pair of bags."""
+    """The weighted Jaccard similarity of each pair of bags, and the words of the window (``size`` is the item's before)."""
     for batch in batches:
         values = []
+        sizes = batch.column("size").to_numpy()
+        words = pc.list_value_length(batch.column("bag")).to_numpy() + np.minimum(sizes, SHINGLE) - 1
         for a, b in zip(batch.column("bag"), batch.column("item_bag")):
             left, right = Counter(np.array(a.values).tolist()), Counter(np.array(b.values).tolist())
             values.append((left & right).total() / max((left | right).total(), 1))
-        columns = ["doc_id", "item_id", "start", "size"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(values, pa.float64())], names=[*columns, "similarity"])
+        columns = ["doc_id", "item_id", "start"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in columns], pa.array(words.astype(np.int32)), pa.array(values, pa.float64())], names=[*columns, "size", "similarity"]
+        )
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

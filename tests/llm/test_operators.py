@@ -262,6 +262,29 @@ def test_decontamination(spark, rows, documents):
     assert clean.count() == sum(i not in {d for d, _ in found} for i, *_ in rows)
 
 
+def test_documents_shorter_than_the_item(spark):
+    """Items less a few words at the front or the back are whole documents."""
+    rng = random.Random(14)
+    items, rows, expected = [], [], {}
+    for n, size in enumerate([38, 38, 30, 60, 9, 6, 4, 200]):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        items.append((n, " ".join(w)))
+        for cut in (1, 2, 3, 6, 12):
+            for part in (w[:-cut], w[cut:]):
+                i, shared, all_ = len(rows), len(part) - 4, size - 4
+                rows.append((i, " ".join(part).upper(), "en", "s"))
+                if shared > 0 and shared >= 0.8 * all_:
+                    expected[i] = (n, shared / all_, 0, len(part))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: (r.item_id, r.similarity, r.start, r.n_words) for r in decontamination.contaminated(make(spark, rows), benchmark).collect()}
+    assert 0 in expected and set(found) <= set(expected)
+    # The search is sure within the radius only; these differ by few shingles.
+    assert {i for i, e in expected.items() if e[1] >= 0.9} <= set(found)
+    assert len(found) >= 0.9 * len(expected)
+    for i, (n, similarity, *place) in found.items():
+        assert (n, *place) == (expected[i][0], *expected[i][2:]) and abs(similarity - expected[i][1]) < 1e-9
+
+
 def test_hamming_blocks_find_everything_within_the_radius():
     rng = random.Random(8)
     for _ in range(2000):
