@@ -1,6 +1,6 @@
 """Toxicity: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Learning. Tokens (words, ASCII capitals lowered, each once a document) and the beginnings of longer
+Learning. Tokens (words, ASCII capitals lowered, each counted once a document) and the beginnings of longer
 words are hashed into 2**22 buckets and counted in toxic training documents, and those that
 toxic documents use in clean ones. A token is read through the most specific of its features
 - the whole token, then ever shorter beginnings - that toxic documents have and that was seen
@@ -9,15 +9,16 @@ proportion to the pooled counts, weighing ``PRIOR`` times the toxic tokens; a po
 lowered by ``DOUBT`` standard errors, and what is not surely positive costs ``DRIFT``. So the
 scores of clean text sum to a falling walk.
 
-Scanning. In one linear pass all maximal segments of positive total are found, each a
+Scanning. Every occurrence of a token has its score. In one linear pass all maximal segments of positive total are found, each a
 passage whose sum no shorter part or longer extension beats. Runs of tokens without a positive
 score are one step, so the pass goes over positive tokens only.
 
 Calibration. The greatest of many segment scores follows an extreme-value law: with the
 lambda that solves sum p(s) exp(lambda s) = 1 over the clean token scores and the K fitted to
 the clean training documents, lambda S - ln(K n) is how far a segment of a document of n
-tokens stands out. A logistic curve over the best segment and over the sum of all significant
-segments gives the score. Training documents are scored without their own counts.
+tokens stands out. A logistic curve over the best segment and over the sum of all segments gives
+the score, each read twice: with every occurrence, and with first occurrences only, which tells a
+burst of one word from many toxic words. Training documents are scored without their own counts.
 
 Bounds: the model is two counts for each of 2**22 buckets, whatever the corpus; the curve is
 fitted on at most ``FIT_ROWS`` training documents (those of least hash), all other numbers come
@@ -55,11 +56,11 @@ SIGNIFICANT = 3.0
 _EULER = 0.5772156649015329
 
 
-def token_features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of each word's features, most specific first, -1 for none; bounds of the documents).
+def token_features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of each word's features, most specific first, -1 for none; bounds of the documents; first occurrences).
 
-    A word that came before in the same document has no features: words come in bursts, and
-    the tenth says no more than the first.
+    Only first occurrences are counted: words come in bursts, and the tenth tells no more about
+    the word than the first.
     """
     texts = Texts(part.column("text"))
     data = lower_ascii(texts.bytes)
@@ -71,12 +72,12 @@ def token_features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     features = np.full((len(starts), 1 + len(BEGINNINGS)), -1, np.int64)
     whole = rolling.spans(starts, ends)
     again, _ = repeats(np.repeat(np.arange(texts.n), np.diff(bounds)), whole)
-    features[:, 0] = np.where(again, -1, (whole & low).astype(np.int64))
+    features[:, 0] = (whole & low).astype(np.int64)
     for i, length in enumerate(BEGINNINGS):
-        longer = np.flatnonzero((ends - starts > length) & ~again)
+        longer = np.flatnonzero(ends - starts > length)
         hashes = mix(rolling.spans(starts[longer], starts[longer] + length) + np.uint64(length))
         features[longer, i + 1] = (hashes & low).astype(np.int64)
-    return features, bounds
+    return features, bounds, ~again
 
 
 class CountFeatures:
@@ -96,9 +97,9 @@ class CountFeatures:
         total = 0
         for batch in batches:
             for part in slices(batch):
-                features, _ = token_features(part)
-                total += int((features[:, 0] >= 0).sum())
-                seen = features.ravel()
+                features, _, fresh = token_features(part)
+                total += int(fresh.sum())
+                seen = features[fresh].ravel()
                 seen = seen[seen >= 0]
                 np.add.at(counts, seen if used is None else seen[used[seen]], 1)
         full = np.flatnonzero(counts)
@@ -154,13 +155,14 @@ class Model:
             out[use] = table[features[use, i]]
         return out.astype(float)
 
-    def scores_without(self, features: np.ndarray, own_toxic: bool) -> np.ndarray:
-        """The scores of a training document's tokens, its own counts taken away."""
-        bucket, inverse, own = np.unique(features.ravel(), return_inverse=True, return_counts=True)
+    def scores_without(self, features: np.ndarray, fresh: np.ndarray, own_toxic: bool) -> np.ndarray:
+        """The scores of a training document's tokens, its own counts (those of first occurrences) taken away."""
+        bucket, inverse = np.unique(features.ravel(), return_inverse=True)
         inverse = inverse.reshape(features.shape)
+        own = np.bincount(inverse[fresh].ravel(), minlength=len(bucket))
         toxic, clean = self.toxic[bucket].astype(float), self.clean[bucket].astype(float)
         totals = list(self.totals)
-        totals[0 if own_toxic else 1] -= int((features[:, 0] >= 0).sum())
+        totals[0 if own_toxic else 1] -= int(fresh.sum())
         own_counts = toxic if own_toxic else clean
         own_counts[:] = np.maximum(own_counts - own, 0)
         relied = (toxic > 0) & (toxic + clean >= EVIDENCE) & (bucket >= 0)
@@ -197,32 +199,31 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 class Scan:
     """Features, score and significant passages of each text."""
 
-    FEATURES = "key long, toxic int, size long, best double, total double"
+    FEATURES = "key long, toxic int, size long, best double, total double, once_best double, once_total double"
     SCORED = "doc_id long, score double, passages array<struct<begin: int, end: int, score: double>>"
 
     def __init__(self, model, training: bool):
         self.model, self.training = model, training
 
     def _scanned(self, part: pa.RecordBatch):
+        """(tokens, segments, segments if only first occurrences have scores) of each text."""
         model = self.model.value
-        features, bounds = token_features(part)
+        features, bounds, fresh = token_features(part)
         labels = part.column("toxic").to_pylist() if self.training else None
         scores = None if self.training else model.scores(features)
         for i in range(part.num_rows):
             begin, end = int(bounds[i]), int(bounds[i + 1])
-            yield end - begin, segments(
-                model.scores_without(features[begin:end], bool(labels[i])) if self.training else scores[begin:end]
-            )
+            mine, first = (model.scores_without(features[begin:end], fresh[begin:end], bool(labels[i])) if self.training else scores[begin:end]), fresh[begin:end]
+            yield end - begin, segments(mine), segments(np.where(first, mine, -DRIFT))
 
     def features(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = list(self._scanned(part))
-                best = np.array([max((s[0] for s in x), default=0.0) for _, x in found])
-                total = np.array([sum(s[0] for s in x) for _, x in found])
+                strength = np.array([strengths(x, once) for _, x, once in found], float).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("toxic"), pa.array(np.array([n for n, _ in found], np.int64)), pa.array(best), pa.array(total)],
-                    names=["key", "toxic", "size", "best", "total"],
+                    [part.column("key"), part.column("toxic"), pa.array(np.array([n for n, _, _ in found], np.int64)), *[pa.array(np.ascontiguousarray(c)) for c in strength.T]],
+                    names=["key", "toxic", "size", "best", "total", "once_best", "once_total"],
                 )
 
     def scored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +231,12 @@ class Scan:
         for batch in batches:
             for part in slices(batch):
                 scores, passages = [], []
-                for size, found in self._scanned(part):
-                    best, kept = max((s[0] for s in found), default=0.0), []
+                for size, found, once in self._scanned(part):
+                    kept = []
                     for value, begin, end in found:
                         if standing_out(model, value, size) > SIGNIFICANT:
                             kept.append({"begin": begin, "end": end, "score": value})
-                    scores.append(probability(model, best, sum(s[0] for s in found), size))
+                    scores.append(probability(model, strengths(found, once), size))
                     passages.append(kept)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(scores, pa.float64()),
@@ -248,14 +249,19 @@ def standing_out(model: Model, value, size):
     return model.rate * value - model.log_k - np.log(np.maximum(size, 1))
 
 
-def _inputs(model: Model, best, total, size) -> np.ndarray:
-    return np.stack(np.broadcast_arrays(1.0, standing_out(model, best, size) / 10, standing_out(model, total, size) / 10), axis=-1)
+def strengths(found: list, once: list) -> tuple[float, ...]:
+    """Best segment and sum of all, with every occurrence and with first occurrences."""
+    return tuple(f for x in (found, once) for f in (max((s[0] for s in x), default=0.0), sum((s[0] for s in x), 0.0)))
 
 
-def probability(model: Model, best: float, total: float, size: int) -> float:
+def _inputs(model: Model, strength, size) -> np.ndarray:
+    return np.stack(np.broadcast_arrays(1.0, *[standing_out(model, s, size) / 10 for s in strength]), axis=-1)
+
+
+def probability(model: Model, strength: tuple[float, ...], size: int) -> float:
     if model.curve is None:
         return 0.0
-    z = float(_inputs(model, best, total, size) @ np.array(model.curve))
+    z = float(_inputs(model, strength, size) @ np.array(model.curve))
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -318,9 +324,10 @@ def learn(training: DataFrame) -> Model | None:
     )
     fitted = features.filter("toxic = 0 AND size > 0").agg(F.avg(F.lit(model.rate) * F.col("best") - F.log("size"))).first()[0]
     model.log_k = (fitted or 0.0) - _EULER
-    rows = features.orderBy("key", "toxic", "size", "best", "total").limit(FIT_ROWS).toArrow()
-    best, total, size, toxic = (rows.column(c).to_numpy() for c in ("best", "total", "size", "toxic"))
-    model.curve = fit_curve(_inputs(model, best, total, size), toxic.astype(float))
+    read = ["best", "total", "once_best", "once_total"]
+    rows = features.orderBy("key", "toxic", "size", *read).limit(FIT_ROWS).toArrow()
+    *strength, size, toxic = (rows.column(c).to_numpy() for c in (*read, "size", "toxic"))
+    model.curve = fit_curve(_inputs(model, strength, size), toxic.astype(float))
     return model.tabulate()
 
 

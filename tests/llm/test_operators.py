@@ -162,6 +162,29 @@ def test_toxicity_held_out(spark, folder):
     assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_equal_toxic_passages_are_both_found(spark):
+    """Words of an earlier passage, or said singly before, keep their score in a later one."""
+    rng = random.Random(15)
+    plain, bad = [f"plain{i}" for i in range(300)], [f"{chr(97 + i)}vile" for i in range(20)]
+    fill = lambda n: [rng.choice(plain) for _ in range(n)]
+    rows, known = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(fill(60) + (rng.sample(bad, 10) if toxic else []) + fill(60)), "en", "s"))
+        known.append((i, 0, int(toxic)))
+    passage = bad[:10]
+    rows.append((900, " ".join(fill(500) + passage + fill(4000) + passage + fill(500)), "en", "s"))
+    singly = [w for b in passage for w in [b, *fill(300)]]
+    rows.append((901, " ".join(singly + passage + fill(100)), "en", "s"))
+    rows.append((902, " ".join(fill(len(singly)) + passage + fill(100)), "en", "s"))
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.passages for r in toxicity.scored(make(spark, rows), labels, F.lit(True)).collect()}
+    assert [(p.begin, p.end) for p in got[900]] == [(500, 510), (4510, 4520)]
+    assert abs(got[900][0].score - got[900][1].score) < 1e-6
+    dense = [p for p in got[901] if p.end - p.begin == 10]
+    assert len(dense) == 1 and abs(dense[0].score - max(p.score for p in got[902])) < 1e-6
+
+
 # ---------------------------------------------------------------- 3 and 4
 
 def test_minimisers_depend_on_the_window_alone():
