@@ -15,15 +15,17 @@ insert an empty message       3
 
 (merging a turn of another role costs both). The cost of a stretch of turns is a 4 x 4
 matrix (state before, state after), and matrices of neighbouring stretches compose, so a
-conversation of any length is cut into blocks of 256 turn numbers: block matrices are composed
+conversation of any length is cut into blocks of 256 turns: block matrices are composed
 level by level (256 at a time), the states at the block borders are chosen from the top down,
-and each block is then repaired on its own. No conversation is gathered in one task.
+and each block is then repaired on its own. Turns are ranked in ranges of the whole order, so
+that no conversation is gathered in one task, whatever its turn numbers are.
 
 The result has one row per rendered piece; the pieces of a conversation in the order of
 (block, step) are the rendered text. A message opens with ``<|role|>``, ends with ``<|end|>``;
 merged turns are parted by a blank line; ``<|`` inside texts is written ``< |``.
 
-Defined cases: turns go by number, null last, equal numbers by role, then text (null first);
+Defined cases: turns go by number, null last, equal numbers by role, then text (null
+first; the first ``HEAD`` characters, then a hash);
 null texts are empty; roles are trimmed and lowered, usual synonyms are known, other roles and
 null are turns without a role; a null conv_id is a conversation of its own; repeated rows are
 repeated turns; extra columns are ignored; an empty table gives an empty result.
@@ -37,7 +39,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphwarden.llm.common import store
+from glyphwarden.llm.common import discard, ranked, store
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -49,6 +51,8 @@ LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 MERGE, GUESS, RELABEL, INSERT = 1, 1, 2, 3
 _FAR = 1 << 40
 BLOCK_BITS = 8
+#: Characters of a text that order turns of one number and role (ranges are found from a sample of them).
+HEAD = 256
 
 
 @lru_cache(maxsize=None)
@@ -229,17 +233,27 @@ def _grouped(nodes: DataFrame) -> DataFrame:
 
 def repaired(conversations: DataFrame) -> DataFrame:
     """The rendered pieces of every conversation, ordered by (block, step) within it."""
-    number = F.col("turn").cast("long")
-    first, last = conversations.agg(F.min(number), F.max(number)).first()
-    # Turns count from 0, so that blocks meet in one at the top; null comes last.
-    turn = F.coalesce(number - F.lit(first or 0), F.lit((last or 0) - (first or 0) + 1))
-    leaves = store(
+    spark = conversations.sparkSession
+    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("_head"), F.col("_hash")]
+    rows = store(
         conversations.select(
             F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("~")).alias("conv"),
-            F.shiftright(turn, BLOCK_BITS).alias("block"), F.struct(turn.alias("at"), "role", "text", F.col("turn").cast("long").alias("turn")).alias("t"),
+            F.col("turn").cast("long").alias("turn"), "role", "text", F.substring("text", 1, HEAD).alias("_head"), F.xxhash64("text").alias("_hash"),
+        ).withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())),
+        "turns",
+    )
+    # Equal turns are dealt over several ranges: they are interchangeable.
+    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv", *order, "_deal")
+    placed = store(ranges.withColumn("_range", F.spark_partition_id()), "turn-ranges")
+    discard(rows)
+    numbered = ranked(placed, "conv", "_range", order, "_at", "_turns")
+    leaves = store(
+        numbered.select(
+            "conv", "conv_id", F.shiftright("_at", BLOCK_BITS).alias("block"), F.struct(F.col("_at").alias("at"), "role", "text", "turn").alias("t")
         ).groupBy("conv", "conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("turns")),
         "turn-blocks",
     )
+    discard(placed)
     nodes = store(leaves.mapInArrow(_leaf_matrices, _NODES), "block-costs")
     levels, states = [], []
     while True:  # one round for all but conversations of more than 256 turns

@@ -499,6 +499,25 @@ def test_conversations(spark):
     assert chat_format.repaired(df.limit(0)).count() == 0
 
 
+def test_blocks_hold_a_bounded_number_of_turns(spark):
+    """Conversations whose rows share turn numbers, have none, or are all equal are cut by rows."""
+    rng = random.Random(17)
+    rows = [(None, t % 3, rng.choice(["user", "assistant", None]), rng.choice(["same", f"t{t}"])) for t in range(1100)]
+    rows += [(5, None, "user", "equal")] * 700 + [(6, t, "user", "a") for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    pieces, turns = {}, {}
+    for p in chat_format.repaired(df).orderBy("block", "step").collect():
+        pieces.setdefault(p.conv_id, []).append(p)
+    for c, *turn in rows:
+        turns.setdefault(c, []).append(tuple(turn))
+    for c, mine in turns.items():
+        mine.sort(key=lambda t: (t[0] is None, t[0] or 0, t[1] is not None, t[1] or "", t[2]))
+        check_pieces(pieces[c], mine)
+        taken = [p for p in pieces[c] if p.action != "insert"]
+        assert max(Counter(p.block for p in taken).values()) <= 256
+        assert all(p.rendered.removesuffix("<|end|>\n").endswith(t[2]) for p, t in zip(taken, mine))
+
+
 # ---------------------------------------------------------------- 10
 
 def test_shards(spark, documents, rows):
