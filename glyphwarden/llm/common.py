@@ -27,6 +27,11 @@ def text_key(text: Column) -> Column:
     return F.hash(text)
 
 
+def wide_text_key(text: Column) -> Column:
+    """The same in 64 bits, where very many texts share an id (null)."""
+    return F.xxhash64(text)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: it is computed once and survives lost executors.
 

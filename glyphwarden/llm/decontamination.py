@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from glyphwarden.llm.common import store, text_key
+from glyphwarden.llm.common import store, wide_text_key
 from glyphwarden.llm.hashing import Rolling, Texts, mix, slices
 from glyphwarden.llm.quality import is_word, token_spans
 
@@ -100,7 +100,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Windows:
     """The windows of each text that may be similar to an item of their size."""
 
-    SCHEMA = "doc_id long, tkey int, start int, size int, print long, bag array<long>"
+    SCHEMA = "doc_id long, tkey long, start int, size int, print long, bag array<long>"
 
     def __init__(self, model):
         self.model = model
@@ -175,14 +175,14 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(batch.column("bag"), batch.column("item_bag")):
             left, right = Counter(np.array(a.values).tolist()), Counter(np.array(b.values).tolist())
             values.append((left & right).total() / max((left | right).total(), 1))
-        columns = ["doc_id", "item_id", "start"]
+        columns = ["doc_id", "tkey", "item_id", "start"]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in columns], pa.array(words.astype(np.int32)), pa.array(values, pa.float64())], names=[*columns, "size", "similarity"]
         )
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, similarity of the best window, start, n_words."""
+def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, tkey, item_id, start, size and similarity of every window that is similar to an item."""
     spark = documents.sparkSession
     item_type = dict(benchmark.dtypes)["item_id"]
     items = store(
@@ -193,7 +193,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     table = np.zeros(2 << SLOT_BITS, bool)
     table[slots] = True
     model = spark.sparkContext.broadcast((table.reshape(2, -1), sizes))
-    text = documents.select("doc_id", text_key(F.col("text")).alias("tkey"), "text")
+    text = documents.select("doc_id", wide_text_key(F.col("text")).alias("tkey"), "text")
     windows = store(text.mapInArrow(Windows(model), Windows.SCHEMA), "item-windows")
 
     def block(i: int):
@@ -209,16 +209,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "tkey", "start", "size")]
     checked = windows.dropDuplicates(["doc_id", "tkey", "start", "size"]).alias("w").join(pairs.alias("p"), same).select("p.*", "w.bag").alias("q").join(
         bags.alias("b"), [F.col("q.item_id").eqNullSafe(F.col("b.item_id")), F.col("q.size") == F.col("b.size")]
-    ).select("q.doc_id", "q.item_id", "q.start", "q.size", "q.bag", "b.item_bag")
-    values = checked.mapInArrow(similar, f"doc_id long, item_id {item_type}, start int, size int, similarity double")
+    ).select("q.doc_id", "q.tkey", "q.item_id", "q.start", "q.size", "q.bag", "b.item_bag")
+    values = checked.mapInArrow(similar, f"doc_id long, tkey long, item_id {item_type}, start int, size int, similarity double")
+    return values.filter(F.col("similarity") >= PERCENT / 100)
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per contaminated document and item: doc_id, item_id, similarity of the best window, start, n_words."""
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("best")
-    return values.filter(F.col("similarity") >= PERCENT / 100).groupBy("doc_id", "item_id").agg(best).select(
+    return matches(documents, benchmark).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start"), F.col("best.size").alias("n_words")
     )
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose id no item contaminates, with the columns they came with."""
-    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"))
-    return rows.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left_anti").select("_row.*")
+    """The rows whose text no item contaminates, with the columns they came with; other texts of the same id stay.
+
+    A row without text (null) has only its id to go by: it goes with a contaminated text of that id.
+    """
+    gone = F.explode(F.array(F.col("tkey"), wide_text_key(F.lit(None).cast("string"))))
+    found = matches(documents, benchmark).select(F.col("doc_id").alias("_found"), gone.alias("_ftkey")).distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"), wide_text_key(F.col("text")).alias("_tkey"))
+    same = F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_tkey") == F.col("_ftkey"))
+    return rows.join(found, same, "left_anti").select("_row.*")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphwarden.llm.common import MAX_LONG, discard, document_key, store, text_key
+from glyphwarden.llm.common import MAX_LONG, discard, document_key, store, wide_text_key
 from glyphwarden.llm.components import components
 from glyphwarden.llm.hashing import Rolling, Texts, Words, lower_ascii, mix, slices
 
@@ -81,7 +81,7 @@ def bucket_ranks(counts: DataFrame) -> np.ndarray:
 class Describe:
     """Size, class, group, parity map and prefix of each text's set."""
 
-    SCHEMA = "doc_id long, doc long, tkey int, n int, cls binary, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in _MAP_COLUMNS)
+    SCHEMA = "doc_id long, doc long, tkey long, n int, cls binary, grp long, prefix array<long>, " + ", ".join(f"{c} long" for c in _MAP_COLUMNS)
 
     def __init__(self, k: int, percent: int, ranks):
         self.k, self.percent, self.ranks = k, percent, ranks
@@ -158,7 +158,7 @@ class Likely:
     @classmethod
     def _slots(cls, batch: pa.RecordBatch) -> np.ndarray:
         doc = batch.column("doc").to_numpy().view(np.uint64)
-        return (mix(mix(doc) + batch.column("tkey").to_numpy().astype(np.uint64)) >> np.uint64(64 - cls.BITS)).astype(np.int64)
+        return (mix(mix(doc) + batch.column("tkey").to_numpy().view(np.uint64)) >> np.uint64(64 - cls.BITS)).astype(np.int64)
 
     @classmethod
     def _listed(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ class GroupedPrefixJoin:
     def __init__(self, documents: DataFrame, k: int, percent: int):
         spark = documents.sparkSession
         self.percent = percent
-        self.text = documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("tkey"), "text")
+        self.text = documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), wide_text_key(F.col("text")).alias("tkey"), "text")
         ranks = bucket_ranks(documents.select("text").mapInArrow(ShingleCounts(k), "bucket int, n long"))
         self.ranks = spark.sparkContext.broadcast(ranks)
         self.k = k
@@ -229,7 +229,7 @@ class GroupedPrefixJoin:
         near = store(near.select("u", "v", "an", "bn"), "near")
         asked = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
         places = store(self.classes.join(asked, "cls", "left_semi").select("cls", "rep.doc", "rep.tkey"), "asked")
-        likely = self.text.mapInArrow(Likely(places), "doc long, tkey int, text string")
+        likely = self.text.mapInArrow(Likely(places), "doc long, tkey long, text string")
         sets = store(likely.join(places, ["doc", "tkey"]).mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
         left = sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a"))
         right = sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b"))
@@ -302,7 +302,10 @@ def _as_links(stars: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and ``doc``, ``tkey`` of every row.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and ``doc``, ``tkey``, ``root`` of every row.
+
+    ``root`` is the component itself (unrelated texts of one repeated id have one component_id);
+    it is null for an empty set.
 
     Two texts are linked when 100 * common shingles >= percent * all shingles. ASCII capitals
     are lowered. Defined cases: a null text or one without words has an empty set and is
@@ -316,11 +319,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     )
     rooted = store(rooted, "components")
     first = rooted.groupBy("root").agg(F.min("doc").alias("first"))
-    linked = rooted.join(first, "root").select("doc_id", "doc", "tkey", "n", "first")
-    alone = join.described.filter("n = 0").select("doc_id", "doc", "tkey", "n", F.col("doc").alias("first"))
+    linked = rooted.join(first, "root").select("doc_id", "doc", "tkey", "n", "first", "root")
+    alone = join.described.filter("n = 0").select("doc_id", "doc", "tkey", "n", F.col("doc").alias("first"), F.lit(None).cast("binary").alias("root"))
     return linked.unionByName(alone).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("first") < MAX_LONG, F.col("first")).alias("component_id"), "doc", "tkey",
+        F.when(F.col("first") < MAX_LONG, F.col("first")).alias("component_id"), "doc", "tkey", "root",
     )
 
 
@@ -331,11 +334,9 @@ def keep_first(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     found = store(near_duplicates(documents, k, percent), "near-duplicates")
     linked = found.filter("n_shingles > 0")
-    # A component whose rows have no id is told apart by its least row alone.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.col("tkey").cast("string")))
-    first = linked.groupBy(group.alias("group")).agg(F.min(F.struct("doc", "tkey")).alias("kept")).select("kept.doc", "kept.tkey")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc", "tkey")).alias("kept")).select("kept.doc", "kept.tkey")
     rows = documents.select(
-        F.struct(*documents.columns).alias("_row"), document_key(F.col("doc_id")).alias("_doc"), text_key(F.col("text")).alias("_tkey")
+        F.struct(*documents.columns).alias("_row"), document_key(F.col("doc_id")).alias("_doc"), wide_text_key(F.col("text")).alias("_tkey")
     )
     chosen = rows.join(first.distinct(), (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left_semi")
     blank = found.filter("n_shingles = 0").select("doc", "tkey").distinct()

@@ -396,6 +396,20 @@ def test_many_near_copies_of_one_text(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_repeated_and_null_ids_are_told_apart_by_text(spark):
+    """Unrelated texts of one id all stay; near copies without id are one; only the contaminated texts of an id go."""
+    rng = random.Random(16)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    base, leak = text(), text()
+    near = [*base[:-1], "other"]
+    rows = [(7, " ".join(text()), "en", "s") for _ in range(4)] + [(None, " ".join(x), "en", "s") for x in (base, near, text(), leak)]
+    documents = make(spark, rows)
+    kept = [r.text for r in ngram_join.keep_first(documents).collect()]
+    assert len(kept) == 7 and {r[1] for r in rows} - set(kept) <= {" ".join(base), " ".join(near)}
+    benchmark = spark.createDataFrame([(1, " ".join(leak[10:50]))], "item_id long, text string")
+    assert sorted(r.text for r in decontamination.keep_clean(documents, benchmark).collect()) == sorted(r[1] for r in rows[:-1])
+
+
 # ---------------------------------------------------------------- 8
 
 def test_language_held_out(spark, folder):
