@@ -462,6 +462,7 @@ _BATCH_SRC_SQL = f"""
 SELECT doc_id, filename, kind, stored_format,
   CASE kind WHEN 'paged' THEN concat(text, chr(10))
     WHEN 'cells' THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: x NOT IN ('', '0', 'False')), chr(10))
+    WHEN 'html' THEN CASE WHEN NOT regexp_full_match(text, '[ \t\n\f\r]+') THEN text WHEN contains(text, chr(10)) THEN chr(10) ELSE ' ' END
     ELSE text END AS text
 FROM ({_ACCEPTED_SQL})"""
 
