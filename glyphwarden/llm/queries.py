@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm import chat_format, decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from glyphwarden.llm import (
+    chat_format, decontamination, hard_negatives, language_id, line_dedup, merkle, mixing, ngram_join, quality, sharding, substring_dedup,
+    suffix_dedup, toxicity,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -147,3 +150,104 @@ def op10_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+# CRC-32 of the decimal id, bit by bit: each byte is followed by eight shifts.
+_CRC_SQL = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({f}), ':', {f}), '-')" for f in fields) + "))"
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC_SQL} % 3 = 0 AND text IS NOT NULL
+      THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d),
+up AS (
+  SELECT tree, 0 AS lvl, place, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY tree, lvl, place // 8, n),
+s AS (SELECT tree AS language, lvl AS depth, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, place, n, digest FROM s
+  UNION ALL
+  SELECT lvl + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY lvl, place // 8, n),
+step AS (
+  SELECT l.tree, l.place, u.lvl, coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place < u.place), '') AS lefts,
+    coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place > u.place), '') AS rights
+  FROM l JOIN up u ON u.tree = l.tree AND u.place = l.place // CAST(pow(8, u.lvl) AS BIGINT) AND u.n > 1
+  JOIN up v ON v.tree = u.tree AND v.lvl = u.lvl AND v.place // 8 = u.place // 8 GROUP BY l.tree, l.place, u.lvl
+  UNION ALL
+  SELECT l.tree, l.place, s.depth + u.lvl, coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place < u.place), ''),
+    coalesce(string_agg(v.digest, '' ORDER BY v.place) FILTER (v.place > u.place), '')
+  FROM l JOIN s ON s.language = l.tree JOIN top u ON u.place = s.place // CAST(pow(8, u.lvl) AS BIGINT) AND u.n > 1
+  JOIN top v ON v.lvl = u.lvl AND v.place // 8 = u.place // 8 GROUP BY l.tree, l.place, s.depth, u.lvl),
+fold AS (
+  SELECT tree, place, 0 AS lvl, coalesce(claimed, leaf) AS digest FROM l
+  UNION ALL
+  SELECT fold.tree, fold.place, fold.lvl + 1, sha256(concat(lefts, fold.digest, rights))
+  FROM fold JOIN step ON step.tree = fold.tree AND step.place = fold.place AND step.lvl = fold.lvl)
+SELECT l.doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(p.path, '')) AS proof_sha256, f.digest AS folded_root,
+  f.digest = r.digest AS verified
+FROM l JOIN s ON s.language = l.tree CROSS JOIN (SELECT digest FROM top WHERE n = 1) r
+LEFT JOIN (SELECT tree, place, string_agg(lefts || rights, '' ORDER BY lvl) AS path FROM step GROUP BY tree, place) p ON p.tree = l.tree AND p.place = l.place
+JOIN (SELECT tree, place, arg_max(digest, lvl) AS digest FROM fold GROUP BY tree, place) f ON f.tree = l.tree AND f.place = l.place"""
+
+
+@query("op11_merkle_manifest", _MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    made = merkle.manifest(table(spark, folder, "documents"), F.when(remainder(3) == 0, lowered))
+    proved = made.withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_LINES_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, coalesce(doc_id < owner, FALSE) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query("op12_line_dedup", _LINES_SQL)
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedupe_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_NEGATIVES_SQL = """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, a.vec_id = b.vec_id AS self,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same AND NOT self
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = hard_negatives.eligible(table(spark, folder, "embeddings"))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
