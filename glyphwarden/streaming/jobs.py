@@ -1,18 +1,22 @@
 """The online side as Structured Streaming jobs.
 
 Every job writes each micro-batch under its own ``batch=<id>`` folder with overwrite, so
-a batch that is run again after a failure replaces its own output and nothing else.
+a batch that is run again after a failure replaces its own output and nothing else. Counts that
+change are kept as the newest row per key (``keyed_log``), badges with a state store per
+user (``badge_state``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphwarden import rules
 from glyphwarden.operators import badges, documents as scans
 from glyphwarden.session import fresh_folder
+from glyphwarden.streaming import badge_state
+from glyphwarden.streaming.keyed_log import COMPACT_EVERY, KeyedLog
 
 
 def read_stream(spark: SparkSession, folder: str, file_name: str, max_files: int | None = None) -> DataFrame:
@@ -24,16 +28,8 @@ def read_stream(spark: SparkSession, folder: str, file_name: str, max_files: int
     return reader.parquet(folder)
 
 
-def run_available(
-    stream: DataFrame, target: str, checkpoint: str, output_mode: str = "append",
-    transform: Callable[[DataFrame, int], DataFrame] | None = None,
-) -> None:
-    """Process what is there, one folder per micro-batch, then stop."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if transform is None else transform(batch, batch_id)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
+def run_batches(stream: DataFrame, checkpoint: str, output_mode: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Process what is there, micro-batch by micro-batch, then stop."""
     query = (
         stream.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -41,6 +37,14 @@ def run_available(
     query.awaitTermination()
 
 
+def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Append the rows of each micro-batch in a folder of its own."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    run_batches(stream, checkpoint, "append", write)
+
+
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     return fresh_folder(spark, name), fresh_folder(spark, f"{name}-checkpoint")
 
@@ -50,85 +54,53 @@ def scan_stream(documents: DataFrame, target: str, checkpoint: str) -> None:
     run_available(scans.scan_plain(documents), target, checkpoint)
 
 
-def counter_stream(records: DataFrame, target: str, checkpoint: str) -> None:
-    """Keep scan_count, threat_count and formats per user; each batch writes the users it changed."""
-    run_available(badges.user_counters(records), target, checkpoint, "update")
+def counter_log(spark: SparkSession, target: str, compact_every: int = COMPACT_EVERY) -> KeyedLog:
+    return KeyedLog(spark, target, ["user_id"], compact_every)
+
+
+def counter_stream(records: DataFrame, target: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> None:
+    """Keep scan_count, threat_count and formats per user; a batch reads and writes the users it touches."""
+    log = counter_log(records.sparkSession, target, compact_every)
+    run_batches(badges.user_counters(records), checkpoint, "update", log.write)
 
 
 def latest_counters(spark: SparkSession, target: str) -> DataFrame:
     """Current counters: each user's row of the last batch that changed them."""
-    log = spark.read.parquet(target)
-    columns = [c for c in log.columns if c not in ("user_id", "batch")]
-    newest = F.max_by(F.struct(*columns), F.col("batch")).alias("row")
-    return log.groupBy("user_id").agg(newest).select("user_id", "row.*")
+    return counter_log(spark, target).latest()
+
+
+def trend_log(spark: SparkSession, target: str, compact_every: int = COMPACT_EVERY) -> KeyedLog:
+    return KeyedLog(spark, target, ["user_id", "day"], compact_every)
 
 
-def daily_trend_stream(records: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Daily counts per user, final once the watermark has passed the day's end."""
+def daily_trend_stream(
+    records: DataFrame, target: str, checkpoint: str, delay: str = "1 day", compact_every: int = COMPACT_EVERY
+) -> None:
+    """Daily counts per user, open days included: a batch replaces the rows (user, day) that it changes.
+
+    A day's counts leave the state store once the watermark has passed its end by ``delay``; scans
+    that arrive later than that are not counted any more.
+    """
     timed = records.withColumn("ts", F.col("created_at").cast("timestamp")).withWatermark("ts", delay)
     daily = timed.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(
         F.count("*").alias("total"), F.count_if(F.col("verdict") == "BLOCKED").alias("blocked"),
         F.count_if(F.col("verdict") == "ALLOWED").alias("allowed"),
     )
     flat = daily.select("user_id", F.to_date("w.start").alias("day"), "total", "blocked", "allowed")
-    run_available(flat, target, checkpoint)
+    run_batches(flat, checkpoint, "update", trend_log(records.sparkSession, target, compact_every).write)
 
 
-_STATE = T.StructType([
-    T.StructField("user_id", T.LongType()),
-    T.StructField("scan_count", T.LongType()),
-    T.StructField("threat_count", T.LongType()),
-    T.StructField("formats", T.ArrayType(T.StringType())),
-    T.StructField("critical_seen", T.BooleanType()),
-    T.StructField("batch", T.LongType()),
-])
+def latest_trend(spark: SparkSession, target: str) -> DataFrame:
+    """Current daily counts of every user and day that had a scan."""
+    return trend_log(spark, target).latest()
 
 
 def badge_stream(
-    records: DataFrame, target: str, state_path: str, checkpoint: str,
-    milestones: dict[str, int] = rules.SCAN_MILESTONES,
+    records: DataFrame, target: str, checkpoint: str, milestones: dict[str, int] = rules.SCAN_MILESTONES
 ) -> None:
     """Emit each badge once per user, at the scan that first meets its condition.
 
-    A micro-batch is evaluated with the skew-safe running counters, shifted by the state
-    its users brought along. State is a log: a batch appends the new state of the users it
-    touched, and reads only batches before it, so running a batch again gives the same.
+    What users bring along is in the state store of the checkpoint; a batch reads the state of the
+    users it touches.
     """
-    run_available(
-        records, target, checkpoint,
-        transform=lambda batch, batch_id: _badges_of_batch(batch, batch_id, state_path, milestones),
-    )
-
-
-def _prior_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], _STATE).drop("batch")
-    log = spark.read.schema(_STATE).parquet(state_path).filter(F.col("batch") < batch_id)
-    row = F.struct("scan_count", "threat_count", "formats", "critical_seen")
-    return log.groupBy("user_id").agg(F.max_by(row, F.col("batch")).alias("row")).select("user_id", "row.*")
-
-
-def _badges_of_batch(batch: DataFrame, batch_id: int, state_path: str, milestones: dict[str, int]) -> DataFrame:
-    spark = batch.sparkSession
-    touched = badges.user_counters(batch).join(
-        badges.eagle_eye(batch).select("user_id", "earned_at"), "user_id", "left"
-    )
-    prior = _prior_state(spark, state_path, batch_id).select(
-        "user_id", F.col("scan_count").alias("scans_before"), F.col("threat_count").alias("threats_before"),
-        F.col("formats").alias("formats_before"), F.col("critical_seen").alias("critical_before"),
-    )
-    merged = touched.join(prior, "user_id", "left").select(
-        "user_id",
-        (F.col("scan_count") + F.coalesce("scans_before", F.lit(0))).alias("scan_count"),
-        (F.col("threat_count") + F.coalesce("threats_before", F.lit(0))).alias("threat_count"),
-        F.array_union("formats_used", F.coalesce("formats_before", F.expr("cast(array() as array<string>)"))).alias("formats"),
-        (F.col("earned_at").isNotNull() | F.coalesce("critical_before", F.lit(False))).alias("critical_seen"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
-    )
-    merged.drop("batch_id").write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-
-    # Badges of the batch, given what was there before: users are few columns wide here.
-    running = badges.running_counters(batch, prior=prior)
-    crossings = badges.crossings(running, milestones)
-    critical = badges.eagle_eye(batch).join(prior.filter("critical_before"), "user_id", "left_anti")
-    return crossings.unionByName(critical.select("user_id", "badge_key", "earned_at"))
+    run_available(badge_state.awards(records, milestones), target, checkpoint)
