@@ -62,12 +62,8 @@ def first_formats(rows: DataFrame) -> DataFrame:
     return first.groupBy("user_id").agg(F.collect_list(F.struct("moment", "file_format")).alias("format_firsts"))
 
 
-def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE, prior: DataFrame | None = None) -> DataFrame:
-    """Each scan with scan_count, threat_count and format_count as they stood after it.
-
-    ``prior`` gives what users brought along from earlier records (user_id, scans_before,
-    threats_before, formats_before).
-    """
+def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE) -> DataFrame:
+    """Each scan with scan_count, threat_count and format_count as they stood after it."""
     rows = _narrow(records, slice_unit)
     slices = rows.groupBy("user_id", "slice").agg(F.count("*").alias("n"), F.sum("n_findings").alias("t"))
     before = slices.select(
@@ -75,17 +71,6 @@ def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE, prior:
         F.coalesce(F.sum("n").over(_earlier_slices()), F.lit(0)).alias("scans"),
         F.coalesce(F.sum("t").over(_earlier_slices()), F.lit(0)).alias("threats_so_far"),
     ).join(first_formats(rows), "user_id")
-    known = F.expr("cast(array() as array<string>)")
-    if prior is not None:
-        before = before.join(prior, "user_id", "left")
-        before = before.withColumn("scans", F.col("scans") + F.coalesce("scans_before", F.lit(0))).withColumn(
-            "threats_so_far", F.col("threats_so_far") + F.coalesce("threats_before", F.lit(0))
-        )
-        known = F.coalesce("formats_before", known)
-    before = before.select(
-        "user_id", "slice", "scans", "threats_so_far", F.size(known).alias("formats_so_far"),
-        F.filter("format_firsts", lambda f: ~F.array_contains(known, f["file_format"])).alias("new_formats"),
-    )
     inside = rows.select(
         "*",
         F.row_number().over(_inside_slice()).alias("rank"),
@@ -95,10 +80,7 @@ def running_counters(records: DataFrame, slice_unit: str = DEFAULT_SLICE, prior:
         "id", "user_id", "created_at", "n_findings", "critical", "clean",
         (F.col("scans") + F.col("rank")).alias("scan_count"),
         (F.col("threats_so_far") + F.col("threats")).alias("threat_count"),
-        (F.col("formats_so_far") + F.size(F.filter("new_formats", lambda f: f["moment"] <= F.col("moment")))).alias(
-            "format_count"
-        ),
-        F.exists("new_formats", lambda f: f["moment"] == F.col("moment")).alias("new_format"),
+        F.size(F.filter("format_firsts", lambda f: f["moment"] <= F.col("moment"))).alias("format_count"),
     )
 
 
@@ -126,10 +108,6 @@ def _crosses_threats(total: int) -> Column:
     return (F.col("threat_count") >= total) & (F.col("threat_count") - F.col("n_findings") < total)
 
 
-def _crosses_formats(distinct: int) -> Column:
-    return (F.col("format_count") == distinct) & F.col("new_format")
-
-
 def threat_hunter(records: DataFrame, total: int = rules.THREAT_HUNTER_TOTAL) -> DataFrame:
     """Cumulative threats: the total is reached within the first ``total`` scans with findings."""
     rows = records.select("user_id", "created_at", "id", F.size("findings").alias("n_findings")).filter("n_findings > 0")
@@ -185,22 +163,102 @@ def clean_slate(records: DataFrame, length: int = rules.CLEAN_SLATE_RUN) -> Data
     return _earned(fifth.groupBy("user_id").agg(F.min("created_at").alias("created_at")), "clean_slate")
 
 
-def crossings(running: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
-    """Milestones, threat total and format variety from one pass over running counters."""
-    conditions = F.array_compact(F.array(
-        *_reached(milestones),
-        F.when(_crosses_threats(rules.THREAT_HUNTER_TOTAL), F.lit("threat_hunter")),
-        F.when(_crosses_formats(rules.FORMAT_EXPLORER_DISTINCT), F.lit("format_explorer")),
-    ))
-    return _earned(running.withColumn("badge", F.explode(conditions)), F.col("badge"))
-
-
 def scan_badges(records: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
     """All badges checked after a scan."""
     found = [scan_milestones(records, milestones), threat_hunter(records), eagle_eye(records), format_explorer(records)]
     return reduce(DataFrame.unionByName, found)
 
 
+_SUMMARY = "user_id", "slice"
+
+
+def slice_summaries(
+    records: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES, slice_unit: str = DEFAULT_SLICE
+) -> DataFrame:
+    """One row per user and time slice with all that badges ask of it, however many scans it holds.
+
+    n, t: scans and threats. ``firsts``: the times of its first scans, as many as a milestone or a
+    clean run can need. ``hits``: its first scans with findings, with the threats up to there,
+    until they would be enough alone. ``critical``: first scan with a critical finding.
+    ``formats``: first use of each format. ``broken``, ``lead``: rank of its last scan that is not clean,
+    clean scans before its first one. ``run_at``: when a clean run within the slice got long enough.
+    """
+    rows = _narrow(records, slice_unit)
+    here = _inside_slice()
+    ranked = rows.select(
+        "*", F.row_number().over(here).alias("rank"), F.sum("n_findings").over(here).alias("threats"),
+    ).withColumn("broken_at", F.max(F.when(~F.col("clean"), F.col("rank"))).over(here))
+    needed = max(*milestones.values(), rules.CLEAN_SLATE_RUN)
+    run = F.col("rank") - F.coalesce("broken_at", F.lit(0))
+    hit = (F.col("n_findings") > 0) & (F.col("threats") - F.col("n_findings") < rules.THREAT_HUNTER_TOTAL)
+    formats = ranked.select("*", F.row_number().over(Window.partitionBy(*_SUMMARY, "file_format").orderBy("created_at", "id")).alias("use"))
+    return formats.groupBy(*_SUMMARY).agg(
+        F.count("*").alias("n"), F.sum("n_findings").alias("t"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= needed, F.col("created_at")))).alias("firsts"),
+        F.array_sort(F.collect_list(F.when(hit, F.struct("threats", "created_at")))).alias("hits"),
+        F.min(F.when(F.col("critical"), F.col("created_at"))).alias("critical"),
+        F.collect_list(F.when(F.col("use") == 1, F.struct("file_format", "created_at"))).alias("formats"),
+        F.max("broken_at").alias("broken"),
+        F.coalesce(F.min(F.when(~F.col("clean"), F.col("rank"))) - 1, F.count("*")).alias("lead"),
+        F.min(F.when(F.col("clean") & (run == rules.CLEAN_SLATE_RUN), F.col("created_at"))).alias("run_at"),
+    )
+
+
+def scan_badges_of_slices(summaries: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
+    """All badges that scans earn, from the slices of each user in order.
+
+    Prefix sums over the slices say in which one a condition is first met; the time is in its summary.
+    """
+    earlier = _earlier_slices()
+    placed = summaries.select(
+        "*", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("scans_before"),
+        F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("threats_before"),
+    )
+    carried = placed.withColumn(
+        "carry", F.col("scans_before") - F.coalesce(F.max(F.col("scans_before") + F.col("broken")).over(earlier), F.lit(0))
+    )
+
+    def nth(n: Column) -> Column:
+        return F.get("firsts", n - 1)
+
+    reached = {
+        badge: F.when((F.col("scans_before") < n) & (F.col("scans_before") + F.col("n") >= n), nth(F.lit(n) - F.col("scans_before")))
+        for badge, n in milestones.items()
+    }
+    enough = F.filter("hits", lambda h: h["threats"] + F.col("threats_before") >= rules.THREAT_HUNTER_TOTAL)
+    reached["threat_hunter"] = F.when(F.col("threats_before") < rules.THREAT_HUNTER_TOTAL, F.get(enough, F.lit(0))["created_at"])
+    reached["eagle_eye"] = F.col("critical")
+    long_enough = (F.col("lead") > 0) & (F.col("carry") + F.col("lead") >= rules.CLEAN_SLATE_RUN)
+    missing = F.greatest(F.lit(rules.CLEAN_SLATE_RUN) - F.col("carry"), F.lit(1))
+    reached["clean_slate"] = F.when(long_enough, nth(missing)).otherwise(F.col("run_at"))
+    users = carried.groupBy("user_id").agg(
+        *[F.min(time).alias(badge) for badge, time in reached.items()], F.flatten(F.collect_list("formats")).alias("formats")
+    )
+    # Slices give a user's formats in any order: the first use of each, then the time of the n-th.
+    kinds = F.array_distinct(F.transform("formats", lambda f: f["file_format"]))
+    first_uses = F.array_sort(F.transform(
+        kinds, lambda k: F.array_min(F.transform(F.filter("formats", lambda f: f["file_format"] == k), lambda f: f["created_at"]))
+    ))
+    explorer = F.get(first_uses, F.lit(rules.FORMAT_EXPLORER_DISTINCT - 1)).alias("format_explorer")
+    wide = users.select("user_id", *reached, explorer)
+    pairs = F.array(*[F.struct(F.lit(b).alias("badge_key"), F.col(b).alias("earned_at")) for b in (*reached, "format_explorer")])
+    return wide.select("user_id", F.explode(F.filter(pairs, lambda p: p["earned_at"].isNotNull())).alias("p")).select("user_id", "p.*")
+
+
+def all_scan_badges(records: DataFrame, milestones: dict[str, int] = rules.SCAN_MILESTONES) -> DataFrame:
+    """Every badge that scans earn, clean slate included, from one pass over the records."""
+    return scan_badges_of_slices(slice_summaries(records, milestones), milestones)
+
+
+def merged_badges(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """Each badge of a user once: as held before, else at the earliest time; ``fresh`` tells which are new."""
+    keys = ["user_id", "badge_key"]
+    both = candidates.select(*keys, "earned_at", F.lit(True).alias("fresh")).unionByName(
+        existing.select(*keys, "earned_at", F.lit(False).alias("fresh"))
+    )
+    return both.groupBy(*keys).agg(F.min(F.struct("fresh", "earned_at")).alias("first")).select(*keys, "first.earned_at", "first.fresh")
+
+
 def newly_awarded(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates the user does not hold yet, each once, at the earliest time."""
     keys = ["user_id", "badge_key"]
@@ -260,6 +318,11 @@ def top_users(records: DataFrame, users: DataFrame, size: int = 10) -> DataFrame
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("scan_count"), "user_id")))
 
 
+def stored_top(top: DataFrame) -> DataFrame:
+    """The few rows of ``top_users`` as a table of their own, so that they are found once."""
+    return top.sparkSession.createDataFrame(top.collect(), top.schema)
+
+
 def leaderboard(top: DataFrame, badges: DataFrame) -> DataFrame:
     """Top users with masked address and badge count; ``badges`` need only hold those of the top users."""
     held = badges.groupBy("user_id").agg(F.count("*").alias("badge_count"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphwarden.functions import text as text_functions
@@ -47,18 +50,57 @@ def page_of_user(records: DataFrame, user_id: int, page: int | None = None, per_
     return newest.offset((page_number(page) - 1) * size).limit(size)
 
 
+# Up to here Spark drops surplus rows of a rank before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+SHALLOW_ROWS = 1000
+_MICROS = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}
+
+
 def page_of_all_users(records: DataFrame, page: int | None = None, per_page: int | None = None) -> DataFrame:
-    """The same page for every user at once.
+    """The same page for every user at once, with ``position`` (from 1); newest first, ties by id, descending.
 
-    The upper bound on the rank lets Spark drop surplus rows before the shuffle, so a user
-    with very many records sends at most page x size rows per task.
+    Near the front the upper bound on the rank lets Spark drop surplus rows before the shuffle, so
+    a user with very many records sends at most page x size rows per task. Pages further back
+    are found by ``deep_page_of_all_users``, with the same result.
     """
     number, size = page_number(page), page_size(per_page)
+    if number * size > SHALLOW_ROWS:
+        return deep_page_of_all_users(records, number, size)
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     ranked = records.withColumn("position", F.row_number().over(newest))
     return ranked.filter((F.col("position") <= number * size) & (F.col("position") > (number - 1) * size))
 
 
+def deep_page_of_all_users(
+    records: DataFrame, page: int | None = None, per_page: int | None = None, units: Sequence[str] = ("day", "minute")
+) -> DataFrame:
+    """The same by rank selection: time slices that cannot hold the page are never ranked.
+
+    A directory counts the records of each user and slice (map-side, keys only); its running
+    sums, newest slice first, tell which slices the page lies in. Within these the next finer unit
+    is counted, and only the records of the last slices found are ranked.
+    """
+    number, size = page_number(page), page_size(per_page)
+    left = records.withColumn("_newer", F.lit(0).cast("long"))
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    keys: list[str] = []
+    for level, unit in enumerate(units):
+        # Records without a time come last, as in a descending order.
+        left = left.withColumn(f"_slice{level}", F.coalesce(F.floor(micros / F.lit(_MICROS[unit])), F.lit(-(1 << 62))))
+        group = ["user_id", *keys]
+        newest = Window.partitionBy(*group).orderBy(F.desc(f"_slice{level}")).rowsBetween(Window.unboundedPreceding, -1)
+        directory = left.groupBy(*group, f"_slice{level}").agg(F.count("*").alias("_n"), F.first("_newer").alias("_from"))
+        newer = directory.withColumn("_newer", F.col("_from") + F.coalesce(F.sum("_n").over(newest), F.lit(0)))
+        wanted = newer.filter((F.col("_newer") < number * size) & (F.col("_newer") + F.col("_n") > (number - 1) * size)).drop("_n", "_from")
+        keys.append(f"_slice{level}")
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("user_id", *keys)]
+        joined = left.drop("_newer").alias("l").join(wanted.alias("w"), reduce(Column.__and__, same))
+        left = joined.select("l.*", "w._newer")
+    inside = Window.partitionBy("user_id", *keys).orderBy(F.desc("created_at"), F.desc("id"))
+    placed = left.withColumn("position", (F.col("_newer") + F.row_number().over(inside)).cast("int"))
+    page_rows = placed.filter((F.col("position") <= number * size) & (F.col("position") > (number - 1) * size))
+    return page_rows.drop("_newer", *keys)
+
+
 def envelope(records: DataFrame, page: int | None = None, per_page: int | None = None) -> DataFrame:
     """Per user: total, page, per_page, pages, has_next, has_prev."""
     number, size = page_number(page), page_size(per_page)

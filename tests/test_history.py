@@ -86,6 +86,29 @@ def test_badges(records, rows):
     assert got == expected_badges(rows, rules.SCAN_MILESTONES)
 
 
+@pytest.mark.parametrize("seed, hours, unit", [(1, 200, "hour"), (2, 3, "minute"), (3, 2, "day"), (4, 2000, "hour")])
+def test_badges_in_one_pass(spark, seed, hours, unit):
+    rows = make_records(1500, seed, spread_hours=hours)
+    summaries = badges.slice_summaries(spark.createDataFrame(rows, SCHEMA), slice_unit=unit)
+    found = badges.scan_badges_of_slices(summaries).collect()
+    assert {(r.user_id, r.badge_key): r.earned_at for r in found} == expected_badges(rows, rules.SCAN_MILESTONES)
+    assert len({(r.user_id, r.badge_key) for r in found}) == len(found)
+
+
+def test_badges_need_one_scan_and_two_shuffles(spark, records):
+    plan = badges.all_scan_badges(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Scan") == 1
+
+
+def test_merged_badges_keep_what_is_held(spark, records):
+    candidates = badges.all_scan_badges(records)
+    before = START - dt.timedelta(days=9)
+    held = spark.createDataFrame([(0, "first_scan", before), (0, "gone", before)], "user_id long, badge_key string, earned_at timestamp_ntz")
+    merged = {(r.user_id, r.badge_key): (r.earned_at, r.fresh) for r in badges.merged_badges(candidates.unionByName(candidates), held).collect()}
+    assert merged[0, "first_scan"] == (before, False) and merged[0, "gone"] == (before, False)
+    assert len(merged) == candidates.count() + 1 and sum(f for _, f in merged.values()) == candidates.count() - 1
+
+
 def test_awarded_once(spark, records):
     candidates = badges.scan_badges(records)
     held = spark.createDataFrame([(0, "first_scan")], "user_id long, badge_key string")
@@ -145,6 +168,25 @@ def test_history_pages(spark):
     assert (past.pages, past.has_next, past.has_prev) == (3, False, True)
 
 
+@pytest.mark.parametrize("seed, hours, units", [(1, 200, ("day", "minute")), (2, 1, ("hour", "second")), (3, 400, ("hour",))])
+def test_deep_pages(spark, seed, hours, units):
+    """Page 21 x 50, page 40 x 50 of one user and every page in between give what a full sort gives."""
+    rows = make_records(2600, seed, hot_share=0.9, spread_hours=hours)
+    rows += [(9000 + i, u, "f", "txt", "ALLOWED", 0, t, []) for i, (u, t) in enumerate([(None, START), (None, None), (0, None), (3, None)] * 20)]
+    records = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    newest = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[6] is not None, r[6] or START, r[0]), reverse=True):
+        newest[r[1]].append(r[0])
+    for page, size in ((21, 50), (40, 50), (1, 50), (2, 7), (60, 50)):
+        expected = {i: (u, k) for u, ids in newest.items() for k, i in enumerate(ids, 1) if (page - 1) * size < k <= page * size}
+        got = history.deep_page_of_all_users(records, page, size, units)
+        assert {r.id: (r.user_id, r.position) for r in got.collect()} == expected
+        assert got.columns == [*records.columns, "position"]
+    assert history.page_of_all_users(records, 21, 50).count() == 50
+    plan = history.page_of_all_users(records, 21, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in plan
+
+
 def test_history_filters(records):
     assert history.filtered(records, 0, q=" .txt ").count() == history.filtered(records, 0).count()
     assert history.filtered(records, verdict="nonsense").count() == records.count()
