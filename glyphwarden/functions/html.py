@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from glyphwarden import rules
-from glyphwarden.functions.screening import _rule_bits
+from glyphwarden.functions.screening import _matches, _rule_bits
 
 HTML_TYPE = T.StructType([
     T.StructField("text", T.StringType()),
@@ -128,7 +128,7 @@ def _per_page(bits: np.ndarray, counts: list[int]) -> np.ndarray:
 
 @F.arrow_udf(HTML_TYPE)
 def _parse_udf(pages: pa.Array) -> pa.Array:
-    parsed = [parse_page(source or "") for source in pages.to_pylist()]
+    parsed = [parse_page(source) if source else ("", [], []) for source in pages.to_pylist()]
     scripts = [p[2] for p in parsed]
     bodies = pa.array([body for page in scripts for body in page], pa.string())
     counts = [len(page) for page in scripts]
@@ -146,3 +146,37 @@ def _parse_udf(pages: pa.Array) -> pa.Array:
 
 def parse(html: Column) -> Column:
     return _parse_udf(html)
+
+
+MARKUP_TYPE = T.StructType([T.StructField("hides", T.BooleanType()), T.StructField("scripts", T.BooleanType())])
+
+
+def screen_markup(pages: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which pages may have hidden elements, and which scripts that a rule hits; no page that has them is missed.
+
+    A style that hides is an attribute called style, whose value is in the markup as it is unless
+    a character reference stands in it. A script's body is in the markup as it is.
+    """
+    if isinstance(pages, pa.ChunkedArray):
+        pages = pages.combine_chunks()
+    hides = _matches(pages, "(?i)style")
+    rows = np.flatnonzero(hides)
+    if len(rows):
+        hides[rows] = _matches(pages.take(pa.array(rows)), rules.HIDDEN_SCREEN)
+    scripts = _matches(pages, "(?i)<script")
+    rows = np.flatnonzero(scripts)
+    if len(rows):
+        candidates = pages.take(pa.array(rows))
+        scripts[rows] = (_rule_bits(candidates, rules.INJECTION_SCREEN) | _rule_bits(candidates, rules.EXFIL_SCREEN)) != 0
+    return hides, scripts
+
+
+@F.arrow_udf(MARKUP_TYPE)
+def _screen_udf(pages: pa.Array) -> pa.Array:
+    hides, scripts = screen_markup(pages)
+    return pa.StructArray.from_arrays([pa.array(hides), pa.array(scripts)], ["hides", "scripts"])
+
+
+def screen(html: Column) -> Column:
+    """struct<hides, scripts>: whether a page is worth parsing for hidden elements or for its scripts."""
+    return _screen_udf(html)

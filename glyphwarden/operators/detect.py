@@ -80,22 +80,16 @@ def match_offsets(text: str, pattern: str) -> str:
     )
 
 
-def page_ends(pages: str) -> str:
-    """Ascending ARRAY<STRUCT<page, stop>> of sorted ARRAY<STRUCT<page, text>>.
-
-    Each page occupies its length plus one character of the joined text.
-    """
-    stop = "a.pos + char_length(p.text) + 1"
-    return (
-        f"aggregate({pages}, struct(0 as pos, cast(array() as array<struct<page:int,stop:int>>) as ends), "
-        f"(a, p) -> struct({stop} as pos, concat(a.ends, array(struct(p.page as page, {stop} as stop))) as ends), "
-        "a -> a.ends)"
-    )
-
-
 def page_of(ends: str, offset: str) -> str:
-    """Page of an offset; null past the last page."""
-    return f"get({ends}, size(filter({ends}, e -> e.stop <= {offset}))).page"
+    """Page of an offset by binary search in ascending ARRAY<STRUCT<page, stop>>; null past the last page."""
+    middle = "cast((a.lo + a.hi) div 2 as int)"
+    step = (
+        f"CASE WHEN a.lo >= a.hi THEN a WHEN get({ends}, {middle}).stop <= {offset} "
+        f"THEN struct({middle} + 1 as lo, a.hi as hi) ELSE struct(a.lo as lo, {middle} as hi) END"
+    )
+    # As many steps as the number of pages has bits.
+    steps = f"sequence(1, greatest(1, char_length(bin(size({ends})))))"
+    return f"get({ends}, aggregate({steps}, struct(0 as lo, size({ends}) as hi), (a, i) -> {step}, a -> a.lo)).page"
 
 
 def _family(
@@ -105,8 +99,8 @@ def _family(
 ) -> str:
     """Findings of all rules of a family, in rule order, then match order.
 
-    Rules whose bit is not set are not run; ``bits`` None runs all. With ``ends`` matches
-    are attributed to the page they start on.
+    Rules whose bit is not set are not run; ``bits`` None runs all. With ``ends`` (the characters up
+    to the end of each page) matches are attributed to the page they start on.
     """
     if derivation is not None:
         prefix, taken_off, floor = derivation

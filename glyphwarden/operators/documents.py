@@ -58,12 +58,11 @@ def scan_pages(
     texts = _measured(sources.paged_texts(pages))
     if metadata is not None:
         texts = texts.join(metadata.select("doc_id", *rules.METADATA_FIELDS), "doc_id", "left")
-    texts = texts.withColumn("_ends", F.expr(detect.page_ends("pages")))
     after = [detect.page_anomalies(F.col("pages"), "_screen.other")]
     if metadata is not None:
         after.insert(0, detect.metadata(rules.METADATA_FIELDS))
-    found = detect.with_findings(texts, after_invisible=after, ends="_ends")
-    found = found.drop("text", "pages", "_ends", *rules.METADATA_FIELDS)
+    found = detect.with_findings(texts, after_invisible=after, ends="ends")
+    found = found.drop("text", "pages", "ends", *rules.METADATA_FIELDS)
     return _described(found, "pdf", F.col("total_pages"), True, threshold)
 
 
@@ -107,68 +106,79 @@ def scan_html(pages: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataF
 SUMMARY_COLUMNS = ["doc_id", "risk_score", "verdict", "threat_summary", "n_findings", "total_pages", "text_length"]
 
 
-def _summaries(scanned: DataFrame) -> DataFrame:
-    return scanned.withColumn("n_findings", F.size("findings")).select(*SUMMARY_COLUMNS)
-
-
-def _large_summaries(scan: large.LargeScan, totals: DataFrame, threshold: int) -> DataFrame:
-    """Results of block-wise scans for the documents of ``totals`` (doc_id, total_pages)."""
-    joined = totals.join(scan.documents, "doc_id", "left")
-    nothing = F.struct(*[F.lit(0).alias(s) for s in score.SEVERITIES])
-    return joined.select(
-        "doc_id", F.coalesce("risk_score", F.lit(0)).alias("risk_score"),
-        F.coalesce("verdict", score.verdict(F.lit(0), threshold)).alias("verdict"),
-        F.coalesce("threat_summary", nothing).alias("threat_summary"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-        F.col("total_pages").cast("int").alias("total_pages"),
-        F.coalesce("text_length", F.lit(0)).alias("text_length"),
+def _in_place(scanned: DataFrame) -> large.RowScan:
+    """Documents that have their findings in the row."""
+    rows = scanned.select(
+        *[c for c in SUMMARY_COLUMNS if c not in ("n_findings", "text_length")], F.size("findings").alias("n_findings"),
+        F.col("text_length").cast("long").alias("text_length"),
     )
+    return large.RowScan(rows, lambda: detect.finding_rows(scanned, ["doc_id"]))
 
 
-def _combined(small: DataFrame, big: DataFrame | None) -> DataFrame:
-    return small if big is None else small.withColumn("text_length", F.col("text_length").cast("bigint")).unionByName(big)
+def _both(small: large.RowScan, big: large.RowScan) -> large.RowScan:
+    documents = small.documents.unionByName(big.documents.select(*small.documents.columns))
+    return large.RowScan(documents, lambda: small.findings.unionByName(big.findings))
 
 
-def summarize_pages(
+def scan_page_rows(
     pages: DataFrame, metadata: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
-    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
-) -> DataFrame:
-    """Score, verdict and counts of paged documents, however many pages one has."""
-    small, big = large.split_by_rows(pages, limit)
-    results = _summaries(scan_pages(small, metadata, threshold))
-    if big is None:
-        return results
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+) -> large.RowScan:
+    """Paged documents (doc_id, page, text), however many pages one has: scored documents and finding rows."""
+    small, big = large.divided(pages, "text", block_bytes)
     found = None if metadata is None else metadata.select("doc_id", detect.metadata(rules.METADATA_FIELDS).alias("findings"))
-    scan = large.scan_rows(large.page_rows(big, slice_rows), paged=True, metadata=found, threshold=threshold)
-    totals = big.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
-    return _combined(results, _large_summaries(scan, totals, threshold))
+    scan = large.scan_rows(
+        large.page_rows(big, slice_rows), paged=True, metadata=found, threshold=threshold, block_bytes=block_bytes
+    )
+    documents = scan.documents.withColumn("total_pages", F.col("n_rows").cast("int"))
+    return _both(_in_place(scan_pages(small, metadata, threshold)), large.RowScan(documents, lambda: scan.findings))
 
 
-def summarize_parts(
+def scan_part_rows(
     parts: DataFrame, properties: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
-    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
-) -> DataFrame:
-    """Score, verdict and counts of paragraph documents, however many paragraphs one has."""
-    small, big = large.split_by_rows(parts, limit)
-    results = _summaries(scan_parts(small, properties, threshold))
-    if big is None:
-        return results
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+) -> large.RowScan:
+    """Paragraph documents (doc_id, kind, ordinal, text), however many paragraphs one has."""
+    small, big = large.divided(parts, "text", block_bytes)
     found = None if properties is None else properties.select(
         "doc_id", detect.properties(rules.PROPERTY_FIELDS).alias("findings")
     )
-    scan = large.scan_rows(large.part_rows(big, slice_rows), properties=found, threshold=threshold)
-    totals = big.groupBy("doc_id").agg(F.lit(0).alias("total_pages"))
-    return _combined(results, _large_summaries(scan, totals, threshold))
+    scan = large.scan_rows(large.part_rows(big, slice_rows), properties=found, threshold=threshold, block_bytes=block_bytes)
+    documents = scan.documents.withColumn("total_pages", F.lit(0))
+    return _both(_in_place(scan_parts(small, properties, threshold)), large.RowScan(documents, lambda: scan.findings))
 
 
-def summarize_cells(
+def scan_cell_rows(
     cells: DataFrame, threshold: int = rules.BLOCK_THRESHOLD,
-    limit: int = large.MAX_ROWS_IN_PLACE, slice_rows: int = large.SLICE_ROWS,
-) -> DataFrame:
-    """Score, verdict and counts of workbooks, however many cells one has."""
-    small, big = large.split_by_rows(cells, limit)
-    results = _summaries(scan_cells(small, threshold))
-    if big is None:
-        return results
-    scan = large.scan_rows(large.cell_rows(big, slice_rows), anomalies=False, formulas=True, threshold=threshold)
-    totals = big.groupBy("doc_id").agg(F.count_distinct("sheet").alias("total_pages"))
-    return _combined(results, _large_summaries(scan, totals, threshold))
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+) -> large.RowScan:
+    """Workbooks (doc_id, sheet, row, col, value[, sheet_no, cell_type]), however many cells one has."""
+    small, big = large.divided(cells, "value", block_bytes)
+    scan = large.scan_rows(
+        large.cell_rows(big, slice_rows), anomalies=False, formulas=True, threshold=threshold, block_bytes=block_bytes
+    )
+    # A workbook without any text counts too, and so do its sheets.
+    totals = big.groupBy("doc_id").agg(F.count_distinct("sheet").cast("int").alias("total_pages"))
+    nothing = F.struct(*[F.lit(0).alias(s) for s in score.SEVERITIES])
+    documents = totals.join(scan.documents, "doc_id", "left").select(
+        "doc_id", "total_pages", F.coalesce("risk_score", F.lit(0)).alias("risk_score"),
+        F.coalesce("verdict", score.verdict(F.lit(0), threshold)).alias("verdict"),
+        F.coalesce("threat_summary", nothing).alias("threat_summary"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        F.coalesce("text_length", F.lit(0)).alias("text_length"),
+    )
+    return _both(_in_place(scan_cells(small, threshold)), large.RowScan(documents, lambda: scan.findings))
+
+
+def summarize_pages(pages: DataFrame, metadata: DataFrame | None = None, **options) -> DataFrame:
+    """Score, verdict and counts of paged documents."""
+    return scan_page_rows(pages, metadata, **options).documents.select(*SUMMARY_COLUMNS)
+
+
+def summarize_parts(parts: DataFrame, properties: DataFrame | None = None, **options) -> DataFrame:
+    """Score, verdict and counts of paragraph documents."""
+    return scan_part_rows(parts, properties, **options).documents.select(*SUMMARY_COLUMNS)
+
+
+def summarize_cells(cells: DataFrame, **options) -> DataFrame:
+    """Score, verdict and counts of workbooks."""
+    return scan_cell_rows(cells, **options).documents.select(*SUMMARY_COLUMNS)

@@ -69,8 +69,9 @@ def src_paragraph_parts(spark, folder):
 
 _CELL_TEXTS_SQL = f"""
 SELECT doc_id, CAST(count(DISTINCT sheet) AS INTEGER) AS total_pages,
-  coalesce(string_agg(value, chr(10) ORDER BY sheet, row, col, value)
-           FILTER (coalesce(value, '') NOT IN ('', '0', 'False')), '') AS text
+  coalesce(string_agg(value, chr(10) ORDER BY sheet_no, sheet, row, col, value)
+           FILTER (coalesce(value, '') <> '' AND NOT (cell_type = 'n' AND TRY_CAST(value AS DOUBLE) = 0)
+             AND NOT (cell_type = 'b' AND value = 'False')), '') AS text
 FROM ({fx.CELLS_SQL}) GROUP BY doc_id"""
 
 
@@ -242,7 +243,7 @@ def detect_unicode(spark, folder):
 
 
 _FORMULA_SQL = (
-    f"SELECT doc_id, {sql.FIRST} AS fam, 0 AS sub, 0 AS rule, row_number() OVER (PARTITION BY doc_id ORDER BY sheet, row, col, value) "
+    f"SELECT doc_id, {sql.FIRST} AS fam, 0 AS sub, 0 AS rule, row_number() OVER (PARTITION BY doc_id ORDER BY sheet_no, sheet, row, col, value) "
     f"AS k, '{rules.CATEGORY_FORMULA}' AS category, {fx.sql_text(rules.DESCRIPTION_FORMULA)} AS description, 2 AS level, "
     f"left(value, 100) AS evidence, CAST(NULL AS INTEGER) AS page, {sql.double(rules.CONFIDENCE_FORMULA)} AS confidence "
     "FROM cells WHERE starts_with(value, '=') AND length(value) > 5"
@@ -269,7 +270,7 @@ FROM (SELECT doc_id, trim(regexp_extract(html,
 
 @query("detect_hidden_html", _only([_HIDDEN_SQL]))
 def detect_hidden_html(spark, folder):
-    texts = sources.html_texts(fx.html_pages(spark, folder))
+    texts = sources.suspicious_markup(fx.html_pages(spark, folder), "hides")
     return _rows(texts, detect.hidden_elements(F.col("hidden")))
 
 
@@ -283,7 +284,7 @@ SELECT doc_id, bodies[i] AS body, i AS sub FROM (
     [sql.injection_sql("scripts", "body", sql.FIRST, sub="sub * 2"), sql.exfil_sql("scripts", "body", sql.FIRST, sub="sub * 2 + 1")],
     extra={"scripts": _SCRIPTS_SQL}))
 def detect_script(spark, folder):
-    texts = sources.html_texts(fx.html_pages(spark, folder))
+    texts = sources.suspicious_markup(fx.html_pages(spark, folder), "scripts")
     return _rows(
         texts, detect.scripts("scripts", "script_injection", "script_exfil")
     )
@@ -300,9 +301,8 @@ GROUP BY doc_id"""
     [sql.injection_sql("src", page=sql.PAGE_OF_START), sql.exfil_sql("src", page=sql.PAGE_OF_START)], _PAGED_SRC_SQL))
 def locate_page(spark, folder):
     texts = detect.screened(sources.paged_texts(fx.pages(spark, folder)))
-    texts = texts.withColumn("_ends", F.expr(detect.page_ends("pages")))
     return _rows(texts, F.concat(
-        detect.injection("text", "_screen.injection", "_ends"), detect.exfiltration("text", "_screen.exfil", "_ends")
+        detect.injection("text", "_screen.injection", "ends"), detect.exfiltration("text", "_screen.exfil", "ends")
     ))
 
 
@@ -346,6 +346,34 @@ def scan_cells_doc(spark, folder):
     return _scored(scans.summarize_cells(fx.cells(spark, folder)), "total_pages", _long_length())
 
 
+@query("scan_pages_findings", sql.with_ctes(
+    {"page_rows": fx.PAGES_SQL, "meta": fx.DOCUMENT_METADATA_SQL,
+     **sql.scan_ctes(_PAGED_SRC_SQL, anomalies=False, paged=True, extra=[
+         _page_anomaly_sql(), f"SELECT m.* FROM ({_metadata_sql()}) m WHERE doc_id IN (SELECT doc_id FROM src)"])},
+    sql.finding_rows_sql()))
+def scan_pages_findings(spark, folder):
+    return _found(scans.scan_page_rows(fx.pages(spark, folder), fx.document_metadata(spark, folder)))
+
+
+@query("scan_parts_findings", sql.with_ctes(
+    {"props": fx.PROPERTIES_SQL,
+     **sql.scan_ctes(ORACLES["src_paragraph_parts"], anomalies=True, extra=[
+         f"SELECT p.* FROM ({_properties_sql('props')}) p WHERE doc_id IN (SELECT doc_id FROM src)"])},
+    sql.finding_rows_sql()))
+def scan_parts_findings(spark, folder):
+    return _found(scans.scan_part_rows(fx.parts(spark, folder), fx.properties(spark, folder)))
+
+
+@query("scan_cells_findings", sql.with_ctes(
+    {"cells": fx.CELLS_SQL, **sql.scan_ctes(_CELL_TEXTS_SQL, anomalies=False, extra=[_FORMULA_SQL])}, sql.finding_rows_sql()))
+def scan_cells_findings(spark, folder):
+    return _found(scans.scan_cell_rows(fx.cells(spark, folder)))
+
+
+def _found(scan) -> DataFrame:
+    return scan.findings.select("doc_id", "pos", "category", "description", "severity", "evidence", "page", "confidence")
+
+
 def _script_families() -> list[str]:
     return [
         sql.injection_sql("scripts", "body", sql.FIRST, sub="sub * 2"),
@@ -362,6 +390,13 @@ def scan_html_doc(spark, folder):
     return _scored(scans.scan_html(fx.html_pages(spark, folder)), "total_pages", "text_length")
 
 
+@query("scan_html_findings", sql.with_ctes(
+    {"scripts": _SCRIPTS_SQL,
+     **sql.scan_ctes(_html_text_sql(), anomalies=False, extra=[_HIDDEN_SQL, *_script_families()])}, sql.finding_rows_sql()))
+def scan_html_findings(spark, folder):
+    return _rows(scans.scan_html(fx.html_pages(spark, folder)))
+
+
 def _plain(spark, folder) -> DataFrame:
     return scans.scan_plain(fx.documents(spark, folder))
 

@@ -250,7 +250,10 @@ CELL_TEXTS = ["=SUM(A1:A9)", "=A+B", "=A+BC", "", "0", "False", "ignore previous
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as spreadsheets: one order is a workbook, the return flag its sheet."""
+    """Order lines as spreadsheets: one order is a workbook, the return flag its sheet (N, R, A in the workbook).
+
+    Keys are numbers, the status is text; planted zero and false values have their type on every other line.
+    """
     order = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     plant = pick(CELL_TEXTS, F.col("l_orderkey") % 9)
     columns = [
@@ -260,14 +263,19 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_spread(spark, folder, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("sheet"),
         (F.col("l_linenumber") * 1000003 + F.col("l_partkey")).alias("row"),
+        F.instr(F.lit("NRA"), F.col("l_returnflag")).alias("sheet_no"), (F.col("l_linenumber") % 2 == 0).alias("typed"),
         F.posexplode(F.array(*columns)).alias("col", "value"),
     )
-    return rows
+    value = F.col("value")
+    typed = F.when(F.col("typed") & (value == "0"), "n").when(F.col("typed") & (value == "False"), "b")
+    return rows.withColumn("cell_type", F.coalesce(typed, F.when(F.col("col") < 2, "n").otherwise("s"))).drop("typed")
 
 
 CELLS_SQL = f"""
 SELECT l_orderkey AS doc_id, l_returnflag AS sheet, l_linenumber * 1000003 + l_partkey AS row,
-  CAST(c AS INTEGER) AS col, v[c + 1] AS value
+  CAST(c AS INTEGER) AS col, v[c + 1] AS value, CAST(strpos('NRA', l_returnflag) AS INTEGER) AS sheet_no,
+  CASE WHEN l_linenumber % 2 = 0 AND v[c + 1] = '0' THEN 'n' WHEN l_linenumber % 2 = 0 AND v[c + 1] = 'False' THEN 'b'
+    WHEN c < 2 THEN 'n' ELSE 's' END AS cell_type
 FROM (SELECT *, unnest(range(0, 4)) AS c FROM (
   SELECT *, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_linestatus,
              CASE WHEN (l_orderkey * 7 + l_linenumber) % 5 = 0 THEN {sql_list(CELL_TEXTS)}[l_orderkey % 9 + 1] END] AS v

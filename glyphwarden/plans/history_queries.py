@@ -73,16 +73,26 @@ def history_filter(spark, folder):
     )
 
 
-@query("history_page", f"""
+_PAGE_SQL = f"""
 SELECT id, user_id, filename, created_at, CAST(position AS INTEGER) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position FROM {RECORDS})
-WHERE position BETWEEN 16 AND 30""")
+WHERE position BETWEEN 16 AND 30"""
+
+
+@query("history_page", _PAGE_SQL)
 def history_page(spark, folder):
     return history.page_of_all_users(_records(spark, folder), 2).select(
         "id", "user_id", "filename", "created_at", "position"
     )
 
 
+@query("history_deep_page", _PAGE_SQL)
+def history_deep_page(spark, folder):
+    return history.deep_page_of_all_users(_records(spark, folder), 2).select(
+        "id", "user_id", "filename", "created_at", "position"
+    )
+
+
 @query("history_envelope", f"""
 SELECT user_id, total, CAST(2 AS INTEGER) AS page, CAST(50 AS INTEGER) AS per_page, CAST(ceil(total / 50) AS INTEGER) AS pages,
   2 < ceil(total / 50) AS has_next, TRUE AS has_prev
@@ -110,9 +120,12 @@ def history_detail(spark, folder):
     return found.select(*_RECORD_COLUMNS, F.size("findings").alias("threat_count"))
 
 
-@query("erase_records", f"""
+_ERASED_SQL = f"""
 SELECT r.id, r.user_id, filename, created_at FROM {RECORDS} r
-LEFT JOIN ({_REQUESTS_SQL}) q ON r.id = q.id AND r.user_id = q.user_id WHERE q.id IS NULL""")
+LEFT JOIN ({_REQUESTS_SQL}) q ON r.id = q.id AND r.user_id = q.user_id WHERE q.id IS NULL"""
+
+
+@query("erase_records", _ERASED_SQL)
 def erase_records(spark, folder):
     return history.erased(_records(spark, folder), _requests(spark, folder)).select(
         "id", "user_id", "filename", "created_at"
@@ -329,18 +342,17 @@ _HELD_SQL = (
 
 def _held(spark, folder) -> DataFrame:
     """Badges from before: one known, one no longer in the catalogue."""
-    users = _users(spark, folder)
-    def badge(key: str, day: str, condition: str) -> DataFrame:
-        return users.filter(condition).select(
-            F.col("id").alias("user_id"), F.lit(key).alias("badge_key"), F.lit(day).cast("timestamp_ntz").alias("earned_at")
-        )
-    return badge("first_scan", "2023-12-31", "role <> 'analyst'").unionByName(badge("early_bird", "2023-12-30", "role = 'admin'"))
+    def badge(key: str, day: str, condition):
+        return F.when(condition, F.struct(F.lit(key).alias("badge_key"), F.lit(day).cast("timestamp_ntz").alias("earned_at")))
+
+    role = F.col("role")
+    held = F.array_compact(F.array(badge("first_scan", "2023-12-31", role != "analyst"), badge("early_bird", "2023-12-30", role == "admin")))
+    return _users(spark, folder).select(F.col("id").alias("user_id"), F.explode(held).alias("b")).select("user_id", "b.*")
 
 
 def _candidates(spark, folder, only=lambda df: df) -> DataFrame:
-    records = only(_records(spark, folder))
     api = badges.first_event(only(read_table(spark, folder, "events")), "signup")
-    return badges.scan_badges(records, MILESTONES).unionByName(badges.clean_slate(records)).unionByName(api)
+    return badges.all_scan_badges(only(_records(spark, folder)), MILESTONES).unionByName(api)
 
 
 _CANDIDATES_SQL = " UNION ALL ".join(
@@ -351,13 +363,12 @@ _NEW_SQL = f"SELECT c.* FROM ({_CANDIDATES_SQL}) c LEFT JOIN ({_HELD_SQL}) h USI
 
 @query("badge_award_once", _NEW_SQL)
 def badge_award_once(spark, folder):
-    return badges.newly_awarded(_candidates(spark, folder), _held(spark, folder))
+    return badges.merged_badges(_candidates(spark, folder), _held(spark, folder)).filter("fresh").drop("fresh")
 
 
 def _all_badges(spark, folder, only=lambda df: df) -> DataFrame:
     """Badges held before and new ones, of the users that ``only`` leaves in each table."""
-    held = only(_held(spark, folder))
-    return held.unionByName(badges.newly_awarded(_candidates(spark, folder, only), held))
+    return badges.merged_badges(_candidates(spark, folder, only), only(_held(spark, folder))).drop("fresh")
 
 
 _BADGES_SQL = f"{_HELD_SQL} UNION ALL {_NEW_SQL}"
@@ -391,9 +402,9 @@ SELECT CAST(row_number() OVER (ORDER BY scan_count DESC, user_id) AS INTEGER) AS
 FROM (SELECT u.id AS user_id, email, coalesce(scan_count, 0) AS scan_count, coalesce(threat_count, 0) AS threat_count
       FROM {USERS} u LEFT JOIN ({_COUNTERS_SQL}) c ON c.user_id = u.id ORDER BY scan_count DESC, u.id LIMIT 10) t""")
 def leaderboard(spark, folder):
-    top = badges.top_users(_records(spark, folder), _users(spark, folder))
-    ids = top.select("user_id")
-    return badges.leaderboard(top, _all_badges(spark, folder, lambda df: df.join(ids, "user_id", "left_semi")))
+    top = badges.stored_top(badges.top_users(_records(spark, folder), _users(spark, folder)))
+    ids = [row.user_id for row in top.collect()]
+    return badges.leaderboard(top, _all_badges(spark, folder, lambda df: df.filter(F.col("user_id").isin(ids))))
 
 
 @query("mask_email", f"SELECT id, {_mask_sql('email')} AS email_masked FROM {USERS}")
@@ -504,6 +515,62 @@ def scan_batch_count(spark, folder):
     )
 
 
+# One batch of all kinds: turns as PDF pages, documents as Word files and, eight of nine, as texts, orders as workbooks, web pages.
+_KINDS = [("scan_pages_doc", "scan_pages_findings", 0, "call", "pdf"), ("scan_parts_doc", "scan_parts_findings", 1, "note", "docx"),
+          ("scan_cells_doc", "scan_cells_findings", 2, "book", "XLSX"), ("scan_html_doc", "scan_html_findings", 3, "page", "html"),
+          ("scan_plain_doc", "findings_union", 4, "text", "md")]
+_LISTED = "(k <> 4 OR doc_id % 9 <> 0)"
+
+
+def _of_kinds(columns: str, which: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id * 5 + {kind[2]} AS doc_id, concat('{kind[3]}_', CAST(doc_id AS VARCHAR), '.{kind[4]}') AS filename, "
+        f"lower('{kind[4]}') AS stored_format, {columns} FROM (SELECT *, {kind[2]} AS k{', CAST(1 AS INTEGER) AS total_pages' * (kind[0] == 'scan_plain_doc' and which == 0)} "
+        f"FROM ({DETECTION_ORACLES[kind[which]]})) WHERE {_LISTED}"
+        for kind in _KINDS
+    )
+
+
+def _files(spark, folder):
+    tables = {
+        "pages": fx.pages(spark, folder), "parts": fx.parts(spark, folder), "cells": fx.cells(spark, folder),
+        "markup": fx.html_pages(spark, folder), "texts": fx.documents(spark, folder),
+    }
+    ids = [("conversations", "conv_id"), ("documents", "doc_id"), ("lineitem", "l_orderkey"), ("pages", "page_id"), ("documents", "doc_id")]
+    listing = None
+    for (table, id_), (_, _, k, stem, suffix) in zip(ids, _KINDS):
+        name = F.concat(F.lit(f"{stem}_"), F.col("id").cast("string"), F.lit("."), F.when((F.lit(k) == 4) & (F.col("id") % 9 == 0), "exe").otherwise(suffix))
+        own = read_table(spark, folder, table).select(F.col(id_).alias("id")).distinct().select((F.col("id") * 5 + k).alias("doc_id"), name.alias("filename"))
+        listing = own if listing is None else listing.unionByName(own)
+    numbered = {name: df.withColumn("doc_id", F.col("doc_id") * 5 + k) for k, (name, df) in enumerate(tables.items())}
+    return batch.scan_files(
+        listing, **numbered, metadata=fx.document_metadata(spark, folder).withColumn("doc_id", F.col("doc_id") * 5),
+        properties=fx.properties(spark, folder).withColumn("doc_id", F.col("doc_id") * 5 + 1),
+    )
+
+
+_REFUSED_SQL = f"""
+SELECT doc_id * 5 + 4 AS doc_id, concat('text_', CAST(doc_id AS VARCHAR), '.exe') AS filename, NULL AS stored_format, NULL AS verdict,
+  NULL AS risk_score, NULL AS n_findings, NULL AS total_pages, NULL AS text_length,
+  'Unsupported format ''.exe''. Allowed: {", ".join(sorted(row[0] for row in rules.FORMATS))}' AS error
+FROM documents WHERE doc_id % 9 = 0"""
+
+
+@query("scan_files", "SELECT * FROM (" + _of_kinds(
+    "verdict, risk_score, n_findings, total_pages, CAST(text_length AS BIGINT) AS text_length, CAST(NULL AS VARCHAR) AS error", 0
+) + f") UNION ALL {_REFUSED_SQL}")
+def scan_files(spark, folder):
+    return _files(spark, folder).documents.select(
+        "doc_id", "filename", "stored_format", "verdict", "risk_score", "n_findings", "total_pages", "text_length", "error"
+    )
+
+
+@query("scan_files_findings", f"SELECT doc_id, pos, category, description, severity, evidence, page, confidence FROM ("
+       + _of_kinds("pos, category, description, severity, evidence, page, confidence", 1) + ")")
+def scan_files_findings(spark, folder):
+    return _files(spark, folder).findings.select("doc_id", "pos", "category", "description", "severity", "evidence", "page", "confidence")
+
+
 @query("sink_scan_records", sql.with_ctes(
     {**_PLAIN_CTES, "stored": f"""
        SELECT r.*, CAST(doc_id % 97 AS BIGINT) AS user_id, DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) AS scan_date,
@@ -520,7 +587,8 @@ def sink_scan_records(spark, folder):
         "created_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("timestamp_ntz")
     ).withColumn("stored_format", F.lit("txt"))
     path = fresh_folder(spark, "scan-records")
-    sinks.append_records(sinks.stored_form(owned), path)
+    for _ in range(2):  # the same batch once more, as after a failure
+        sinks.append_records(sinks.stored_form(owned), path, "first")
     listing = F.array_join(F.transform("findings", lambda f: F.concat_ws("/", f["category"], f["severity"])), ";")
     return sinks.read_records(spark, path).select(
         "id", "user_id", "verdict", "risk_score", "text_length", "scan_date",
@@ -528,6 +596,16 @@ def sink_scan_records(spark, folder):
     )
 
 
+@query("sink_erase_records", _ERASED_SQL)
+def sink_erase_records(spark, folder):
+    records = _records(spark, folder)
+    path = fresh_folder(spark, "scan-records")
+    for half in range(2):
+        sinks.append_records(records.filter(F.col("id") % 2 == half), path, str(half))
+    sinks.erase_records(spark, path, _requests(spark, folder), "requests")
+    return spark.read.parquet(path).select("id", "user_id", "filename", "created_at")
+
+
 # ---------------------------------------------------------------- streams
 
 def _stream_of(spark, folder, table: str) -> DataFrame:
@@ -537,9 +615,7 @@ def _stream_of(spark, folder, table: str) -> DataFrame:
 @query("stream_scan", sql.with_ctes(_PLAIN_CTES, "SELECT * FROM results"))
 def stream_scan(spark, folder):
     read_table(spark, folder, "documents")
-    documents = _stream_of(spark, folder, "documents").repartition(
-        spark.sparkContext.defaultParallelism, "doc_id"
-    ).select("doc_id", fx.planted("text", "doc_id").alias("text"))
+    documents = _stream_of(spark, folder, "documents").select("doc_id", fx.planted("text", "doc_id").alias("text"))
     target, checkpoint = jobs._folders(spark, "stream-scan")
     jobs.scan_stream(documents, target, checkpoint)
     return _scored(spark.read.parquet(target))
@@ -555,20 +631,17 @@ def stream_user_counters(spark, folder):
 
 @query("stream_daily_trend", f"""
 SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (verdict = 'BLOCKED') AS blocked,
-  count(*) FILTER (verdict = 'ALLOWED') AS allowed FROM {RECORDS}
-WHERE CAST(CAST(created_at AS DATE) + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)
-GROUP BY user_id, CAST(created_at AS DATE)""")
+  count(*) FILTER (verdict = 'ALLOWED') AS allowed FROM {RECORDS} GROUP BY user_id, CAST(created_at AS DATE)""")
 def stream_daily_trend(spark, folder):
     read_table(spark, folder, "events")
     target, checkpoint = jobs._folders(spark, "stream-trend")
     jobs.daily_trend_stream(fx.history_of(_stream_of(spark, folder, "events")), target, checkpoint)
-    return spark.read.parquet(target).drop("batch")
+    return jobs.latest_trend(spark, target)
 
 
-@query("stream_badges", _SCAN_BADGES_SQL)
+@query("stream_badges", f"{_SCAN_BADGES_SQL} UNION ALL {_SLATE_SQL}")
 def stream_badges(spark, folder):
     read_table(spark, folder, "events")
     target, checkpoint = jobs._folders(spark, "stream-badges")
-    state = fresh_folder(spark, "stream-badges-state")
-    jobs.badge_stream(fx.history_of(_stream_of(spark, folder, "events")), target, state, checkpoint, MILESTONES)
+    jobs.badge_stream(fx.history_of(_stream_of(spark, folder, "events")), target, checkpoint, MILESTONES)
     return spark.read.parquet(target).drop("batch")

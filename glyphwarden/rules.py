@@ -223,6 +223,8 @@ INJECTION_JAVA = [java_pattern(pattern, dotall=True) for pattern, _, _ in INJECT
 EXFIL_JAVA = [java_pattern(pattern, dotall=False) for pattern, _, _ in EXFIL_RULES]
 INJECTION_SCREEN = [screen_pattern(pattern, _leet_lookalikes()) for pattern, _, _ in INJECTION_RULES]
 EXFIL_SCREEN = [screen_pattern(pattern, FOLDED) for pattern, _, _ in EXFIL_RULES]
+# Markup that may hide an element: the style as written, or with a character reference somewhere.
+HIDDEN_SCREEN = f"{screen_pattern(HIDDEN_STYLE, FOLDED)}|&"
 # A stretch of more than 500 characters without a line end or punctuation. It may only
 # start behind one of those, which keeps the search linear.
 PUNCTUATION = ".!?,;:"

@@ -25,82 +25,92 @@ def random_documents(seed, n, length):
 
 
 def ordered(scan):
-    order = Window.partitionBy("doc_id").orderBy("fam", "rule", F.asc_nulls_last("block"), "k")
-    rows = scan.findings.withColumn("n", F.row_number().over(order)).orderBy("doc_id", "n").collect()
     found = {}
-    for r in rows:
+    for r in scan.findings.orderBy("doc_id", "pos").collect():
         found.setdefault(r.doc_id, []).append((r.category, r.description, r.severity_level, r.evidence, r.page, r.confidence))
     return found, {r.doc_id: r for r in scan.documents.collect()}
 
 
-@pytest.mark.parametrize("slice_rows", [1, 3, 8])
-def test_pages_in_blocks(spark, slice_rows):
-    documents = random_documents(slice_rows, 120, 25)
+# From a cut behind every safe line, over some lines, to none at all.
+SIZES = [(1, 1), (3, 200), (1000, 600), (4, 1 << 30)]
+
+
+@pytest.mark.parametrize("slice_rows, block_bytes", SIZES)
+def test_pages_at_any_block_size(spark, slice_rows, block_bytes):
+    documents = random_documents(slice_rows + block_bytes % 97, 100, 25)
     rows = [(d, p, t) for d, texts in documents.items() for p, t in enumerate(texts, 1)]
     df = spark.createDataFrame(rows, "doc_id long, page int, text string")
-    found, results = ordered(large.scan_rows(large.page_rows(df, slice_rows), paged=True))
+    found, results = ordered(scans.scan_page_rows(df, slice_rows=slice_rows, block_bytes=block_bytes))
     for d, texts in documents.items():
         full = "".join(t + "\n" for t in texts)
         expected = row_model.scan(full, list(enumerate(texts, 1)))
         assert found.get(d, []) == expected, texts
-        assert (results[d].risk_score, results[d].text_length) == (row_model.score(expected), len(full))
-        assert results[d].n_findings == len(expected)
+        assert (results[d].risk_score, results[d].text_length, results[d].total_pages) == (row_model.score(expected), len(full), len(texts))
+        assert results[d].n_findings == len(expected) == sum(results[d].threat_summary)
 
 
-def test_parts_in_blocks(spark):
-    documents = random_documents(99, 80, 20)
-    rows = [(d, 0, i, t) for d, texts in documents.items() for i, t in enumerate(texts)]
+@pytest.mark.parametrize("slice_rows, block_bytes", [(4, 1), (1000, 300)])
+def test_parts_at_any_block_size(spark, slice_rows, block_bytes):
+    documents = random_documents(99 + slice_rows, 80, 20)
+    rows = [(d, i % 2, i // 2, t) for d, texts in documents.items() for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, kind int, ordinal int, text string")
-    found, results = ordered(large.scan_rows(large.part_rows(df, 4)))
+    found, results = ordered(scans.scan_part_rows(df, slice_rows=slice_rows, block_bytes=block_bytes))
     for d, texts in documents.items():
-        expected = row_model.scan("\n".join(texts))
+        full = "\n".join(texts[0::2] + texts[1::2])
+        expected = row_model.scan(full)
         assert found.get(d, []) == expected, texts
-        assert results[d].text_length == len("\n".join(texts))
+        assert results[d].text_length == len(full)
 
 
 def test_blocks_are_really_cut(spark):
     texts = [FILLER[0] if i % 5 == 0 else "short line %d" % i for i in range(400)]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts, 1)], "doc_id long, page int, text string")
-    blocks = large._cut(large.page_rows(df, 20)).groupBy("block").count().collect()
-    assert len(blocks) >= 15 and max(r["count"] for r in blocks) <= 60
+    for slice_rows in (20, 1000):
+        blocks = large._blocks(large.page_rows(df, slice_rows), 3000).select(
+            F.size("entries").alias("n"), F.expr("aggregate(entries, 0, (a, e) -> a + octet_length(e.text) + 1)").alias("bytes")).collect()
+        assert sum(b.n for b in blocks) == 400
+        assert len(blocks) >= 5 and max(b.bytes for b in blocks) <= 6500
+
+
+def test_no_action_while_planning(spark):
+    df = spark.createDataFrame([(1, 1, "a")], "doc_id long, page int, text string").withColumn("text", F.raise_error(F.lit("read")))
+    scan = scans.scan_page_rows(df)
+    assert {"risk_score", "verdict"} <= set(scan.documents.columns) and "pos" in scan.findings.columns
 
 
 def test_rows_with_many_cells(spark):
     values = [str(i) for i in range(3000)] + ["=SUM(A1)", "ignore previous", "instructions", "end"]
     df = spark.createDataFrame([(1, "s", i, 0, v) for i, v in enumerate(values)],
                                "doc_id long, sheet string, row int, col int, value string")
-    found, results = ordered(large.scan_rows(large.cell_rows(df, 100), anomalies=False, formulas=True))
+    found, results = ordered(scans.scan_cell_rows(df, slice_rows=100, block_bytes=500))
     kept = [v for v in values if v != "0"]
     expected = row_model.scan("\n".join(kept), with_anomalies=False)
     assert found[1] == [(rules.CATEGORY_FORMULA, rules.DESCRIPTION_FORMULA, 2, "=SUM(A1)", None, 0.7)] + expected
-    assert large._cut(large.cell_rows(df, 100)).select("block").distinct().count() > 20
+    assert large._blocks(large.cell_rows(df, 100), 500).count() > 20
 
 
-def test_split_by_rows(spark):
-    df = spark.createDataFrame([(1, i, "x") for i in range(10)] + [(2, 0, "y")], "doc_id long, page int, text string")
-    small, big = large.split_by_rows(df, 5)
-    assert {r.doc_id for r in small.collect()} == {2} and {r.doc_id for r in big.collect()} == {1}
-    assert large.split_by_rows(df, 50)[1] is None
+def _sorted(df):
+    return sorted(map(repr, df.collect()))
 
 
 def test_null_and_repeated_positions(spark):
-    """Rows without a page, and several texts of one page, are read in the same order either way."""
+    """Rows without a page or a document, and several texts of one page, are read in the same order at any size."""
     payload = ["system", "override now", "pretend", "you are", None, ""]
     rng = random.Random(5)
-    rows = [(d, rng.choice([None, 1, 1, 2, 3]), rng.choice(payload + FILLER[:2])) for d in range(40) for _ in range(rng.randint(1, 9))]
+    rows = [(d or None, rng.choice([None, 1, 1, 2, 3]), rng.choice(payload + FILLER[:2])) for d in range(40) for _ in range(rng.randint(1, 9))]
     pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
     parts = spark.createDataFrame([(d, None if p == 3 else 0, p, t) for d, p, t in rows], "doc_id long, kind int, ordinal int, text string")
     cells = spark.createDataFrame([(d, None if p == 3 else "s", p, p, t) for d, p, t in rows], "doc_id long, sheet string, row int, col int, value string")
     for scan, df in ((scans.summarize_pages, pages), (scans.summarize_parts, parts), (scans.summarize_cells, cells)):
-        whole, blocks = (
-            sorted(map(repr, scan(df, limit=limit, slice_rows=2).withColumn("text_length", F.col("text_length").cast("bigint")).collect()))
-            for limit in (10**9, 1)
-        )
-        assert whole == blocks
+        whole = scan(df)
+        assert whole.filter("doc_id is null").count() == 1
+        assert _sorted(whole) == _sorted(scan(df, slice_rows=2, block_bytes=1))
+    assert _sorted(scans.scan_pages(pages).select("doc_id", "risk_score", "verdict", "threat_summary", F.col("text_length").cast("long"))) == _sorted(
+        scans.summarize_pages(pages).select("doc_id", "risk_score", "verdict", "threat_summary", "text_length"))
 
 
 def test_one_document_with_most_rows(spark, folder):
-    """A third of all rows and more in one document: both ways of scanning agree."""
+    """A third of all rows and more in one document: the size of blocks changes nothing."""
     def skewed(df):
         return df.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 0).otherwise(F.col("doc_id")))
 
@@ -110,9 +120,8 @@ def test_one_document_with_most_rows(spark, folder):
     ordinals = Window.partitionBy("doc_id", "kind").orderBy("ordinal", "text")
     parts = skewed(fx.parts(spark, folder)).withColumn("ordinal", F.row_number().over(ordinals))
     cells = skewed(fx.cells(spark, folder))
-
-    def rows(df):
-        return sorted(map(repr, df.withColumn("text_length", F.col("text_length").cast("bigint")).collect()))
-
-    for scan, args in ((scans.summarize_pages, (pages, meta)), (scans.summarize_parts, (parts, props)), (scans.summarize_cells, (cells,))):
-        assert rows(scan(*args, limit=30, slice_rows=20)) == rows(scan(*args, limit=10**9))
+    for scan, args in ((scans.scan_page_rows, (pages, meta)), (scans.scan_part_rows, (parts, props)), (scans.scan_cell_rows, (cells,))):
+        small, whole = scan(*args, slice_rows=20, block_bytes=2000), scan(*args, slice_rows=1 << 30, block_bytes=1 << 40)
+        assert _sorted(small.documents) == _sorted(whole.documents)
+        assert _sorted(small.findings) == _sorted(whole.findings)
+        assert whole.findings.groupBy("doc_id").agg(F.max("pos").alias("n")).count() > 10
