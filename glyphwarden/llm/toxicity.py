@@ -182,18 +182,20 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], positive, [False])).astype(np.int8)))
     begins, ends = edge[::2], edge[1::2]
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    found: list[list[float]] = []  # left sum, right sum, begin, end
+    # Candidates, each with the place of the nearest one before it whose left sum is smaller: the search follows these links.
+    found: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, begin, end, link
     for begin, end, left, right in zip(begins.tolist(), ends.tolist(), sums[begins].tolist(), sums[ends].tolist()):
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
                 break
-            left, begin = found[j][0], found[j][2]
+            left, _, begin, _, link = found[j]
             del found[j:]
-        found.append([left, right, begin, end])
-    return [(right - left, int(begin), int(end)) for left, right, begin, end in found]
+            j = link
+        found.append((left, right, begin, end, j))
+    return [(right - left, int(begin), int(end)) for left, right, begin, end, _ in found]
 
 
 class Scan:
