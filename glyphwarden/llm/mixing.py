@@ -6,7 +6,7 @@ document is taken once for each integer that its step crosses. As the copies exp
 the same for all documents of a source, the prefix sum is that number times the rank.
 
 Order within a source: by size class (a power of two and its quarter), then by a seeded
-hash. Neighbours have like sizes, so the words taken stay near the target even when some
+hash of id and text. Neighbours have like sizes, so the words taken stay near the target even when some
 texts are very long. Ranks are counts of (class, hash prefix) buckets plus a rank inside one
 bucket: a hot source is never gathered.
 
@@ -64,11 +64,15 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple = WEIGHTS)
     )
 
 
+def shuffle_key(seed: str) -> Column:
+    """The seeded hash that orders a size class: of id and text, so that rows without id or of one id spread."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit(""))))
+
+
 def mixed(rows: DataFrame, seed: str) -> DataFrame:
-    """Add source_size, target and copies to stored rows that have doc_id, size, ``_source``, ``_tie``."""
+    """Add source_size, target and copies to stored rows that have size, ``_source``, ``_shuffle``, ``_tie``."""
     sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    keyed = rows.withColumn("_shuffle", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))))
-    keyed = keyed.withColumn("_bucket", F.concat(size_class(F.col("size")), F.substring("_shuffle", 1, _BUCKET_DIGITS)))
+    keyed = rows.withColumn("_bucket", F.concat(size_class(F.col("size")), F.substring("_shuffle", 1, _BUCKET_DIGITS)))
     placed = ranked(keyed, "_source", "_bucket", ["_shuffle", "size", "_tie"], "_rank", "_of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = _hash_fraction(F.lit(seed), F.lit("offset"), F.col("_source"))
@@ -84,7 +88,7 @@ def mix_rows(documents: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row."""
     rows = store(
         documents.select(
-            "doc_id", word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("_source"),
+            "doc_id", word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("_source"), shuffle_key(seed).alias("_shuffle"),
         ).withColumn("_tie", F.lit(0)),
         "mix-rows",
     )
@@ -98,7 +102,7 @@ def mix_documents(documents: DataFrame, seed: str = "mix") -> DataFrame:
     rows = store(
         documents.select(
             F.struct(*documents.columns).alias("_row"), "doc_id", word_count(F.col("text")).alias("size"),
-            source_key(F.col("source")).alias("_source"), F.xxhash64("text").alias("_tie"),
+            source_key(F.col("source")).alias("_source"), shuffle_key(seed).alias("_shuffle"), F.xxhash64("text").alias("_tie"),
         ),
         "mix-documents",
     )

@@ -84,7 +84,7 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    coalesce('=' || source, '~') AS src, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    coalesce('=' || source, '~') AS src, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS h FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 w AS (SELECT *, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (

@@ -1,6 +1,6 @@
 """Sharding: proportional stratified interleaving, with DataFrame operations only.
 
-Rows are shuffled within their source by a seeded hash and ranked; the fractional rank
+Rows are shuffled within their source by a seeded hash of id and text and ranked; the fractional rank
 (rank - 1/2) / (rows of the source) spreads every source evenly over (0, 1). Sorting all
 rows by it and cutting the order into equal pieces gives shards that each hold every
 source in proportion (to within one row) and whose counts differ by one at most.
@@ -31,6 +31,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
 
 
+def shuffle_key(seed: str) -> Column:
+    """The seeded hash that rows are shuffled by: of id and text, so that rows without id or of one id spread."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
+
+
 def interleaved(rows: DataFrame, shards: int) -> DataFrame:
     """Add shard and slot to stored rows (used up here) that have ``_source``, ``_shuffle`` (hash) and ``_tie`` (struct)."""
     by_source = ranked(
@@ -59,7 +64,7 @@ def shard_rows(documents: DataFrame, shards: int = 40, seed: str = "shards") ->
         documents.select(
             "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
             source_key(F.col("source")).alias("_source"),
-            F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("_shuffle"),
+            shuffle_key(seed).alias("_shuffle"),
         ).withColumn("_tie", F.struct("size", "text_crc32")),
         "shard-rows",
     )
@@ -72,7 +77,7 @@ def shard_documents(documents: DataFrame, shards: int = 40, seed: str = "shards"
     rows = store(
         documents.select(
             F.struct(*kept).alias("_row"), source_key(F.col("source")).alias("_source"),
-            F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("_shuffle"),
+            shuffle_key(seed).alias("_shuffle"),
             F.struct(F.xxhash64("text")).alias("_tie"),
         ),
         "shard-documents",
