@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glyphwarden.session import fresh_folder
 
@@ -23,13 +24,32 @@ def document_key(column: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """Tells rows of one doc_id apart (repeated ids with other texts)."""
-    return F.hash(text)
+    """Tells rows of one doc_id apart (repeated ids with other texts; very many texts may share a null id)."""
+    return F.xxhash64(text)
 
 
-def wide_text_key(text: Column) -> Column:
-    """The same in 64 bits, where very many texts share an id (null)."""
-    return F.xxhash64(text)
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded_steps():
+    """The folders of all steps that are stored within the block, for ``discard_steps`` once their reader is done."""
+    folders: list[str] = []
+    _recorded.append(folders)
+    try:
+        yield folders
+    finally:
+        _recorded.remove(folders)
+
+
+def discard_steps(spark: SparkSession, folders: list[str]) -> None:
+    while folders:
+        delete_folder(spark, folders.pop())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +60,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = fresh_folder(spark, name)
+    for folders in _recorded:
+        folders.append(path)
     df.write.parquet(path)
     del df
     gc.collect()
@@ -49,10 +71,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored step that nothing reads any more."""
-    spark = df.sparkSession
     for place in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, place)
 
 
 def ranked(rows: DataFrame, group: str, bucket: str, order: list, rank: str, total: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from glyphwarden.llm.common import store
+from glyphwarden.llm.common import discard, store
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     now = store(directed, "links")
     signature = None
     while True:
-        now = store(_small_star(_large_star(now)), "stars")
+        before, now = now, store(_small_star(_large_star(now)), "stars")
+        discard(before)
         # Stable when a round changes nothing: same count and same hash of the set of links.
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         if tuple(found) == signature or found["n"] == 0:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from glyphwarden.llm.common import store, wide_text_key
+from glyphwarden.llm.common import store, text_key
 from glyphwarden.llm.hashing import Rolling, Texts, mix, slices
 from glyphwarden.llm.quality import is_word, token_spans
 
@@ -193,7 +193,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     table = np.zeros(2 << SLOT_BITS, bool)
     table[slots] = True
     model = spark.sparkContext.broadcast((table.reshape(2, -1), sizes))
-    text = documents.select("doc_id", wide_text_key(F.col("text")).alias("tkey"), "text")
+    text = documents.select("doc_id", text_key(F.col("text")).alias("tkey"), "text")
     windows = store(text.mapInArrow(Windows(model), Windows.SCHEMA), "item-windows")
 
     def block(i: int):
@@ -223,12 +223,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text no item contaminates, with the columns they came with; other texts of the same id stay.
-
-    A row without text (null) has only its id to go by: it goes with a contaminated text of that id.
-    """
-    gone = F.explode(F.array(F.col("tkey"), wide_text_key(F.lit(None).cast("string"))))
-    found = matches(documents, benchmark).select(F.col("doc_id").alias("_found"), gone.alias("_ftkey")).distinct()
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"), wide_text_key(F.col("text")).alias("_tkey"))
+    """The rows whose text no item contaminates, with the columns they came with; other texts of the same id stay."""
+    found = matches(documents, benchmark).select(F.col("doc_id").alias("_found"), F.col("tkey").alias("_ftkey")).distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_tkey"))
     same = F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_tkey") == F.col("_ftkey"))
     return rows.join(found, same, "left_anti").select("_row.*")

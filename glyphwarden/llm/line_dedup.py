@@ -30,7 +30,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphwarden.llm.common import discard, store
+from glyphwarden.llm.common import delete_folder, discard, store
 from glyphwarden.session import fresh_folder
 
 LEAST_CHARS = 20
@@ -163,15 +163,10 @@ def repeated_lines(
         runs.add(stored.filter(F.col("batch") == number).drop("batch"))
     settled = runs.settled()
     runs.drop()
-    discard_folder(spark, path)
+    delete_folder(spark, path)
     return settled
 
 
-def discard_folder(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def without_lines(text: Column, gone: Column) -> Column:
     """The lines that stay, joined; ``gone`` has the sorted numbers (from 0) of those that go.
 

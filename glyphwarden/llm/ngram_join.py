@@ -6,7 +6,8 @@ n - ceil(t n) + 1 shingles (their prefix). Documents with one set are one *class
 one size and one prefix are one *group*. Only groups are posted under their prefix
 shingles, group pairs are filtered by size and position, and what passes is expanded to its
 members, filtered by 512-bit parity maps (a lower bound of the symmetric difference) and
-verified on the whole sets.
+verified on the whole sets. The maps are a metric, so that two groups can be told apart by those of
+their leaders and the widest difference within each.
 
 Large groups of near copies are not paired off. First each class meets the leader of its
 group, and each group the first group of the same size under the same shingle; of these pairs,
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphwarden.llm.common import MAX_LONG, discard, document_key, store, wide_text_key
+from glyphwarden.llm.common import MAX_LONG, discard, document_key, store, text_key
 from glyphwarden.llm.components import components
 from glyphwarden.llm.hashing import Rolling, Texts, Words, lower_ascii, mix, slices
 
@@ -177,7 +178,7 @@ class GroupedPrefixJoin:
     def __init__(self, documents: DataFrame, k: int, percent: int):
         spark = documents.sparkSession
         self.percent = percent
-        self.text = documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), wide_text_key(F.col("text")).alias("tkey"), "text")
+        self.text = documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("tkey"), "text")
         ranks = bucket_ranks(documents.select("text").mapInArrow(ShingleCounts(k), "bucket int, n long"))
         self.ranks = spark.sparkContext.broadcast(ranks)
         self.k = k
@@ -211,9 +212,8 @@ class GroupedPrefixJoin:
         def side(name: str, prefix: str) -> DataFrame:
             return self.classes.select(F.col("cls").alias(name), *[F.col(c).alias(prefix + c) for c in ("n", *_MAP_COLUMNS)])
 
-        differ = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _MAP_COLUMNS), F.lit(0))
         return (
-            pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("differ", differ)
+            pairs.distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("differ", _differ("a", "b"))
             .filter(self.enough(F.floor((F.col("an") + F.col("bn") - F.col("differ")) / 2), F.col("an"), F.col("bn")))
             .select("u", "v", "an", "bn", "differ")
         )
@@ -236,9 +236,18 @@ class GroupedPrefixJoin:
         overlap = F.size(F.array_intersect("a", "b"))
         found = near.join(left, "u").join(right, "v").filter(self.enough(overlap, F.col("an"), F.col("bn"))).select("u", "v")
         found = store(found, "verified")
-        discard(sets)
+        for used_up in (near, places, sets):
+            discard(used_up)
         return found
 
+    def linked(self, stars: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components with the links found now; what went into them is deleted."""
+        joined = components(found if stars is None else _as_links(stars).unionByName(found))
+        discard(found)
+        if stars is not None:
+            discard(stars)
+        return joined
+
     def near_leaders(self, postings: DataFrame) -> DataFrame:
         """A number of class pairs linear in the postings, which join most of each component."""
         heads = postings.groupBy("token", "n").agg(F.min(F.struct("grp", "pos")).alias("head")).select("token", "n", "head.grp", "head.pos")
@@ -256,45 +265,72 @@ class GroupedPrefixJoin:
         within = self.classes.select("grp", F.col("cls").alias("u")).join(lead, "grp").filter("u <> lead").select("u", F.col("lead").alias("v"))
         return across.unionByName(within)
 
-    def still_apart(self, postings: DataFrame, stars: DataFrame) -> DataFrame:
-        """Class pairs that the filters leave and that are in different components so far."""
+    def still_apart(self, postings: DataFrame, stars: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Class pairs that the filters leave and that are in different components so far; and the steps they are read from.
+
+        Groups are compared before their members are: the parity maps of two members differ by at least
+        what those of their groups' leaders do, less the largest difference within either group.
+        """
         rooted = self.classes.drop("rep").join(stars.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "root", F.coalesce("root", "cls")
         )
         rooted = store(rooted, "rooted")
-        spread = rooted.groupBy("grp").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), (F.count("*") == 1).alias("single"), *[F.first(c).alias(c) for c in _MAP_COLUMNS]
+        lead = rooted.join(self.leaders.select(F.col("lead").alias("cls")), "cls", "left_semi").select(
+            "grp", *[F.col(c).alias(f"l{c}") for c in _MAP_COLUMNS]
+        )
+        from_lead = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in _MAP_COLUMNS), F.lit(0))
+        spread = rooted.join(lead, "grp").groupBy("grp").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max(from_lead).alias("radius"),
+            *[F.first(f"l{c}").alias(c) for c in _MAP_COLUMNS],
         )
         placed = postings.join(spread, "grp")
         mixed = placed.groupBy("token").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high").select("token")
         open_ = store(placed.join(mixed, "token"), "open")
         a, b = open_.alias("a"), open_.alias("b")
         apart = ~((F.col("a.low") == F.col("b.high")) & (F.col("b.low") == F.col("a.high")) & (F.col("a.low") == F.col("a.high")))
-        # A group of one class has that class's parity map: most pairs go before they are made.
-        differ = sum((F.bit_count(F.col("a." + c).bitwiseXOR(F.col("b." + c))) for c in _MAP_COLUMNS), F.lit(0))
-        alike = ~F.col("a.single") | ~F.col("b.single") | self.enough(F.floor((F.col("a.n") + F.col("b.n") - differ) / 2), F.col("a.n"), F.col("b.n"))
+        least = F.greatest(_differ("a.", "b.") - F.col("a.radius") - F.col("b.radius"), F.lit(0))
+        alike = self.enough(F.floor((F.col("a.n") + F.col("b.n") - least) / 2), F.col("a.n"), F.col("b.n"))
         same_token = (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp"))
         groups = a.join(b, same_token & apart & self.possible("a", "b") & alike).select(
-            F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"), differ.alias("differ")
+            F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
         ).distinct()
-        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(0).alias("differ"))
-        left = rooted.select(F.col("grp").alias("ga"), F.col("cls").alias("u"), F.col("root").alias("ru"), F.col("n").alias("an"))
-        right = rooted.select(F.col("grp").alias("gb"), F.col("cls").alias("v"), F.col("root").alias("rv"), F.col("n").alias("bn"))
-        pairs = groups.unionByName(within).join(left, "ga").join(right, ["gb"]).filter("ru <> rv")
+        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+        sides = [
+            rooted.select(F.col("grp").alias(f"g{x}"), F.col("cls").alias(c), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"),
+                          *[F.col(m).alias(f"{x}{m}") for m in _MAP_COLUMNS])
+            for x, c in (("a", "u"), ("b", "v"))
+        ]
+        differ = _differ("a", "b")
+        alike = self.enough(F.floor((F.col("na") + F.col("nb") - differ) / 2), F.col("na"), F.col("nb"))
+        pairs = groups.unionByName(within).join(sides[0], "ga").join(sides[1], "gb").filter((F.col("ra") != F.col("rb")) & alike)
         low = F.col("u") < F.col("v")
         return pairs.select(
-            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(low, F.col("an")).otherwise(F.col("bn")).alias("an"),
-            F.when(low, F.col("bn")).otherwise(F.col("an")).alias("bn"), "differ",
-        ).distinct()
+            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("an"),
+            F.when(low, F.col("nb")).otherwise(F.col("na")).alias("bn"), differ.alias("differ"),
+        ).distinct(), [rooted, open_]
+
+    def apart_and_linked(self, postings: DataFrame, stars: DataFrame, nearest: bool) -> DataFrame:
+        """The components after a look at what is still apart."""
+        pairs, steps = self.still_apart(postings, stars)
+        found = self.verified(pairs, nearest)
+        for step in steps:
+            discard(step)
+        return self.linked(stars, found)
 
     def roots(self) -> DataFrame:
         """(node, root) of classes that are linked to a lesser one."""
         postings = self.postings()
-        stars = components(self.verified(self.mapped(self.near_leaders(postings)), nearest=True))
+        stars = self.linked(None, self.verified(self.mapped(self.near_leaders(postings)), nearest=True))
         for _ in range(NEAREST_ROUNDS):
-            found = self.verified(self.still_apart(postings, stars), nearest=True)
-            stars = components(_as_links(stars).unionByName(found))
-        return components(_as_links(stars).unionByName(self.verified(self.still_apart(postings, stars))))
+            stars = self.apart_and_linked(postings, stars, nearest=True)
+        stars = self.apart_and_linked(postings, stars, nearest=False)
+        discard(postings)
+        return stars
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two parity maps differ: no more than the sets do."""
+    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _MAP_COLUMNS), F.lit(0))
 
 
 def _as_links(stars: DataFrame) -> DataFrame:
@@ -314,10 +350,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     told apart by their text; extra columns are ignored; an empty table gives an empty result.
     """
     join = GroupedPrefixJoin(documents, k, percent)
-    rooted = join.described.filter("n > 0").join(join.roots().withColumnRenamed("node", "cls"), "cls", "left").select(
+    stars = join.roots()
+    rooted = join.described.filter("n > 0").join(stars.withColumnRenamed("node", "cls"), "cls", "left").select(
         "doc_id", "doc", "tkey", "n", F.coalesce("root", "cls").alias("root")
     )
     rooted = store(rooted, "components")
+    for used_up in (stars, join.classes):
+        discard(used_up)
     first = rooted.groupBy("root").agg(F.min("doc").alias("first"))
     linked = rooted.join(first, "root").select("doc_id", "doc", "tkey", "n", "first", "root")
     alone = join.described.filter("n = 0").select("doc_id", "doc", "tkey", "n", F.col("doc").alias("first"), F.lit(None).cast("binary").alias("root"))
@@ -336,7 +375,7 @@ def keep_first(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked = found.filter("n_shingles > 0")
     first = linked.groupBy("root").agg(F.min(F.struct("doc", "tkey")).alias("kept")).select("kept.doc", "kept.tkey")
     rows = documents.select(
-        F.struct(*documents.columns).alias("_row"), document_key(F.col("doc_id")).alias("_doc"), wide_text_key(F.col("text")).alias("_tkey")
+        F.struct(*documents.columns).alias("_row"), document_key(F.col("doc_id")).alias("_doc"), text_key(F.col("text")).alias("_tkey")
     )
     chosen = rows.join(first.distinct(), (F.col("_doc") == F.col("doc")) & (F.col("_tkey") == F.col("tkey")), "left_semi")
     blank = found.filter("n_shingles = 0").select("doc", "tkey").distinct()

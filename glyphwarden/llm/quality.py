@@ -144,7 +144,7 @@ def base_counts(part: pa.RecordBatch) -> dict[str, np.ndarray]:
 class Score:
     """Base counts and both readings of the score: as a raw document, and as one of the target."""
 
-    SCHEMA = "doc_id long, tkey int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, outside double, inside double"
+    SCHEMA = "doc_id long, tkey long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, outside double, inside double"
 
     def __init__(self, model):
         self.model = model

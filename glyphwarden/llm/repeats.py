@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from glyphwarden.llm.common import discard, document_key, store, text_key
 from glyphwarden.llm.hashing import Rolling, Texts, Words, minimiser_spans, slices
 
-_SPANS = "doc long, tkey int, start int, n int, anchor long, content long"
-_WINDOWS = "doc long, tkey int, start int, anchor long, contents array<long>"
+_SPANS = "doc long, tkey long, start int, n int, anchor long, content long"
+_WINDOWS = "doc long, tkey long, start int, anchor long, contents array<long>"
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,14 @@ class Windows:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(document_key(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("tkey"), "text")
+    """doc_id, doc, tkey and text of every row.
+
+    ``tkey`` tells rows of one id (or without id) apart. Where no id is repeated, the id alone does, and
+    the windows need not carry a hash.
+    """
+    repeated = documents.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    key = text_key(F.col("text")) if repeated else F.lit(0).cast("long")
+    return documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), key.alias("tkey"), "text")
 
 
 def _judged(found: DataFrame, by: Windows, name: str) -> DataFrame:
@@ -120,9 +127,8 @@ def _judged(found: DataFrame, by: Windows, name: str) -> DataFrame:
     return marked.filter("doc > first OR holders = 1").unionByName(ordered).drop("first", "holders")
 
 
-def repeated_windows(documents: DataFrame, by: Windows) -> DataFrame:
-    """The runs of repeated windows (doc, tkey, start, n)."""
-    text = keyed(documents)
+def repeated_windows(text: DataFrame, by: Windows) -> DataFrame:
+    """The runs of repeated windows (doc, tkey, start, n) of keyed texts."""
     recurring = store(
         text.mapInArrow(by.spans, _SPANS).groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors"
     )
@@ -214,10 +220,10 @@ class Removal:
 
 def without_repeats(documents: DataFrame, by: Windows, with_text: bool) -> DataFrame:
     """Each document's size, removed symbols, removed runs and a digest (or the bytes) of what is kept."""
+    rows = keyed(documents)
     lists = store(
-        repeated_windows(documents, by).groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("spans")),
+        repeated_windows(rows, by).groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("spans")),
         "removed",
     )
     removal = Removal(by, with_text)
-    rows = documents.select("doc_id", document_key(F.col("doc_id")).alias("doc"), text_key(F.col("text")).alias("tkey"), "text")
     return rows.join(lists, ["doc", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(removal.apply, removal.schema())

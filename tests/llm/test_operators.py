@@ -266,7 +266,7 @@ def test_decontamination(spark, rows, documents):
         k = min(5, len(w))
         return Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
 
-    expected = {}
+    expected, hit = {}, Counter()
     for i, text, *_ in rows:
         w = token.findall((text or "").lower())
         for n, item in items:
@@ -276,13 +276,15 @@ def test_decontamination(spark, rows, documents):
                 similarity = (a & b).total() / (a | b).total()
                 if similarity >= 0.8:
                     expected[i, n] = max(expected.get((i, n), 0), similarity)
+                    hit[i, text, n] = 1
     found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(documents, benchmark).collect()}
     # The search guarantees fingerprints within the radius; exact passages always are.
     assert {p for p, s in expected.items() if s == 1} <= set(found) <= set(expected)
     assert len(found) >= 0.95 * len(expected) and all(abs(s - expected[p]) < 1e-9 for p, s in found.items())
     clean = decontamination.keep_clean(documents, benchmark)
     assert clean.columns == documents.columns
-    assert clean.count() == sum(i not in {d for d, _ in found} for i, *_ in rows)
+    # Only the texts themselves go: rows of the same id with another text, or none, stay.
+    assert clean.count() == sum(not any((i, t, n) in hit and (i, n) in found for n, _ in items) for i, t, *_ in rows)
 
 
 def test_documents_shorter_than_the_item(spark):
