@@ -341,7 +341,7 @@ def scored(documents: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     spark = documents.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     training = store(
-        documents.select("doc_id", "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic"), "toxic-training"
+        documents.filter(train).select("doc_id", "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic"), "toxic-training"
     )
     model = learn(training)
     if model is None:
