@@ -265,36 +265,46 @@ class GroupedPrefixJoin:
         within = self.classes.select("grp", F.col("cls").alias("u")).join(lead, "grp").filter("u <> lead").select("u", F.col("lead").alias("v"))
         return across.unionByName(within)
 
-    def still_apart(self, postings: DataFrame, stars: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """Class pairs that the filters leave and that are in different components so far; and the steps they are read from.
+    def rooted(self, stars: DataFrame) -> DataFrame:
+        """The classes with their component so far; a stored step."""
+        known = self.classes.drop("rep").join(stars.withColumnRenamed("node", "cls"), "cls", "left")
+        return store(known.withColumn("root", F.coalesce("root", "cls")), "rooted")
+
+    def apart_groups(self, postings: DataFrame, rooted: DataFrame) -> DataFrame:
+        """Group pairs (ga, gb) that the filters leave and that are not in one component as a whole; a stored step.
 
         Groups are compared before their members are: the parity maps of two members differ by at least
-        what those of their groups' leaders do, less the largest difference within either group.
+        what those of their groups' leaders do, less the largest difference within either group. Maps are
+        folded to half their length here, which only makes the bound weaker.
         """
-        rooted = self.classes.drop("rep").join(stars.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-            "root", F.coalesce("root", "cls")
-        )
-        rooted = store(rooted, "rooted")
-        lead = rooted.join(self.leaders.select(F.col("lead").alias("cls")), "cls", "left_semi").select(
-            "grp", *[F.col(c).alias(f"l{c}") for c in _MAP_COLUMNS]
+        half = _MAPS // 2
+        folded = [F.col(_MAP_COLUMNS[i]).bitwiseXOR(F.col(_MAP_COLUMNS[i + half])).alias(f"f{i}") for i in range(half)]
+        narrow = rooted.select("grp", "cls", F.xxhash64("root").alias("root"), *folded)
+        lead = narrow.join(self.leaders.select(F.col("lead").alias("cls")), "cls", "left_semi").select(
+            "grp", *[F.col(f"f{i}").alias(f"l{i}") for i in range(half)]
         )
-        from_lead = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{c}"))) for c in _MAP_COLUMNS), F.lit(0))
-        spread = rooted.join(lead, "grp").groupBy("grp").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.max(from_lead).alias("radius"),
-            *[F.first(f"l{c}").alias(c) for c in _MAP_COLUMNS],
+
+        def differ(a: str, b: str) -> Column:
+            return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(half)), F.lit(0))
+
+        spread = narrow.join(lead, "grp").groupBy("grp").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max(differ("f", "l")).alias("radius"),
+            *[F.first(f"l{i}").alias(f"l{i}") for i in range(half)],
         )
         placed = postings.join(spread, "grp")
-        mixed = placed.groupBy("token").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high").select("token")
-        open_ = store(placed.join(mixed, "token"), "open")
-        a, b = open_.alias("a"), open_.alias("b")
+        a, b = placed.alias("a"), placed.alias("b")
         apart = ~((F.col("a.low") == F.col("b.high")) & (F.col("b.low") == F.col("a.high")) & (F.col("a.low") == F.col("a.high")))
-        least = F.greatest(_differ("a.", "b.") - F.col("a.radius") - F.col("b.radius"), F.lit(0))
+        least = F.greatest(differ("a.l", "b.l") - F.col("a.radius") - F.col("b.radius"), F.lit(0))
         alike = self.enough(F.floor((F.col("a.n") + F.col("b.n") - least) / 2), F.col("a.n"), F.col("b.n"))
         same_token = (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp"))
-        groups = a.join(b, same_token & apart & self.possible("a", "b") & alike).select(
+        across = a.join(b, same_token & apart & self.possible("a", "b") & alike).select(
             F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
         ).distinct()
         within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+        return store(across.unionByName(within), "apart-groups")
+
+    def still_apart(self, groups: DataFrame, rooted: DataFrame) -> DataFrame:
+        """Class pairs of these groups that their parity maps leave and that are in different components."""
         sides = [
             rooted.select(F.col("grp").alias(f"g{x}"), F.col("cls").alias(c), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"),
                           *[F.col(m).alias(f"{x}{m}") for m in _MAP_COLUMNS])
@@ -302,29 +312,28 @@ class GroupedPrefixJoin:
         ]
         differ = _differ("a", "b")
         alike = self.enough(F.floor((F.col("na") + F.col("nb") - differ) / 2), F.col("na"), F.col("nb"))
-        pairs = groups.unionByName(within).join(sides[0], "ga").join(sides[1], "gb").filter((F.col("ra") != F.col("rb")) & alike)
+        pairs = groups.join(sides[0], "ga").join(sides[1], "gb").filter((F.col("ra") != F.col("rb")) & alike)
         low = F.col("u") < F.col("v")
         return pairs.select(
             F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("an"),
             F.when(low, F.col("nb")).otherwise(F.col("na")).alias("bn"), differ.alias("differ"),
-        ).distinct(), [rooted, open_]
-
-    def apart_and_linked(self, postings: DataFrame, stars: DataFrame, nearest: bool) -> DataFrame:
-        """The components after a look at what is still apart."""
-        pairs, steps = self.still_apart(postings, stars)
-        found = self.verified(pairs, nearest)
-        for step in steps:
-            discard(step)
-        return self.linked(stars, found)
+        ).distinct()
 
     def roots(self) -> DataFrame:
         """(node, root) of classes that are linked to a lesser one."""
         postings = self.postings()
         stars = self.linked(None, self.verified(self.mapped(self.near_leaders(postings)), nearest=True))
-        for _ in range(NEAREST_ROUNDS):
-            stars = self.apart_and_linked(postings, stars, nearest=True)
-        stars = self.apart_and_linked(postings, stars, nearest=False)
+        rooted = self.rooted(stars)
+        # What is in one component now stays in one: the group pairs are found once, later rounds look at fewer of them.
+        groups = self.apart_groups(postings, rooted)
         discard(postings)
+        for round_ in range(NEAREST_ROUNDS + 1):
+            if round_:
+                rooted = self.rooted(stars)
+            found = self.verified(self.still_apart(groups, rooted), nearest=round_ < NEAREST_ROUNDS)
+            discard(rooted)
+            stars = self.linked(stars, found)
+        discard(groups)
         return stars
 
 
