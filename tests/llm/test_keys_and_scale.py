@@ -156,5 +156,12 @@ def test_pipeline_against_brute_force(spark, folder):
     assert Counter(r.doc_id for r in sharded) == mixed and {r.text for r in sharded} <= set(texts.values())
     counts = Counter(r.shard for r in sharded)
     assert max(counts.values()) - min(counts[s] for s in range(40)) <= 1
-    final = corpus_pipeline.run(spark, folder)
-    assert Counter((r.doc_id, r.shard, r.slot) for r in final.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in sharded)
+
+
+def test_run_writes_and_rereads_the_stages(spark, folder, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    copies = {r.doc_id: r.copies for r in mixing.mix_rows(documents).collect()}
+    final = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in final) == Counter({i: c for i, c in copies.items() if c})
+    assert corpus_pipeline._used_up == []
