@@ -142,6 +142,47 @@ class WholeSets(Describe):
                 yield pa.RecordBatch.from_arrays([part.column("cls"), tokens], names=["cls", "tokens"])
 
 
+class WideMaps(Describe):
+    """Parity maps of two to four bits per shingle, for documents that stand for a class."""
+
+    MAPS = "cls binary, wide binary"
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                row, token = self.ordered(part)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=part.num_rows))))
+                places = mix(token ^ np.uint64(0x3C79AC492BA7B653))
+                maps = []
+                for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    width = max(64, 1 << (2 * (end - begin)).bit_length())
+                    odd = np.bincount((places[begin:end] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(maps, pa.binary())], names=["cls", "wide"])
+
+
+class AlikeMaps:
+    """Passes on the pairs whose wide maps allow the similarity; the longer map of two is folded."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def differ(self, a: bytes, b: bytes) -> int:
+        x, y = (np.frombuffer(m, np.uint8) for m in (a, b))
+        while len(x) != len(y):
+            longer, shorter = (x, y) if len(x) > len(y) else (y, x)
+            x, y = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :], shorter
+        return int(np.unpackbits(x ^ y).sum())
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            d = np.array([self.differ(x, y) for x, y in zip(a, b)], np.int64)
+            size = batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
+            kept = (size - d) // 2 * (100 + self.percent) >= size * self.percent
+            yield batch.select(["u", "v", "an", "bn"]).filter(pa.array(kept))
+
+
 class Likely:
     """Passes on the rows whose (doc, tkey) may be listed, by a bitmap of 2**23 bits.
 
@@ -227,10 +268,10 @@ class GroupedPrefixJoin:
         if nearest:
             near = near.groupBy("u").agg(F.min(F.struct("differ", "v", "an", "bn")).alias("p")).select("u", "p.v", "p.an", "p.bn")
         near = store(near.select("u", "v", "an", "bn"), "near")
-        asked = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
-        places = store(self.classes.join(asked, "cls", "left_semi").select("cls", "rep.doc", "rep.tkey"), "asked")
-        likely = self.text.mapInArrow(Likely(places), "doc long, tkey long, text string")
-        sets = store(likely.join(places, ["doc", "tkey"]).mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
+        if not nearest:
+            near = self.tightened(near)
+        places, texts = self.texts_of(near)
+        sets = store(texts.mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
         left = sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a"))
         right = sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b"))
         overlap = F.size(F.array_intersect("a", "b"))
@@ -240,6 +281,25 @@ class GroupedPrefixJoin:
             discard(used_up)
         return found
 
+    def texts_of(self, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes in pairs (a stored step) and their texts."""
+        asked = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
+        places = store(self.classes.join(asked, "cls", "left_semi").select("cls", "rep.doc", "rep.tkey"), "asked")
+        likely = self.text.mapInArrow(Likely(places), "doc long, tkey long, text string")
+        return places, likely.join(places, ["doc", "tkey"])
+
+    def tightened(self, near: DataFrame) -> DataFrame:
+        """The stored pairs (used up here) that wider parity maps leave: 512 bits say little about very long texts."""
+        places, texts = self.texts_of(near)
+        wide = store(texts.mapInArrow(WideMaps(self.k, self.percent, self.ranks), WideMaps.MAPS), "wide-maps")
+        both = near.join(wide.select(F.col("cls").alias("u"), F.col("wide").alias("a")), "u").join(
+            wide.select(F.col("cls").alias("v"), F.col("wide").alias("b")), "v"
+        )
+        kept = store(both.select("u", "v", "an", "bn", "a", "b").mapInArrow(AlikeMaps(self.percent), "u binary, v binary, an int, bn int"), "near")
+        for used_up in (near, places, wide):
+            discard(used_up)
+        return kept
+
     def linked(self, stars: DataFrame | None, found: DataFrame) -> DataFrame:
         """Components with the links found now; what went into them is deleted."""
         joined = components(found if stars is None else _as_links(stars).unionByName(found))
