@@ -19,13 +19,24 @@ from glyphwarden.streaming import badge_state
 from glyphwarden.streaming.keyed_log import COMPACT_EVERY, KeyedLog
 
 
+def _holds_folders(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern meets folders of files, as tables of several files are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return any(status.isDirectory() for status in found or [])
+
+
 def read_stream(spark: SparkSession, folder: str, file_name: str, max_files: int | None = None) -> DataFrame:
-    """A directory of parquet files as a stream; the schema comes from the files already there."""
-    schema = spark.read.option("pathGlobFilter", file_name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    """The parquet files of a name in a folder as a stream; the schema comes from the files already there.
+
+    A name may stand for a single file or for a folder of part files.
+    """
+    path, named = (f"{folder}/{file_name}", {}) if _holds_folders(spark, f"{folder}/{file_name}") else (folder, {"pathGlobFilter": file_name})
+    schema = spark.read.options(**named).parquet(path).schema
+    reader = spark.readStream.schema(schema).options(**named)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def run_batches(stream: DataFrame, checkpoint: str, output_mode: str, write: Callable[[DataFrame, int], None]) -> None:

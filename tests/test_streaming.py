@@ -29,6 +29,21 @@ def _add_files(spark, path, rows, n):
         spark.createDataFrame(rows[i * size:(i + 1) * size], SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+@pytest.mark.parametrize("name", ["records.parquet", "*.parquet"])
+def test_a_table_of_several_files_is_streamed(spark, name):
+    rows = make_records(120, seed=3, hot_share=0.4)
+    folder = fresh_folder(spark, "tables")
+    for i in range(3):  # a folder named like a file, as Spark writes tables
+        spark.createDataFrame(rows[i * 40:(i + 1) * 40], SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/records.parquet")
+    target, checkpoint = fresh_folder(spark, "out"), fresh_folder(spark, "cp")
+    jobs.counter_stream(jobs.read_stream(spark, folder, name, max_files=1), target, checkpoint)
+    got = {r.user_id: r.scan_count for r in jobs.latest_counters(spark, target).collect()}
+    expected = {}
+    for row in rows:
+        expected[row[1]] = expected.get(row[1], 0) + 1
+    assert got == expected
+
+
 @pytest.mark.parametrize("seed, hot_share", [(5, 0.4), (8, 0.9)])
 def test_badges_over_micro_batches_and_a_restart(spark, seed, hot_share):
     rows = sorted(make_records(900, seed=seed, hot_share=hot_share), key=lambda r: (r[6], r[0]))
