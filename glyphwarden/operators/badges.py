@@ -276,21 +276,29 @@ def _definitions() -> Column:
 def badges_of_users(users: DataFrame, badges: DataFrame) -> DataFrame:
     """For every user the whole catalogue with an earned flag, plus earned badges outside it.
 
-    Catalogue entries and earned badges are put together and merged by one aggregation.
+    Users and earned badges meet as narrow rows, one aggregation per user; the catalogue is laid
+    out behind it, where it costs no memory. What is gathered per user is one entry per badge.
     """
-    catalogue = users.select(F.col("id").alias("user_id"), F.explode(_definitions()).alias("d")).select(
-        "user_id", "d.*", F.lit(None).cast("timestamp_ntz").alias("earned_at")
+    earned = badges.groupBy("user_id", "badge_key").agg(F.min("earned_at").cast("timestamp_ntz").alias("earned_at"))
+    listed = users.select(F.col("id").alias("user_id"), F.lit(True).alias("listed"), F.lit(None).alias("held"))
+    rows = listed.unionByName(earned.select("user_id", F.lit(False).alias("listed"), F.struct("badge_key", "earned_at").alias("held")))
+    # Dealt out before it is aggregated: hardly any two rows of one task are of one user.
+    of_user = rows.repartition("user_id").groupBy("user_id").agg(F.bool_or("listed").alias("listed"), F.collect_list("held").alias("held"))
+
+    def time_of(key: Column) -> Column:
+        return F.get(F.filter("held", lambda h: h["badge_key"] == key), F.lit(0))["earned_at"]
+
+    def entry(key: Column, name: Column, icon: Column, description: Column, earned_at: Column) -> Column:
+        return F.struct(key.alias("key"), name.alias("name"), icon.alias("icon"), description.alias("description"), earned_at.alias("earned_at"))
+
+    of_catalogue = F.filter(_definitions(), lambda d: F.col("listed") | F.exists("held", lambda h: F.coalesce(h["badge_key"] == d["key"], F.lit(False))))
+    others = F.filter("held", lambda h: ~F.coalesce(h["badge_key"].isin([k for k, *_ in rules.BADGES]), F.lit(False)))
+    entries = F.concat(
+        F.transform(of_catalogue, lambda d: entry(d["key"], d["name"], d["icon"], d["description"], time_of(d["key"]))),
+        F.transform(others, lambda h: entry(h["badge_key"], h["badge_key"], F.lit(rules.BADGE_FALLBACK_ICON), F.lit(""), h["earned_at"])),
     )
-    known = F.get(F.filter(_definitions(), lambda d: d["key"] == F.col("badge_key")), F.lit(0))
-    earned = badges.select("user_id", "badge_key", "earned_at", known.alias("d")).select(
-        "user_id", F.col("badge_key").alias("key"), F.coalesce("d.name", "badge_key").alias("name"),
-        F.coalesce("d.icon", F.lit(rules.BADGE_FALLBACK_ICON)).alias("icon"),
-        F.coalesce("d.description", F.lit("")).alias("description"), F.col("earned_at").cast("timestamp_ntz"),
-    )
-    merged = catalogue.unionByName(earned).groupBy("user_id", "key", "name", "icon", "description").agg(
-        F.min("earned_at").alias("earned_at")
-    )
-    return merged.withColumn("earned", F.col("earned_at").isNotNull())
+    laid_out = of_user.select("user_id", F.explode(entries).alias("d")).select("user_id", "d.*")
+    return laid_out.withColumn("earned", F.col("earned_at").isNotNull())
 
 
 def badge_catalog(badges: DataFrame) -> DataFrame:

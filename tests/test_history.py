@@ -240,3 +240,27 @@ def test_claimed_user_decides_alone(spark):
 def test_backslash_in_name_part(spark):
     records = spark.createDataFrame([("a\\b.txt",), ("ab.txt",)], "filename string")
     assert [r.filename for r in history.filtered(records, q="A\\B").collect()] == ["a\\b.txt"]
+
+
+def test_catalogue_is_laid_out_behind_the_aggregation(spark):
+    day = dt.datetime(2024, 1, 2)
+    users = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    held = spark.createDataFrame(
+        [(1, "first_scan", day), (1, "first_scan", day - dt.timedelta(days=1)), (1, "early_bird", day), (7, "veteran", day), (7, None, day), (2, "eagle_eye", None)],
+        "user_id long, badge_key string, earned_at timestamp_ntz",
+    )
+    found = badges.badges_of_users(users, held)
+    catalogue = {k: (n, i, d) for k, n, i, d in rules.BADGES}
+    expected = {(user, k): (*row, None) for user in (1, 2, None) for k, row in catalogue.items()}
+    expected[1, "first_scan"] = (*catalogue["first_scan"], day - dt.timedelta(days=1))
+    expected[1, "early_bird"] = ("early_bird", rules.BADGE_FALLBACK_ICON, "", day)
+    expected[7, "veteran"] = (*catalogue["veteran"], day)
+    expected[7, None] = (None, rules.BADGE_FALLBACK_ICON, "", day)
+    rows = found.collect()
+    assert len(rows) == len(expected)
+    assert {(r.user_id, r.key): (r.name, r.icon, r.description, r.earned_at) for r in rows} == expected
+    assert all(r.earned == (r.earned_at is not None) for r in rows)
+    # Tasks that read the users must not hold the catalogue of each of them.
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    places = {name: [i for i, line in enumerate(plan) if name in line] for name in ("Generate", "Aggregate", "Repartition")}
+    assert max(places["Generate"]) < min(places["Aggregate"]) < min(places["Repartition"])
