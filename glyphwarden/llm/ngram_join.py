@@ -25,6 +25,7 @@ Defined cases: see ``near_duplicates``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from glyphwarden.llm.hashing import Rolling, Texts, Words, lower_ascii, mix, sli
 BUCKET_BITS = 18
 #: Rounds in which each class still apart from a likely partner meets the nearest one, before all that is left is checked.
 NEAREST_ROUNDS = 2
+#: Shared tokens before a token by which pairs are known to have met already.
+_BEFORE = (1, 2)
 _MAPS = 8
 _MAP_COLUMNS = [f"m{i}" for i in range(_MAPS)]
 
@@ -243,10 +246,9 @@ class GroupedPrefixJoin:
         return store(posted.join(shared, "token"), "postings")
 
     def possible(self, a: str, b: str) -> Column:
-        """Size and position filter for two postings of one token."""
+        """Size and position filter for two postings of one token, the first that their sets have in common."""
         na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-        most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-        return self.enough(most, na, nb)
+        return self.enough(1 + F.least(na - pa_ - 1, nb - pb - 1), na, nb)
 
     def mapped(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of classes that their parity maps leave, with both sizes and the difference."""
@@ -267,9 +269,7 @@ class GroupedPrefixJoin:
         """
         if nearest:
             near = near.groupBy("u").agg(F.min(F.struct("differ", "v", "an", "bn")).alias("p")).select("u", "p.v", "p.an", "p.bn")
-        near = store(near.select("u", "v", "an", "bn"), "near")
-        if not nearest:
-            near = self.tightened(near)
+        near = self.tightened(store(near.select("u", "v", "an", "bn"), "near"))
         places, texts = self.texts_of(near)
         sets = store(texts.mapInArrow(WholeSets(self.k, self.percent, self.ranks), WholeSets.SETS), "whole-sets")
         left = sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a"))
@@ -309,8 +309,14 @@ class GroupedPrefixJoin:
         return joined
 
     def near_leaders(self, postings: DataFrame) -> DataFrame:
-        """A number of class pairs linear in the postings, which join most of each component."""
-        heads = postings.groupBy("token", "n").agg(F.min(F.struct("grp", "pos")).alias("head")).select("token", "n", "head.grp", "head.pos")
+        """A number of class pairs linear in the postings, which join most of each component.
+
+        Where many groups share a token, its head is drawn by a hash of both: a group of a large family meets another
+        one under each of its tokens, and of these the nearest counts.
+        """
+        drawn = F.min(F.struct(F.xxhash64("token", "grp").alias("draw"), "grp", "pos"))
+        head = F.when(F.count("*") > 2, F.struct(drawn["grp"].alias("grp"), drawn["pos"].alias("pos"))).otherwise(F.min(F.struct("grp", "pos")))
+        heads = postings.groupBy("token", "n").agg(head.alias("head")).select("token", "n", "head.grp", "head.pos")
         to_head = postings.alias("a").join(heads.alias("b"), ["token", "n"]).select(
             F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
         ).filter("ga <> gb")
@@ -344,24 +350,28 @@ class GroupedPrefixJoin:
             "grp", *[F.col(f"f{i}").alias(f"l{i}") for i in range(half)]
         )
 
-        def differ(a: str, b: str) -> Column:
-            return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(half)), F.lit(0))
-
         spread = narrow.join(lead, "grp").groupBy("grp").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.max(differ("f", "l")).alias("radius"),
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max(_folded_differ("f", "l")).alias("radius"),
             *[F.first(f"l{i}").alias(f"l{i}") for i in range(half)],
         )
-        placed = postings.join(spread, "grp")
+        across = self.meetings(postings, spread).distinct()
+        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+        return store(across.unionByName(within), "apart-groups")
+
+    def meetings(self, postings: DataFrame, spread: DataFrame) -> DataFrame:
+        """Group pairs (ga, gb) that the filters leave, few of them more than once."""
+        before = Window.partitionBy("grp").orderBy("pos")
+        placed = postings.select("*", *[F.lag("token", i).over(before).alias(f"before{i}") for i in _BEFORE]).join(spread, "grp")
         a, b = placed.alias("a"), placed.alias("b")
+        # A pair meets under its first common token; most of the others show by a common one just before.
+        met = [F.coalesce(F.col(f"a.before{i}") == F.col(f"b.before{j}"), F.lit(False)) for i in _BEFORE for j in _BEFORE]
         apart = ~((F.col("a.low") == F.col("b.high")) & (F.col("b.low") == F.col("a.high")) & (F.col("a.low") == F.col("a.high")))
-        least = F.greatest(differ("a.l", "b.l") - F.col("a.radius") - F.col("b.radius"), F.lit(0))
+        least = F.greatest(_folded_differ("a.l", "b.l") - F.col("a.radius") - F.col("b.radius"), F.lit(0))
         alike = self.enough(F.floor((F.col("a.n") + F.col("b.n") - least) / 2), F.col("a.n"), F.col("b.n"))
         same_token = (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp"))
-        across = a.join(b, same_token & apart & self.possible("a", "b") & alike).select(
+        return a.join(b, same_token & apart & ~reduce(Column.__or__, met) & self.possible("a", "b") & alike).select(
             F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
-        ).distinct()
-        within = spread.filter("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-        return store(across.unionByName(within), "apart-groups")
+        )
 
     def still_apart(self, groups: DataFrame, rooted: DataFrame) -> DataFrame:
         """Class pairs of these groups that their parity maps leave and that are in different components."""
@@ -402,6 +412,11 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _MAP_COLUMNS), F.lit(0))
 
 
+def _folded_differ(a: str, b: str) -> Column:
+    """The same of maps folded to half their length."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(_MAPS // 2)), F.lit(0))
+
+
 def _as_links(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
