@@ -211,9 +211,11 @@ class Likely:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls._slots(batch)).astype(np.int32))], names=["slot"])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(self.held.value).astype(bool)
+        held = self.held.value
         for batch in batches:
-            yield batch.select(["doc", "tkey", "text"]).filter(pa.array(held[self._slots(batch)]))
+            slots = self._slots(batch)
+            listed = (held[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+            yield batch.select(["doc", "tkey", "text"]).filter(pa.array(listed.astype(bool)))
 
 
 class GroupedPrefixJoin:
@@ -239,10 +241,19 @@ class GroupedPrefixJoin:
         return overlap * (100 + self.percent) >= (a + b) * self.percent
 
     def postings(self) -> DataFrame:
-        """(token, grp, n, pos) under tokens that more than one group has."""
+        """(token, grp, n, pos) under tokens that more than one group has; two groups must be able to meet there."""
         groups = self.described.filter("n > 0").groupBy("grp").agg(F.first(F.struct("n", "prefix")).alias("g"))
         posted = groups.select("grp", F.col("g.n").alias("n"), F.posexplode("g.prefix").alias("pos", "token"))
-        shared = posted.groupBy("token").count().filter("count > 1").select("token")
+        # Size and position in one number, so that the least and the greatest of a token are its two groups'.
+        packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+
+        def unpacked(place: str) -> Column:
+            return F.struct(F.shiftright(place, 32).alias("n"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")).alias(place)
+
+        ends = posted.groupBy("token").agg(F.count("*").alias("of"), F.min(packed).alias("a"), F.max(packed).alias("b"))
+        shared = ends.filter("of > 1").select("token", "of", unpacked("a"), unpacked("b")).filter(
+            (F.col("of") > 2) | self.possible("a", "b")
+        ).select("token")
         return store(posted.join(shared, "token"), "postings")
 
     def possible(self, a: str, b: str) -> Column:
@@ -316,7 +327,9 @@ class GroupedPrefixJoin:
         """
         drawn = F.min(F.struct(F.xxhash64("token", "grp").alias("draw"), "grp", "pos"))
         head = F.when(F.count("*") > 2, F.struct(drawn["grp"].alias("grp"), drawn["pos"].alias("pos"))).otherwise(F.min(F.struct("grp", "pos")))
-        heads = postings.groupBy("token", "n").agg(head.alias("head")).select("token", "n", "head.grp", "head.pos")
+        # Filtered as the join below does it, so that the heads are made once.
+        known = postings.filter("token IS NOT NULL AND n IS NOT NULL")
+        heads = known.groupBy("token", "n").agg(head.alias("head")).select("token", "n", "head.grp", "head.pos")
         to_head = postings.alias("a").join(heads.alias("b"), ["token", "n"]).select(
             F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")
         ).filter("ga <> gb")
