@@ -86,7 +86,7 @@ class Texts:
         return np.searchsorted(self.offsets, places, side="right") - 1
 
     def symbols(self, which: int = 0, data: np.ndarray | None = None) -> np.ndarray:
-        return _byte_values(which)[self.bytes if data is None else data]
+        return _byte_values(which).take(self.bytes if data is None else data)
 
 
 class Words:
@@ -146,19 +146,22 @@ def minimiser_spans(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int
     start + count - 1 share the leftmost least k-gram, at the anchor place. A window's
     minimiser depends on nothing outside the window.
     """
+    return anchored_spans(symbols, bounds, window, k)[:3]
+
+
+def anchored_spans(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int):
+    """``minimiser_spans`` and the hash of each span's k-gram (of base 1)."""
     n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none
+        return none, none, none, np.zeros(0, np.uint64)
     grams = Rolling(symbols, 1).windows(k)
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     least = (sliding_min(keys, window - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    valid = np.zeros(n + 1, np.int64)
     lengths = np.diff(bounds)
     long_enough = lengths >= window
-    np.add.at(valid, bounds[:-1][long_enough], 1)
-    np.add.at(valid, (bounds[1:] - window + 1)[long_enough], -1)
-    inside = np.cumsum(valid)[: len(least)] > 0
+    of_windows = np.maximum(lengths - window + 1, 0)
+    inside = np.repeat(np.tile([True, False], len(lengths)), np.stack((of_windows, lengths - of_windows), axis=1).ravel())[: len(least)]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
     starts_of_documents = bounds[:-1][long_enough]
@@ -167,4 +170,5 @@ def minimiser_spans(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int
     stops = inside.copy()
     stops[:-1] &= begins[1:] | ~inside[1:]
     ends = np.flatnonzero(stops) + 1
-    return starts, ends - starts, least[starts]
+    anchors = least[starts]
+    return starts, ends - starts, anchors, grams[anchors]

@@ -30,8 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from glyphwarden.llm.common import discard, document_key, store, text_key
-from glyphwarden.llm.hashing import Rolling, Texts, Words, minimiser_spans, slices
+from glyphwarden.llm.hashing import Rolling, Texts, Words, anchored_spans, slices
 
+#: Bytes of text that are hashed at a time: their arrays stay in the processor's cache.
+_SLICE = 1 << 17
 _SPANS = "doc long, tkey long, start int, n int, anchor long, content long"
 _WINDOWS = "doc long, tkey long, start int, anchor long, contents array<long>"
 
@@ -58,12 +60,19 @@ class Windows:
         """The spans whose anchors fall into a round."""
         return lambda batches: self.spans(batches, round_)
 
+    def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The anchor of each span alone."""
+        for batch in batches:
+            for part in slices(batch, limit=_SLICE):
+                keys = anchored_spans(*self.symbols(Texts(part.column("text"))), self.window, self.k)[3]
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["anchor"])
+
     def spans(self, batches: Iterator[pa.RecordBatch], round_: int | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=_SLICE):
                 symbols, bounds = self.symbols(Texts(part.column("text")))
-                starts, counts, anchors = minimiser_spans(symbols, bounds, self.window, self.k)
-                keys = Rolling(symbols, 1).spans(anchors, anchors + self.k) if len(starts) else np.zeros(0, np.uint64)
+                starts, counts, _, keys = anchored_spans(symbols, bounds, self.window, self.k)
                 if round_ is not None:
                     mine = keys % np.uint64(self.rounds) == round_
                     starts, counts, keys = starts[mine], counts[mine], keys[mine]
@@ -130,7 +139,7 @@ def _judged(found: DataFrame, by: Windows, name: str) -> DataFrame:
 def repeated_windows(text: DataFrame, by: Windows) -> DataFrame:
     """The runs of repeated windows (doc, tkey, start, n) of keyed texts."""
     recurring = store(
-        text.mapInArrow(by.spans, _SPANS).groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors"
+        text.select("text").mapInArrow(by.anchors, "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors"
     )
     judged = []
     for round_ in range(by.rounds):
