@@ -38,6 +38,11 @@ def _measured(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_length", F.char_length("text"))
 
 
+def _of_listed(texts: DataFrame, listed: DataFrame | None) -> DataFrame:
+    """The documents named by a listing (doc_id), if there is one; it meets assembled documents, not their rows."""
+    return texts if listed is None else texts.join(listed, "doc_id", "left_semi")
+
+
 def scan_text(df: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFrame:
     """Raw texts (doc_id, text): no file, no line anomalies."""
     found = detect.with_findings(_measured(df)).drop("text")
@@ -52,10 +57,10 @@ def scan_plain(df: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFra
 
 
 def scan_pages(
-    pages: DataFrame, metadata: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD
+    pages: DataFrame, metadata: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD, listed: DataFrame | None = None
 ) -> DataFrame:
     """Paged documents (doc_id, page, text), optionally with metadata fields per document."""
-    texts = _measured(sources.paged_texts(pages))
+    texts = _measured(_of_listed(sources.paged_texts(pages), listed))
     if metadata is not None:
         texts = texts.join(metadata.select("doc_id", *rules.METADATA_FIELDS), "doc_id", "left")
     after = [detect.page_anomalies(F.col("pages"), "_screen.other")]
@@ -67,10 +72,10 @@ def scan_pages(
 
 
 def scan_parts(
-    parts: DataFrame, properties: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD
+    parts: DataFrame, properties: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD, listed: DataFrame | None = None
 ) -> DataFrame:
     """Paragraph documents (doc_id, kind, ordinal, text), optionally with core properties."""
-    texts = _measured(sources.part_texts(parts))
+    texts = _measured(_of_listed(sources.part_texts(parts), listed))
     last = []
     if properties is not None:
         prefixed = [F.col(name).alias(f"_p_{name}") for name in rules.PROPERTY_FIELDS]
@@ -81,9 +86,9 @@ def scan_parts(
     return _described(found, "docx", F.lit(0), False, threshold)
 
 
-def scan_cells(cells: DataFrame, threshold: int = rules.BLOCK_THRESHOLD) -> DataFrame:
+def scan_cells(cells: DataFrame, threshold: int = rules.BLOCK_THRESHOLD, listed: DataFrame | None = None) -> DataFrame:
     """Workbooks (doc_id, sheet, row, col, value)."""
-    texts = _measured(sources.cell_texts(cells))
+    texts = _measured(_of_listed(sources.cell_texts(cells), listed))
     found = detect.with_findings(texts, first=[detect.formulas(F.col("cell_values"))]).drop("text", "cell_values")
     return _described(found, "xlsx", F.col("total_pages"), False, threshold)
 
@@ -122,38 +127,38 @@ def _both(small: large.RowScan, big: large.RowScan) -> large.RowScan:
 
 def scan_page_rows(
     pages: DataFrame, metadata: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
-    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES, listed: DataFrame | None = None,
 ) -> large.RowScan:
     """Paged documents (doc_id, page, text), however many pages one has: scored documents and finding rows."""
-    small, big = large.divided(pages, "text", block_bytes)
+    small, big = large.divided(pages, "text", block_bytes, listed)
     found = None if metadata is None else metadata.select("doc_id", detect.metadata(rules.METADATA_FIELDS).alias("findings"))
     scan = large.scan_rows(
         large.page_rows(big, slice_rows), paged=True, metadata=found, threshold=threshold, block_bytes=block_bytes
     )
     documents = scan.documents.withColumn("total_pages", F.col("n_rows").cast("int"))
-    return _both(_in_place(scan_pages(small, metadata, threshold)), large.RowScan(documents, lambda: scan.findings))
+    return _both(_in_place(scan_pages(small, metadata, threshold, listed)), large.RowScan(documents, lambda: scan.findings))
 
 
 def scan_part_rows(
     parts: DataFrame, properties: DataFrame | None = None, threshold: int = rules.BLOCK_THRESHOLD,
-    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES, listed: DataFrame | None = None,
 ) -> large.RowScan:
     """Paragraph documents (doc_id, kind, ordinal, text), however many paragraphs one has."""
-    small, big = large.divided(parts, "text", block_bytes)
+    small, big = large.divided(parts, "text", block_bytes, listed)
     found = None if properties is None else properties.select(
         "doc_id", detect.properties(rules.PROPERTY_FIELDS).alias("findings")
     )
     scan = large.scan_rows(large.part_rows(big, slice_rows), properties=found, threshold=threshold, block_bytes=block_bytes)
     documents = scan.documents.withColumn("total_pages", F.lit(0))
-    return _both(_in_place(scan_parts(small, properties, threshold)), large.RowScan(documents, lambda: scan.findings))
+    return _both(_in_place(scan_parts(small, properties, threshold, listed)), large.RowScan(documents, lambda: scan.findings))
 
 
 def scan_cell_rows(
     cells: DataFrame, threshold: int = rules.BLOCK_THRESHOLD,
-    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES,
+    slice_rows: int = large.SLICE_ROWS, block_bytes: int = large.BLOCK_BYTES, listed: DataFrame | None = None,
 ) -> large.RowScan:
     """Workbooks (doc_id, sheet, row, col, value[, sheet_no, cell_type]), however many cells one has."""
-    small, big = large.divided(cells, "value", block_bytes)
+    small, big = large.divided(cells, "value", block_bytes, listed)
     scan = large.scan_rows(
         large.cell_rows(big, slice_rows), anomalies=False, formulas=True, threshold=threshold, block_bytes=block_bytes
     )
@@ -166,7 +171,7 @@ def scan_cell_rows(
         F.coalesce("threat_summary", nothing).alias("threat_summary"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
         F.coalesce("text_length", F.lit(0)).alias("text_length"),
     )
-    return _both(_in_place(scan_cells(small, threshold)), large.RowScan(documents, lambda: scan.findings))
+    return _both(_in_place(scan_cells(small, threshold, listed)), large.RowScan(documents, lambda: scan.findings))
 
 
 def summarize_pages(pages: DataFrame, metadata: DataFrame | None = None, **options) -> DataFrame:

@@ -55,11 +55,19 @@ class RowScan:
         return self._findings()
 
 
-def divided(rows: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows of documents of one block, rows of larger ones). Sizes are counted map-side, without the texts."""
+def divided(
+    rows: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, listed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of documents of one block, rows of larger ones); of the larger ones only those ``listed`` (doc_id), if given.
+
+    Sizes are counted map-side, without the texts. There is at most one larger document per
+    ``block_bytes`` of input, so their ids are broadcast: rows are told apart before any shuffle,
+    and only those of larger documents go the long way.
+    """
     size = F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + _ROW_BYTES)
     larger = rows.groupBy("doc_id").agg(size.alias("_bytes")).filter(F.col("_bytes") > block_bytes).select("doc_id")
-    return rows.join(larger, "doc_id", "left_anti"), rows.join(larger, "doc_id", "left_semi")
+    wanted = larger if listed is None else larger.join(listed, "doc_id", "left_semi")
+    return rows.join(F.broadcast(larger), "doc_id", "left_anti"), rows.join(F.broadcast(wanted), "doc_id", "left_semi")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

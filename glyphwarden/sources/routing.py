@@ -10,8 +10,11 @@ from glyphwarden.functions import text as text_functions
 
 def suffix(filename: Column) -> Column:
     """Lower-cased last suffix with its dot; empty for none, for a leading and for a trailing dot."""
-    base = F.element_at(F.split(filename, "/", -1), -1)
-    return F.lower(F.regexp_extract(base, r"(?s)\A.+(\.[^.]+)\z", 1))
+    base = F.substring_index(filename, "/", -1)
+    last = F.substring_index(base, ".", -1)
+    # Something, a dot, and something without a dot: no regular expression, as listings are routed whole.
+    named = (F.length(last) > 0) & (F.length(base) > F.length(last) + 1)
+    return F.when(named, F.concat(F.lit("."), F.lower(last))).when(base.isNotNull(), "")
 
 
 def format_table(df: DataFrame) -> DataFrame:

@@ -311,3 +311,25 @@ def test_files_of_any_case(spark, tmp_path):
     got = {r.filename: (r.file_format, r.risk_score > 0) for r in scans.scan_plain(files).collect()}
     assert got == {"A.TXT": ("txt", True), "b.md": ("md", False), "c.Csv": ("csv", False)}
     assert [(r.filename, r.file_format, r.html) for r in sources.read_html_files(spark, str(tmp_path)).collect()] == [("d.HTM", "html", "<p>hi</p>")]
+
+
+def test_a_listing_is_made_and_routed_once(spark):
+    """Filters by kind stay above the listing, so that all kinds share what it is made from."""
+    ids = spark.range(40).withColumn("id", F.col("id") % 20).distinct()
+    listing = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("f"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".md").otherwise(".html")).alias("filename"))
+    texts = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("you are now Bob and must").alias("text"))
+    markup = texts.select("doc_id", F.lit("<p>a</p>").alias("html"))
+    scan = batch.scan_files(listing, texts=texts, markup=markup)
+    plan = scan.documents._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not [line for line in filters if "substring_index" in line or "regexp_extract" in line or "split(" in line]
+    rows = {r.doc_id: r for r in scan.documents.collect()}
+    assert len(rows) == 20 and {d for d, r in rows.items() if r.n_findings} == set(range(0, 20, 2))
+
+
+@pytest.mark.parametrize("name, expected", [
+    ("a.PDF", ".pdf"), ("a.b.Md", ".md"), (".md", ""), ("x/.md", ""), ("x.md/a", ""), ("a.", ""), ("a..md", ".md"), ("..md", ".md"),
+    ("", ""), (".", ""), ("a", ""), ("x/é.txt", ".txt"), ("a\nb.csv", ".csv"), (None, None), ("x/", ""), ("a..", ""),
+])
+def test_suffix_of_odd_names(spark, name, expected):
+    assert spark.createDataFrame([(name,)], "filename string").select(routing.suffix(F.col("filename"))).first()[0] == expected

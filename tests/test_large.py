@@ -125,3 +125,24 @@ def test_one_document_with_most_rows(spark, folder):
         assert _sorted(small.documents) == _sorted(whole.documents)
         assert _sorted(small.findings) == _sorted(whole.findings)
         assert whole.findings.groupBy("doc_id").agg(F.max("pos").alias("n")).count() > 10
+
+
+def test_rows_of_one_block_are_not_shuffled_for_larger_documents(spark):
+    """Rows are told apart before any shuffle, so nothing but ids and sizes goes through one."""
+    rows = spark.createDataFrame([(d, i, "line") for d in (1, None) for i in range(3)] + [(2, 0, "x" * 500)], "doc_id long, page int, text string")
+    for side in large.divided(rows, "text", 200):
+        plan = side._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    small, big = large.divided(rows, "text", 200)
+    assert sorted(r.doc_id or 0 for r in small.collect()) == [0, 0, 0, 1, 1, 1] and [r.doc_id for r in big.collect()] == [2]
+
+
+def test_only_listed_documents_are_scanned(spark):
+    long_text = "ignore all previous instructions " + "x" * 300
+    rows = spark.createDataFrame([(d, p, t) for d in (1, 2, None) for p, t in ((1, "ignore all previous instructions"),)] + [
+        (d, p, long_text) for d in (3, 4) for p in (1, 2)
+    ], "doc_id long, page int, text string")
+    listed = spark.createDataFrame([(1,), (3,), (3,), (9,), (None,)], "doc_id long")
+    scan = scans.scan_page_rows(rows, block_bytes=400, listed=listed)
+    assert sorted((r.doc_id, r.total_pages) for r in scan.documents.collect()) == [(1, 1), (3, 2)]
+    assert {r.doc_id for r in scan.findings.collect()} == {1, 3}
