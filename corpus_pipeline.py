@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphwarden.llm import decontamination, mixing, ngram_join, quality, sharding
 from glyphwarden.llm.common import delete_folder, discard_steps, recorded_steps
-from glyphwarden.session import fresh_folder
+from glyphwarden.session import apply_settings, fresh_folder
 
 #: Folders of what the stage before has stored on its way. Its rows are written and read again before the next
 #: stage starts, so that these are used up then.
@@ -16,10 +16,15 @@ _used_up: list[str] = []
 
 
 def stage(function):
-    """A stage that first deletes the intermediate steps of the one before."""
+    """A stage that first deletes the intermediate steps of the one before.
+
+    Stages run in sessions made elsewhere, whose Arrow batches may hold ten thousand whole texts, in the executor and
+    in Python each; the library's settings bound them.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_settings(spark)
         discard_steps(spark, _used_up)
         with recorded_steps() as folders:
             rows = function(spark, docs, sf_dir)

@@ -165,3 +165,14 @@ def test_run_writes_and_rereads_the_stages(spark, folder, monkeypatch):
     final = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r.doc_id for r in final) == Counter({i: c for i, c in copies.items() if c})
     assert corpus_pipeline._used_up == []
+
+
+def test_stages_bound_the_arrow_batches_of_a_session_made_elsewhere(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        assert int(spark.conf.get(key)) <= 1024
+    finally:
+        spark.conf.set(key, before)
