@@ -11,7 +11,9 @@ their leaders and the widest difference within each.
 
 Large groups of near copies are not paired off. First each class meets the leader of its
 group, and each group the first group of the same size under the same shingle; of these pairs,
-linear in the postings, the one whose parity maps differ least is checked for each class. In
+linear in the postings, the one whose parity maps differ least is checked for each class. Where many groups
+share a shingle, those of other components then meet one group of the largest, drawn anew in each round, until
+few such pairs are left: a large family is in one component before its groups are compared. In
 ``NEAREST_ROUNDS`` more rounds each class meets the nearest one in another component. After that only pairs from different
 components so far are left to be checked, so no link between components is lost and no
 pairs are made within one.
@@ -24,6 +26,7 @@ Defined cases: see ``near_duplicates``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +41,10 @@ from glyphwarden.llm.hashing import Rolling, Texts, Words, lower_ascii, mix, sli
 BUCKET_BITS = 18
 #: Rounds in which each class still apart from a likely partner meets the nearest one, before all that is left is checked.
 NEAREST_ROUNDS = 2
+#: A shingle of more groups is crowded; under the others a group has so few to meet that all of them are linear in the postings.
+CROWD = 16
+#: Rounds, at most, in which groups meet one of another component under their crowded shingles; what they leave is still checked.
+STRANGER_ROUNDS = 8
 #: Shared tokens before a token by which pairs are known to have met already.
 _BEFORE = (1, 2)
 _MAPS = 8
@@ -344,6 +351,55 @@ class GroupedPrefixJoin:
         within = self.classes.select("grp", F.col("cls").alias("u")).join(lead, "grp").filter("u <> lead").select("u", F.col("lead").alias("v"))
         return across.unionByName(within)
 
+    def crowded(self, postings: DataFrame) -> DataFrame:
+        """The postings of tokens that very many groups have; a stored step."""
+        tokens = postings.groupBy("token").agg(F.count("*").alias("of")).filter(F.col("of") > CROWD).select("token")
+        return store(postings.join(tokens, "token").select("token", "grp", "n"), "crowded")
+
+    def placed(self, crowded: DataFrame, rooted: DataFrame, round_: int) -> DataFrame:
+        """(token, size, grp, u, home) of crowded postings: a step of size, the group's leader and its component; a stored step.
+
+        The sizes are cut elsewhere in every other round.
+        """
+        homes = rooted.groupBy("grp").agg(F.min(F.struct("cls", F.xxhash64("root").alias("home"))).alias("lead"))
+        width = math.log(100 / min(self.percent, 99))
+        size = F.floor(F.log(F.col("n").cast("double")) / width + round_ % 2 / 2)
+        return store(crowded.join(homes, "grp").select("token", size.alias("size"), "grp", F.col("lead.cls").alias("u"), "lead.home"), "placed")
+
+    def strangers(self, placed: DataFrame, round_: int) -> DataFrame:
+        """Class pairs (u, v) from different components, at most one for each posting.
+
+        Of a token's groups of about one size one is drawn, most likely from the largest component; the groups of the
+        others meet it.
+        """
+        place = F.struct(F.xxhash64(F.lit(round_), "token", "grp").alias("draw"), "home", F.col("u").alias("v"))
+        drawn = placed.groupBy("token", "size").agg(F.min(place).alias("host"), F.min("home").alias("low"), F.max("home").alias("high"))
+        hosts = drawn.filter("low <> high").select("token", "size", "host.v", F.col("host.home").alias("host"))
+        return placed.join(hosts, ["token", "size"]).filter("home <> host").select("u", "v")
+
+    def gathered(self, postings: DataFrame, stars: DataFrame) -> DataFrame:
+        """Components with the links that strangers find.
+
+        The rounds end when no more pairs of components are left under the crowded tokens than there are postings, or
+        when one finds a link for fewer than one in a hundred of the groups.
+        """
+        crowded = self.crowded(postings)
+        limit, groups = postings.count(), crowded.select("grp").distinct().count()
+        for round_ in range(STRANGER_ROUNDS):
+            rooted = self.rooted(stars)
+            placed = self.placed(crowded, rooted, round_)
+            discard(rooted)
+            links = 0
+            if _pairs_apart(placed) > limit:
+                found = self.verified(self.mapped(self.strangers(placed, round_)), nearest=True)
+                links = found.count()
+                stars = self.linked(stars, found)
+            discard(placed)
+            if links * 100 < max(groups, 1):
+                break
+        discard(crowded)
+        return stars
+
     def rooted(self, stars: DataFrame) -> DataFrame:
         """The classes with their component so far; a stored step."""
         known = self.classes.drop("rep").join(stars.withColumnRenamed("node", "cls"), "cls", "left")
@@ -406,6 +462,7 @@ class GroupedPrefixJoin:
         """(node, root) of classes that are linked to a lesser one."""
         postings = self.postings()
         stars = self.linked(None, self.verified(self.mapped(self.near_leaders(postings)), nearest=True))
+        stars = self.gathered(postings, stars)
         rooted = self.rooted(stars)
         # What is in one component now stays in one: the group pairs are found once, later rounds look at fewer of them.
         groups = self.apart_groups(postings, rooted)
@@ -430,6 +487,13 @@ def _folded_differ(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(_MAPS // 2)), F.lit(0))
 
 
+def _pairs_apart(placed: DataFrame) -> float:
+    """Pairs of postings under one token and size whose components differ."""
+    homes = placed.groupBy("token", "size", "home").agg(F.count("*").cast("double").alias("of"))
+    held = homes.groupBy("token", "size").agg(F.sum("of").alias("all"), F.sum(F.col("of") * F.col("of")).alias("within"))
+    return held.agg(F.coalesce(F.sum(F.col("all") * F.col("all") - F.col("within")), F.lit(0.0)) / 2).first()[0]
+
+
 def _as_links(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
