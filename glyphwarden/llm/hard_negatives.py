@@ -208,6 +208,8 @@ def selected(anchors: DataFrame, rows: DataFrame, lanes: int, most: int, choose)
 
     ``choose(anchor block, row block, combiner)`` adds the candidates of a pair of blocks.
     """
+    # Always merged: every lane has all anchors, which Spark counts once when it asks whether the driver may broadcast
+    # them. The merge also keeps the pairs of an anchor block together.
     left = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *[F.col(c).alias(f"a_{c}") for c in anchors.columns])
     right = rows.select("lane", *[F.col(c).alias(f"r_{c}") for c in rows.columns if c != "lane"])
 
@@ -224,7 +226,7 @@ def selected(anchors: DataFrame, rows: DataFrame, lanes: int, most: int, choose)
         if best is not None and best.held is not None:
             yield best.batch()
 
-    pairs = left.join(right, "lane").drop("lane")
+    pairs = left.hint("merge").join(right, "lane").drop("lane")
     place = Window.partitionBy("uid", "slot").orderBy(F.desc("score"), "vec_id")
     return pairs.mapInArrow(score, _FOUND).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most)
 

@@ -248,3 +248,12 @@ def test_hard_negatives_of_nothing(spark):
     assert not mined(spark, [], F.col("vec_id") % 9 == 0)
     assert not mined(spark, vector_rows(6), F.col("vec_id") < 0)
     assert not mined(spark, [(0, [1.0], 1), (1, [1.0], 2)], F.col("vec_id") == 0)
+
+
+def test_anchors_of_all_lanes_are_never_broadcast(spark):
+    """A few anchors are small as stored, but they come once per lane: too much for the driver to hold and send."""
+    known = hard_negatives.eligible(vectors(spark, vector_rows(8))).withColumn("uid", F.lit(0).cast("long"))
+    blocks = hard_negatives.packed(hard_negatives.store(known, "test-anchors"), 16)
+    found = hard_negatives.selected(blocks, blocks.withColumn("lane", F.spark_partition_id()), 1000, 5, hard_negatives.same_label)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
