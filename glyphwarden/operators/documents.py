@@ -38,6 +38,12 @@ def _measured(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_length", F.char_length("text"))
 
 
+def _of_own(values: DataFrame) -> DataFrame:
+    """Values per document, for a join with its text. They grow with the documents and are small as stored: always merged,
+    as the driver could not hold them."""
+    return values.hint("merge")
+
+
 def _of_listed(texts: DataFrame, listed: DataFrame | None) -> DataFrame:
     """The documents named by a listing (doc_id), if there is one; it meets assembled documents, not their rows."""
     return texts if listed is None else texts.join(listed, "doc_id", "left_semi")
@@ -62,7 +68,7 @@ def scan_pages(
     """Paged documents (doc_id, page, text), optionally with metadata fields per document."""
     texts = _measured(_of_listed(sources.paged_texts(pages), listed))
     if metadata is not None:
-        texts = texts.join(metadata.select("doc_id", *rules.METADATA_FIELDS), "doc_id", "left")
+        texts = texts.join(_of_own(metadata.select("doc_id", *rules.METADATA_FIELDS)), "doc_id", "left")
     after = [detect.page_anomalies(F.col("pages"), "_screen.other")]
     if metadata is not None:
         after.insert(0, detect.metadata(rules.METADATA_FIELDS))
@@ -79,7 +85,7 @@ def scan_parts(
     last = []
     if properties is not None:
         prefixed = [F.col(name).alias(f"_p_{name}") for name in rules.PROPERTY_FIELDS]
-        texts = texts.join(properties.select("doc_id", *prefixed), "doc_id", "left")
+        texts = texts.join(_of_own(properties.select("doc_id", *prefixed)), "doc_id", "left")
         last = [detect.properties([f"_p_{name}" for name in rules.PROPERTY_FIELDS])]
     found = detect.with_findings(texts, after_invisible=[detect.anomalies(F.col("text"), other="_screen.other")], last=last)
     found = found.drop("text", *[f"_p_{name}" for name in rules.PROPERTY_FIELDS])
@@ -131,7 +137,8 @@ def scan_page_rows(
 ) -> large.RowScan:
     """Paged documents (doc_id, page, text), however many pages one has: scored documents and finding rows."""
     small, big = large.divided(pages, "text", block_bytes, listed)
-    found = None if metadata is None else metadata.select("doc_id", detect.metadata(rules.METADATA_FIELDS).alias("findings"))
+    own = None if metadata is None else large.of_larger(metadata, pages, "text", block_bytes)
+    found = None if own is None else own.select("doc_id", detect.metadata(rules.METADATA_FIELDS).alias("findings"))
     scan = large.scan_rows(
         large.page_rows(big, slice_rows), paged=True, metadata=found, threshold=threshold, block_bytes=block_bytes
     )
@@ -145,9 +152,8 @@ def scan_part_rows(
 ) -> large.RowScan:
     """Paragraph documents (doc_id, kind, ordinal, text), however many paragraphs one has."""
     small, big = large.divided(parts, "text", block_bytes, listed)
-    found = None if properties is None else properties.select(
-        "doc_id", detect.properties(rules.PROPERTY_FIELDS).alias("findings")
-    )
+    own = None if properties is None else large.of_larger(properties, parts, "text", block_bytes)
+    found = None if own is None else own.select("doc_id", detect.properties(rules.PROPERTY_FIELDS).alias("findings"))
     scan = large.scan_rows(large.part_rows(big, slice_rows), properties=found, threshold=threshold, block_bytes=block_bytes)
     documents = scan.documents.withColumn("total_pages", F.lit(0))
     return _both(_in_place(scan_parts(small, properties, threshold, listed)), large.RowScan(documents, lambda: scan.findings))

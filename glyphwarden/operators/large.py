@@ -55,6 +55,12 @@ class RowScan:
         return self._findings()
 
 
+def larger_ids(rows: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id of the documents of more than one block."""
+    size = F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + _ROW_BYTES)
+    return rows.groupBy("doc_id").agg(size.alias("_bytes")).filter(F.col("_bytes") > block_bytes).select("doc_id")
+
+
 def divided(
     rows: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, listed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -64,12 +70,16 @@ def divided(
     ``block_bytes`` of input, so their ids are broadcast: rows are told apart before any shuffle,
     and only those of larger documents go the long way.
     """
-    size = F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + _ROW_BYTES)
-    larger = rows.groupBy("doc_id").agg(size.alias("_bytes")).filter(F.col("_bytes") > block_bytes).select("doc_id")
+    larger = larger_ids(rows, text, block_bytes)
     wanted = larger if listed is None else larger.join(listed, "doc_id", "left_semi")
     return rows.join(F.broadcast(larger), "doc_id", "left_anti"), rows.join(F.broadcast(wanted), "doc_id", "left_semi")
 
 
+def of_larger(values: DataFrame, rows: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The values (doc_id, ...) of the documents of more than one block."""
+    return values.join(F.broadcast(larger_ids(rows, text, block_bytes)), "doc_id", "left_semi")
+
+
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null; the right side's other columns are added."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
@@ -217,14 +227,15 @@ _CLASSES = {"plain": lambda t: ~t["fam"].isin(LEET, UNICODE), "leet": lambda t:
 
 
 def _merged_documents(scanned: DataFrame) -> DataFrame:
-    """One row per document from its blocks: sums, flags, and the first findings of each class."""
+    """One row per document from its blocks: sums, flags, its first block, and the first findings of each class."""
     of_class = scanned.select(
         "*", F.pmod(F.hash("block"), F.lit(_MERGE_GROUPS)).alias("_group"), _placed_findings(F.col("tagged")).alias("_placed"),
     ).select("*", *[F.filter("_placed", is_class).alias(f"{name}_all") for name, is_class in _CLASSES.items()])
     # Counts by class and severity, and of each invisible character, as arrays that are added up place by place.
     counts = ", ".join(f"size(filter({n}_all, t -> t.f.severity = '{s}'))" for n in _CLASSES for s in score.SEVERITIES)
     parts = of_class.select(
-        "doc_id", "_group", "n_rows", "chars", "leet", "nfkd", F.expr(f"array({counts})").alias("n_found"),
+        "doc_id", "_group", F.struct(F.col("block").isNull().alias("open"), "block").alias("start"), "n_rows", "chars", "leet", "nfkd",
+        F.expr(f"array({counts})").alias("n_found"),
         F.expr("transform(counts, c -> c.n)").alias("hidden"),
         *[F.expr(f"slice(array_sort({n}_all), 1, {_SCORE_DEPTH})").alias(f"{n}_first") for n in _CLASSES],
     )
@@ -234,7 +245,7 @@ def _merged_documents(scanned: DataFrame) -> DataFrame:
 
     def merge(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.groupBy(*keys).agg(
-            F.sum("n_rows").alias("n_rows"), F.sum("chars").alias("chars"), F.bool_or("leet").alias("leet"), F.bool_or("nfkd").alias("nfkd"),
+            F.min("start").alias("start"), F.sum("n_rows").alias("n_rows"), F.sum("chars").alias("chars"), F.bool_or("leet").alias("leet"), F.bool_or("nfkd").alias("nfkd"),
             added("n_found", len(_CLASSES) * len(score.SEVERITIES)), added("hidden", len(rules.INVISIBLE_CHARS)),
             *[F.expr(f"slice(array_sort(flatten(collect_list({n}_first))), 1, {_SCORE_DEPTH})").alias(f"{n}_first") for n in _CLASSES],
         )
@@ -316,14 +327,16 @@ def scan_rows(
 
 
 def _finding_rows(scanned: DataFrame, merged: DataFrame) -> DataFrame:
-    """Findings as rows: those of the blocks with the document's flags, and those of the document."""
-    flags = merged.select("doc_id", "leet", "nfkd", "_levels")
-    of_blocks = scanned.select("doc_id", F.explode(_placed_findings(F.col("tagged"))).alias("t")).select("doc_id", "t.*")
-    counted = _joined(of_blocks, flags.select("doc_id", "leet", "nfkd"), ["doc_id"]).filter(
-        f"fam NOT IN ({LEET}, {UNICODE}) OR (fam = {LEET} AND leet) OR (fam = {UNICODE} AND nfkd)"
-    ).drop("leet", "nfkd")
-    of_documents = flags.select("doc_id", F.explode("_levels").alias("t")).select("doc_id", "t.*")
-    found = counted.unionByName(of_documents, allowMissingColumns=True)
+    """Findings as rows: those of the blocks with the document's flags, and, beside its first block, those of the document."""
+    flags = merged.select("doc_id", "leet", "nfkd", "_levels", F.col("start.block").alias("_start"))
+    blocks = _joined(scanned.select("doc_id", "block", _placed_findings(F.col("tagged")).alias("_placed")), flags, ["doc_id"])
+    counted = F.filter("_placed", lambda t: ~t["fam"].isin(LEET, UNICODE) | F.when(t["fam"] == LEET, F.col("leet")).otherwise(F.col("nfkd")))
+    own = F.transform("_levels", lambda t: F.struct(
+        t["fam"].alias("fam"), t["rule"].alias("rule"), F.lit(None).cast("boolean").alias("open"),
+        F.lit(None).cast(scanned.schema["block"].dataType).alias("block"), t["k"].alias("k"), t["f"].alias("f"),
+    ))
+    of_document = F.filter(own, lambda t: F.col("block").eqNullSafe(F.col("_start")))
+    found = blocks.select("doc_id", F.explode(F.concat(counted, of_document)).alias("t")).select("doc_id", "t.*")
     place = Window.partitionBy("doc_id").orderBy("fam", "rule", "open", F.asc_nulls_last("block"), "k")
     return found.withColumn("pos", F.row_number().over(place)).select("doc_id", "pos", "f.*")
 

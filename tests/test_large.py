@@ -9,6 +9,7 @@ import row_model
 from glyphwarden import rules
 from glyphwarden.operators import documents as scans, large
 from glyphwarden.plans import fixtures as fx
+from glyphwarden.session import fresh_folder
 
 FILLER = ["plain words of no meaning at all, only there to be long enough for a cut behind them. " * 2, "short", "", " \t", "x" * 130]
 BREAKS = [
@@ -146,3 +147,29 @@ def test_only_listed_documents_are_scanned(spark):
     scan = scans.scan_page_rows(rows, block_bytes=400, listed=listed)
     assert sorted((r.doc_id, r.total_pages) for r in scan.documents.collect()) == [(1, 1), (3, 2)]
     assert {r.doc_id for r in scan.findings.collect()} == {1, 3}
+
+
+def below(lines, i):
+    """The part of a printed plan below a line."""
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-*"))
+
+    end = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(lines[i])), len(lines))
+    return lines[i:end]
+
+
+def test_values_of_all_documents_are_never_broadcast(spark):
+    """They may be small as stored, but they grow with the documents; only those of larger documents are few."""
+    def stored(fields):
+        path = fresh_folder(spark, "own-values")
+        spark.range(1).select(F.col("id").alias("doc_id"), *[F.lit("x").alias(c) for c in fields]).write.parquet(path)
+        return spark.read.parquet(path)
+
+    pages = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit("a").alias("text"))
+    parts = pages.select("doc_id", F.lit(0).alias("kind"), F.col("page").alias("ordinal"), "text")
+    for scan in (scans.scan_page_rows(pages, stored(rules.METADATA_FIELDS)), scans.scan_part_rows(parts, stored(rules.PROPERTY_FIELDS))):
+        for rows in (scan.documents, scan.findings):
+            plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+            read = [below(plan, i) for i, line in enumerate(plan) if "BroadcastExchange" in line]
+            assert any("own-values" in line for line in plan)
+            assert all(any("LeftSemi" in line for line in part) for part in read if any("own-values" in line for line in part))
